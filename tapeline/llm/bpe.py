@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tapeline.llm.common import texts
+from tapeline.llm.common import small_batches, texts
 
 #: Fixed value: the piece pattern of the byte-level pre-tokenizer, as published with the vocabulary.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -125,7 +125,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path).count
-        for batch in batches:
+        for batch in small_batches(batches):
             own = [t or "" for t in batch.column("text").to_pylist()]
             sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in own], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(map(count, own), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

@@ -12,12 +12,13 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a block aims at.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: Elements that numpy handles at a time inside a task.
 CHUNK = 1_000_000
 
@@ -117,3 +118,10 @@ def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[slice]:
         total += n
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of no more than so many."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

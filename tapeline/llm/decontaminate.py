@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import Rolling, chunks, mix
+from tapeline.llm.common import Rolling, chunks, mix, small_batches
 
 #: Bytes of a q-gram; edits allowed for each byte of an item.
 Q, RATE = 12, 0.06
@@ -215,7 +215,7 @@ def item_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 ids, own = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 found = [(ids[i], *rest) for i, *rest in shared.value.find([folded(t) for t in own])]
                 if found:
@@ -232,7 +232,7 @@ def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 own = batch.column(text_col).to_pylist()
                 keep = np.ones(len(own), bool)
                 keep[[i for i, *_ in shared.value.find([folded(t) for t in own])]] = False

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import Rolling, checkpointed, chunks, mix, texts, word_hashes
+from tapeline.llm.common import CHUNK, Rolling, checkpointed, chunks, mix, small_batches, texts, word_hashes
 from tapeline.llm.components import components
 
 #: Keys in each of the two collections, and minhashes in each key. At similarity s
@@ -31,10 +31,9 @@ def shingle_sets(texts_: list[str | None], width: int) -> list[np.ndarray]:
     Words are runs of anything but ASCII white space, A-Z lowered. A shorter text
     is one shingle; null and wordless texts have none.
     """
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts_]
     out: list[np.ndarray] = []
-    for part in chunks([len(w) for w in words]):
-        own = words[part]
+    for part in chunks([len(t or "") for t in texts_], 2 * CHUNK):
+        own = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts_[part]]
         rolling = Rolling(word_hashes([x for w in own for x in w]))
         at = 0
         for w in own:
@@ -47,7 +46,7 @@ def shingle_sets(texts_: list[str | None], width: int) -> list[np.ndarray]:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, sets = batch.column("doc_id"), shingle_sets(batch.column("text").to_pylist(), width)
             keys, digests = [], np.zeros((len(sets), 2), np.uint64)
             for i, s in enumerate(sets):
@@ -66,7 +65,7 @@ def _signatures(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tapeline.llm.bpe import encoder
-from tapeline.llm.common import chunks, texts
+from tapeline.llm.common import chunks, small_batches, texts
 
 #: Sequences that one partition may number.
 SHARD = 1 << 40
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         names = ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
 
         def placed() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 docs_, texts_ = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
                 for part in chunks([len(t) for t in texts_]):
                     for doc, ids in zip(docs_[part], ids_of(texts_[part]), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.bpe import Remembered
-from tapeline.llm.common import chunks
+from tapeline.llm.common import chunks, small_batches
 
 DECAY, SPAN, POWER = 0.7, 6, 4
 #: Landmark words; longest word that is taken as one, longer ones are taken in overlapping parts.
@@ -267,7 +267,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     score = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -278,7 +278,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     score = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array(score(batch.column(text_col).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
