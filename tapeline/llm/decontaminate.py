@@ -26,6 +26,8 @@ Q, RATE = 12, 0.06
 #: Walks, tables for each walk, and sampled places for a key. A window whose walk differs in
 #: a fifth of its places still meets its item with probability 1 - (1 - 0.8**8)**64 > 0.9999.
 WALKS, TABLES, PLACES = 8, 8, 8
+#: Items of more than twice so many bytes are looked for in parts of about so many; one part suffices.
+PIECE = 400
 #: Bytes of items that one pass takes to the executors; more items take more passes.
 ITEM_BYTES = 8_000_000
 #: What words are parted by, besides white space; letters are lowered (ASCII only).
@@ -37,6 +39,17 @@ def folded(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
+def pieces(item: bytes) -> list[bytes]:
+    """A long item as parts of about PIECE bytes that begin and end with words, or inside a word that is longer."""
+    out = []
+    while len(item) > 2 * PIECE:
+        cut = item.rfind(b" ", 1, PIECE)
+        cut = cut if cut > 0 else PIECE
+        out.append(item[:cut])
+        item = item[cut:].lstrip()
+    return [*out, item]
+
+
 def allowed(n: int) -> int:
     return int(RATE * n)
 
@@ -183,9 +196,10 @@ class Matcher:
                 distance, end = edit_match(self.items[k][1], texts_[i][begin : hi + n + 2 * slack])
                 if distance <= slack:
                     found = (distance, max(0, begin + end - n), n)
-                    best[i, k] = min(best.get((i, k), found), found)
-        for (i, k), (distance, start, n) in sorted(best.items()):
-            yield i, self.items[k][0], start, n, distance
+                    item = self.items[k][0]
+                    best[i, item] = min(best.get((i, item), found), found)
+        for (i, item), (distance, start, n) in sorted(best.items()):
+            yield i, item, start, n, distance
 
 
 def _matchers(items: DataFrame, id_col: str, text_col: str) -> Iterator[Matcher]:
@@ -194,7 +208,7 @@ def _matchers(items: DataFrame, id_col: str, text_col: str) -> Iterator[Matcher]
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // ITEM_BYTES) or 1
     for p in range(parts):
-        yield Matcher([(r["item_id"], folded(r["text"])) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).toLocalIterator()])
+        yield Matcher([(r["item_id"], piece) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).toLocalIterator() for piece in pieces(folded(r["text"]))])
 
 
 def item_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
