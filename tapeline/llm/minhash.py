@@ -21,6 +21,10 @@ from tapeline.llm.components import components
 #: Keys in each of the two collections, and minhashes in each key. At similarity s
 #: a pair shares no table with probability under 2 * (1 - s**HALF)**SIDE: 7e-5 at 0.8.
 SIDE, HALF = 10, 2
+#: Members, by the order of a seeded hash, that entries with several components meet, round by round.
+PIVOTS = ((1, 2, 3, 4), (5, 6, 7, 8))
+#: Documents, at most, that have a rare shingle.
+RARE = 4
 #: Fixed seeds of the permutations.
 SEEDS = mix(np.arange(1, 2 * SIDE * HALF + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -80,6 +84,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.withColumn("either", F.col("na") + F.col("nb") - F.col("common"))
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with their components, of table entries that hold more than one component."""
+    labelled = members.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key")
+    return checkpointed(labelled.join(mixed, "key", "left_semi").select("key", "id", "pivot", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each document.
 
@@ -87,8 +98,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct shingles of ``width`` words; component_id is the smallest doc_id
     reachable, kept marks doc_id = component_id. Texts with equal sets are one class,
     stood for by its smallest doc_id, and are never expanded into pairs. In each
-    table the members are compared with the smallest one; members of tables that
-    then still hold several components are compared with each other unless the
+    table the members are compared with the smallest one, and where a table then still
+    holds several components, with a few others; members of different components that
+    are still in one table after that are compared with each other unless the
     triangle inequality of the Jaccard distance rules a link out, so that no pair
     that shares a table is lost. Null, empty or wordless texts have n_shingles 0
     and link with nothing; rows with a null doc_id keep it and are never linked;
@@ -115,15 +127,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first.where(is_link).select("a", "b")
     found = components(links)
 
-    # Tables that the pivots did not join into one component.
-    labelled = members.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key")
+    # Entries that their smallest member did not join into one component meet further members, the same ones in most tables.
+    verified = first
+    for seeds in PIVOTS:
+        rest = _mixed(members, found)
+        picked = rest.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(s), "id").alias("h"), "id", "component_id")).alias(f"p{s}") for s in seeds))
+        met = rest.join(picked, "key").withColumn("p", F.explode(F.array(*(f"p{s}" for s in seeds)))).where("component_id <> p.component_id")
+        asked = met.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")
+        more = checkpointed(_verified(asked, sets))
+        verified, links = verified.unionByName(more), links.unionByName(more.where(is_link).select("a", "b"))
+        found = components(links)
+
+    # What is still apart. A shingle is rare if at most RARE of the documents in question have it. Documents that
+    # share no rare one have at most the smaller number of their other shingles in common, which mostly rules a
+    # link out, as the distances from the first pivot may; the others are compared in full.
+    rest = _mixed(members, found)
+    asked = rest.select("id", "component_id").distinct()
+    own = sets.join(asked.select("id"), "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rare = own.groupBy("shingle").agg(F.count("*").alias("times")).where(F.col("times") <= RARE).select("shingle")
+    rare = checkpointed(own.join(rare, "shingle", "left_semi"))
+    few = rare.groupBy("id").agg(F.count("*").alias("few"))
+    tagged = rare.join(asked, "id")
+    x, y = (tagged.select("shingle", F.col("id").alias(f"id{s}"), F.col("component_id").alias(f"c{s}"), F.col("n").alias(f"n{s}")) for s in "xy")
+    open_ = f"idx > idy and cx <> cy and 100L * least(nx, ny) >= {percent}L * greatest(nx, ny)"
+    sharing = x.join(y, "shingle").where(open_).select("idx", "idy")
     apart = first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("na").alias("n"), (1 - F.col("common") / F.col("either")).alias("far"))
-    rest = labelled.join(mixed, "key", "left_semi").where("id <> pivot").join(apart, ["id", "pivot"])
-    x, y = (rest.select("key", F.col("id").alias(f"id{s}"), F.col("component_id").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("far").alias(f"far{s}")) for s in "xy")
+    rest = rest.where("id <> pivot").join(apart, ["id", "pivot"]).join(few, "id", "left").withColumn("many", F.col("n") - F.coalesce("few", F.lit(0)))
+    x, y = (rest.select("key", F.col("id").alias(f"id{s}"), F.col("component_id").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("many").alias(f"m{s}"), F.col("far").alias(f"far{s}")) for s in "xy")
     reach = 1 - percent / 100 + 1e-9
-    between = x.join(y, "key").where(f"idx > idy and cx <> cy and 100L * least(nx, ny) >= {percent}L * greatest(nx, ny) and abs(farx - fary) <= {reach}")
-    second = _verified(between.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), sets)
+    alike = x.join(y, "key").where(f"{open_} and abs(farx - fary) <= {reach} and {100 + percent}L * least(mx, my) >= {percent}L * (nx + ny)").select("idx", "idy")
+    between = sharing.unionByName(alike).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    second = _verified(between.join(verified.select("a", "b"), ["a", "b"], "left_anti"), sets)
     joined = components(links.unionByName(second.where(is_link).select("a", "b")))
 
     of_class = classes.join(joined, classes["rep"] == joined["id"], "left").select("n_shingles", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
