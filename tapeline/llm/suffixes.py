@@ -12,6 +12,7 @@ anchor, is sorted by a suffix array and adjacent common prefixes.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -307,7 +308,21 @@ def _send_contexts(length: int, buckets: int):
 def _settle(length: int):
     columns = ["block", "kind", "bucket", "doc", "place", "payload"]
 
+    half = -(-(length - ANCHOR) // 2)
+
+    def paired(pdf: pd.DataFrame) -> np.ndarray:
+        """Which contexts share, with another of their anchor, the anchor and half the reach on one side; every common string covers one of the two."""
+        left, right = [], []
+        for key, text, at in zip(pdf["key"].tolist(), pdf["payload"].tolist(), (pdf["place"] - pdf["lo"]).tolist(), strict=True):
+            left.append((key, text[at - half : at + ANCHOR]) if at >= half else None)
+            right.append((key, text[at : at + ANCHOR + half]) if len(text) >= at + ANCHOR + half else None)
+        n, m = Counter(left), Counter(right)
+        return np.array([(a is not None and n[a] > 1) or (b is not None and m[b] > 1) for a, b in zip(left, right, strict=True)], bool)
+
     def masks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[paired(pdf)]
+        if not len(pdf):
+            return pd.DataFrame([], columns=columns)
         flags = earlier_elsewhere(pdf["payload"].tolist(), pdf["doc"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64), length)
         some = np.array([f.any() for f in flags])
         pdf = pdf[some]
