@@ -12,6 +12,7 @@ distance k share at least n - q + 1 - k * q of the item's q-grams.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,28 @@ WALKS, TABLES, PLACES = 8, 8, 8
 PIECE = 400
 #: Bytes of items that one pass takes to the executors; more items take more passes.
 ITEM_BYTES = 8_000_000
-#: What words are parted by, besides white space; letters are lowered (ASCII only).
+#: ASCII: letters are lowered, what is neither a letter nor a digit parts words. Texts with other characters go by Apart first.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+class Apart(dict):
+    """Code point -> itself, or a space for punctuation, symbols, separators and controls; filled as characters are met."""
+
+    def __missing__(self, code: int) -> int:
+        kind = unicodedata.category(chr(code))
+        self[code] = 32 if kind[0] in "PSZ" or kind == "Cc" else code
+        return self[code]
+
+
+_apart = Apart()
+
+
 def folded(text: str | None) -> bytes:
-    """Words in lower case with single spaces: what is compared."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
+    """Words without regard to case (Unicode case folding), with single spaces: what is compared."""
+    text = text or ""
+    if not text.isascii():
+        text = text.casefold().translate(_apart)
+    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
 def pieces(item: bytes) -> list[bytes]:
@@ -214,8 +230,8 @@ def _matchers(items: DataFrame, id_col: str, text_col: str) -> Iterator[Matcher]
 def item_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, length, distance): one row for each document and benchmark item that it holds.
 
-    Texts are compared as lower-case words (ASCII letters) with single spaces,
-    punctuation left out; start and length are bytes of that form, distance the
+    Texts are compared as case-folded words with single spaces, punctuation and
+    symbols left out (all of Unicode); start and length are bytes of that form, distance the
     exact edit distance, at most RATE of the item's bytes. The documents are read
     once for each ITEM_BYTES of items and are never shuffled. Items that are null or
     have under Q bytes are too short to tell and match nothing; null and empty texts

@@ -159,6 +159,17 @@ def test_items_with_edits(spark):
     assert got <= want and len(got) >= 18
 
 
+def test_items_in_capitals(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("éñüçàaeonrst") for _ in range(rng.randrange(2, 9)))
+    items = [" ".join(word() for _ in range(30)) for _ in range(4)] + [" ".join(["straße", "größe", *(word() for _ in range(25))])]
+    texts = [item.upper() for item in items] + ["¡" + item.replace(" ", "… «") + "»" for item in items]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.item_matches(docs_of(spark, texts), table).collect()}
+    assert got == {(i, i % 5, 0) for i in range(10)}
+    assert decontaminate.without_items(docs_of(spark, texts), table).count() == 0
+
+
 def test_toxicity_tolerates_gaps(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("tnrhoeal") for _ in range(rng.randrange(2, 8)))
