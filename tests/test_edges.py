@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tapeline.functions import predicates as P
 from tapeline.functions import scalars as C
 from tapeline.operators import intervals, pixels, resolve, segments, telemetry
+from tapeline.sources import logs
 
 
 def value(spark, column):
@@ -82,6 +83,14 @@ def test_runs(spark):
     assert sorted(r["height"] for r in pixels.text_runs(lines).collect()) == [7, 15]
 
 
+def test_numbers_over_many_partitions(spark):
+    n = 200_000
+    df = spark.range(n).select((F.col("id") * 1000003 % n).alias("seq"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("message"))
+    # the largest message is asked for, so that messages are shuffled along
+    got = logs.number_rows(df, ["seq"]).agg(F.count("*"), F.sum((F.col("n") == F.col("seq") + 1).cast("long")), F.max("message")).first()
+    assert tuple(got)[:2] == (n, n)
+
+
 def test_monotone(spark):
     df = spark.createDataFrame([("j", i, v) for i, v in enumerate([0, 5, 5, 3, 7])], "job_id string, seq long, value long")
     assert [r["value"] for r in telemetry.monotone_progress(df).orderBy("seq").collect()] == [5, 7]
