@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import BLOCK_BYTES, checkpointed, chunks, in_blocks, n_blocks
 
 #: Characters of an n-gram; quantile of the trusted documents' perplexity up to which documents are kept.
-ORDER, QUANTILE = 3, 0.995
+ORDER, QUANTILE = 5, 0.995
 START, END = "\x02", "\x03"
 #: Perplexities are put in order by their logarithm to this many steps a unit.
 STEPS = 1000

@@ -189,6 +189,25 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(abs(v - 1) < 1e-9 for v in p.values())
 
 
+def test_quality_sees_more_than_trigrams(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeinorst") for _ in range(6)) for _ in range(60)]
+    good = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(40)]
+    after = collections.defaultdict(list)
+    for t in good:
+        for i in range(len(t) - 2):
+            after[t[i : i + 2]].append(t[i + 2])
+    bad = []
+    for t in good[:10]:
+        made = t[:2]
+        while len(made) < 1400:
+            made += rng.choice(after[made[-2:]])
+        bad.append(made)
+    d = docs_of(spark, good + bad)
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(d, d.where("doc_id < 40").select("doc_id")).collect()}
+    assert all(got[i] for i in range(40)) and not any(got[i] for i in range(40, 50))
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_agrees_with_sql(spark, duck, name):
     assert rows(queries()[name](spark, SF).toPandas()) == rows(duck.execute(oracle_sql()[name]).df())
