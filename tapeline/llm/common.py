@@ -8,12 +8,14 @@ reuses that one exchange.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,52 @@ def n_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def in_blocks(rows: DataFrame, n: int) -> DataFrame:
-    """Adds block int; copies of a row share a block, which holds no matter for a result."""
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    """Adds block int; rows with a null or one repeated id are dealt out by their texts."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+
+
+def packed(rows: DataFrame, block_bytes: int = BLOCK_BYTES, task_bytes: int = 12_000_000) -> DataFrame:
+    """Rows of documents (doc_id, text and others) as (block int, payload binary): what a task has for a block at a time, compressed."""
+    dealt = in_blocks(rows, n_blocks(rows, block_bytes))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            pack = zstandard.ZstdCompressor(level=3).compress
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack(pickle.dumps(v)) for v in held.values()], pa.binary())], names=["block", "payload"])
+
+        for batch in small_batches(batches):
+            texts_ = batch.column("text").to_pylist()
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in ["block", *names]), strict=True):
+                held.setdefault(block, []).append(tuple(row))
+            size += sum(len(t or "") for t in texts_)
+            if size >= task_bytes:
+                yield flushed()
+                held, size = {}, 0
+        if held:
+            yield flushed()
+
+    return dealt.mapInArrow(run, "block int, payload binary")
+
+
+def unpacked(payloads: Iterable[bytes]) -> list[tuple]:
+    """The documents of some payloads, as tuples in the order of their columns."""
+    return [row for p in payloads for row in pickle.loads(zstandard.decompress(p))]
+
+
+#: What operators remember in a Python worker, by operator.
+remembered: dict[str, list[dict]] = {}
+
+
+def only(owner: str) -> None:
+    """Python workers are used again by other operators: drops what those have remembered."""
+    for name, caches in remembered.items():
+        if name != owner:
+            for cache in caches:
+                cache.clear()
 
 
 class WordHashes(dict):
@@ -66,6 +112,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+remembered["words"] = [_hashes]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -104,6 +151,11 @@ class Rolling:
         self.prefix = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum(symbols * down[:-1], out=self.prefix[1:])
 
+    def runs(self, width: int) -> np.ndarray:
+        """The values of all runs of the width, by where they start."""
+        n = max(0, len(self.prefix) - width)
+        return mix((self.prefix[len(self.prefix) - n :] - self.prefix[:n]) * self.up[:n] + np.uint64(width))
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.up[start] + (end - start).astype(np.uint64))
 

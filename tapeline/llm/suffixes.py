@@ -1,33 +1,36 @@
 """Removes bytes that lie in a string of a fixed length which also starts earlier, by suffix arrays.
 
-Only places around *anchors* can hold such strings: the anchor of a string of
-``length`` bytes is its ``ANCHOR``-byte part with the smallest hash, so equal
-strings have equal anchors at equal places. An anchor that occurs once in all
-documents settles its strings at once. An anchor's *context* is all bytes that a
-string with this anchor can cover; where whole contexts are equal, all but the
-first go. What is left, the first occurrences of the different contexts of one
-anchor, is sorted by a suffix array and adjacent common prefixes.
+The *anchor* of a string of ``length`` bytes is its ``ANCHOR``-byte part with the
+smallest hash, so equal strings have equal anchors at equal places. The strings that
+have an anchor start one after another; all bytes that they cover are the anchor's
+*context*. Spark counts anchors and contexts: an anchor that occurs once settles its
+strings at once, and where whole contexts are equal (128-bit digests), all but the
+first go. The first occurrences of different contexts of one anchor are dealt out by
+two thirds of their bytes, which equal strings share, and there a suffix array with
+adjacent common prefixes compares what is left byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import BLOCK_BYTES, Rolling, chunks, in_blocks, mix, n_blocks, texts
-from tapeline.llm.fingerprints import answered, bucket_bounds, read_bits, sent
-from tapeline.llm.substrings import covered, intervals
+from tapeline.llm.common import BLOCK_BYTES, Rolling, chunks, mix, packed, texts, unpacked
 
-#: Bytes of an anchor; contexts of one anchor that one suffix array takes; bytes of a suffix array's text.
-ANCHOR, CONTEXTS, SORTED = 32, 3000, 1_000_000
+#: Bytes of an anchor; bytes of a suffix array's text.
+ANCHOR, SORTED = 32, 1_000_000
+#: An anchor with more different contexts in one block is widened to the whole strings, so that no task gathers them.
+CONTEXTS = 256
 #: Stands for a null doc_id when documents are put in order: after all others.
 LAST = np.iinfo(np.int64).max
+#: A value for each byte.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 # --- suffix array -----------------------------------------------------------
@@ -56,37 +59,39 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sorted_directly(places: np.ndarray, words: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The places in the order of their suffixes, eight bytes at a time; equal ones in text order."""
-    order = np.argsort(words[places], kind="stable")
-    places = places[order]
+def sorted_directly(places: np.ndarray, words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """The places in the order of their suffixes' first ``depth`` bytes, eight at a time; equal ones in text order."""
+    places = places[np.argsort(words[places], kind="stable")]
     key = words[places]
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(places) else np.zeros(0, np.int64)
-    depth = 8
-    while len(places):
-        size = np.bincount(group)
-        open_ = np.flatnonzero((size[group] > 1) & (left[places] >= depth))
+    at = np.arange(len(places))
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(places) else at
+    for done in range(8, depth, 8):
+        # what stays open: groups of several, whose suffixes go on
+        twin = group[1:] == group[:-1]
+        open_ = np.flatnonzero(np.concatenate([twin, [False]]) | np.concatenate([[False], twin]))
+        open_ = open_[left[places[at[open_]]] >= done]
         if not len(open_):
             break
-        sub = places[open_]
-        at = np.minimum(sub + depth, len(words) - 1)
-        key = np.where(left[sub] > depth, words[at], 0)
-        again = np.lexsort((sub, key, group[open_]))
-        places[open_] = sub[again]
-        old, key = group[open_], key[again]
-        new = np.concatenate([[True], (old[1:] != old[:-1]) | (key[1:] != key[:-1])])
-        first = np.concatenate([[True], old[1:] != old[:-1]])
-        steps = np.zeros(len(places), np.int64)
-        steps[open_[new & ~first]] = 1
-        base = np.concatenate([[0], group[1:] != group[:-1]]).astype(np.int64)
-        group = np.cumsum(np.maximum(base, steps))
-        depth += 8
+        at, group = at[open_], group[open_]
+        group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+        own = places[at]
+        key = words[own + done]
+        apart = (group[1:] == group[:-1]) & (key[1:] != key[:-1])
+        if apart.any():
+            split = np.zeros(int(group[-1]) + 1, bool)
+            split[group[1:][apart]] = True
+            some = np.flatnonzero(split[group])
+            again = some[np.lexsort((key[some], group[some]))]
+            places[at[some]], key[some] = own[again], key[again]
+            group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]))
     return places
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Two-stage sorting of a text of bytes in which 0 separates: separators differ, earlier ones are smaller.
 
+    With a depth, suffixes are in order of so many first bytes at least.
+
     Suffixes smaller than their successors are sorted directly. Scanning the buckets
     of first bytes upwards then puts every other suffix in place: the suffix before
     one just passed goes to the end of what its own bucket holds so far.
@@ -95,7 +100,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(text == 0)
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
     small = smaller_than_next(text)
-    direct = sorted_directly(np.flatnonzero(small), words8(text, left), left)
+    direct = sorted_directly(np.flatnonzero(small), words8(text, left), left, depth or n + 8)
     direct_at = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     out: list[np.ndarray] = []
@@ -129,7 +134,7 @@ def earlier_elsewhere(snippets: list[bytes], doc: np.ndarray, start: np.ndarray,
     owner = np.repeat(np.arange(len(snippets)), sizes + 1)
     left = (first + sizes)[owner] - np.arange(len(text))
     words = words8(text, left)
-    ranked = suffix_array(text)
+    ranked = suffix_array(text, length)
     ranked = ranked[left[ranked] >= length]
     a, b = ranked[:-1], ranked[1:]
     same = np.ones(len(a), bool)
@@ -153,261 +158,233 @@ def earlier_elsewhere(snippets: list[bytes], doc: np.ndarray, start: np.ndarray,
 
 
 class Anchors:
-    """The anchors of a block of documents. Arrays have one element for each anchor that a document has."""
-
-    def __init__(self, pdf: pd.DataFrame, length: int):
-        pdf = pdf.sort_values(["doc_id", "text"], na_position="last", ignore_index=True)
-        self.ids = pdf["doc_id"]
-        self.data = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-        self.length, self.reach = length, length - ANCHOR
-        order = pdf["doc_id"].astype("Int64").fillna(LAST).to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64)
-        found, self.of_window = [], []
-        total = 0
-        for part in chunks([len(d) for d in self.data]):
-            own = self.data[part]
-            text = np.frombuffer(b"".join(own), np.uint8)
-            rolling = Rolling(mix(text.astype(np.uint64) + np.uint64(1)))
-            at = 0
-            for i, d in enumerate(own, part.start):
-                n = len(d)
-                if n >= length:
-                    begin = np.arange(at, at + n - ANCHOR + 1)
-                    grams = rolling.of(begin, begin + ANCHOR)
-                    ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-                    width, size = self.reach + 1, 1
-                    while 2 * size <= width:
-                        ranked = np.minimum(ranked[:-size], ranked[size:])
-                        size *= 2
-                    if width > size:
-                        ranked = np.minimum(ranked[: len(ranked) - (width - size)], ranked[width - size :])
-                    place = (ranked & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    place, where = np.unique(place, return_inverse=True)
-                    lo, hi = np.maximum(place - self.reach, 0), np.minimum(place + length, n)
-                    context = mix(rolling.of(at + lo, at + hi) + (place - lo).astype(np.uint64))
-                    found.append((grams[place], context, np.full(len(place), i), place, lo, hi))
-                    self.of_window.append((i, where + total))
-                    total += len(place)
-                at += n
-        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
-        self.gram, self.context, self.row, self.place, self.lo, self.hi = (np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype(kind) for k, kind in enumerate(kinds))
-        self.doc = order[self.row] if len(self.row) else np.zeros(0, np.int64)
-        self.grams, self.gram_of, self.gram_times = np.unique(self.gram, return_inverse=True, return_counts=True)
-
-    def repeat(self, answers: pd.DataFrame, buckets: int) -> None:
-        """Keeps, as entries, the first occurrence here of each context of an anchor that occurs more than once anywhere."""
-        again = (self.gram_times > 1) | read_bits(answers[answers["kind"] == GRAMS], self.grams, buckets)
-        some = np.flatnonzero(again[self.gram_of])
-        order = some[np.lexsort((self.place[some], self.doc[some], self.context[some], self.gram[some]))]
-        g, c = self.gram[order], self.context[order]
-        head = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]) if len(order) else np.zeros(0, bool)
-        self.entry = np.full(len(self.gram), -1)
-        self.entry[order] = np.cumsum(head) - 1
-        self.firsts = order[head]
-
-    def states(self, answers: pd.DataFrame, buckets: int) -> np.ndarray:
-        at = bucket_bounds(self.gram[self.firsts], buckets)
-        out = np.zeros(len(self.firsts), np.uint8)
-        own = answers[answers["kind"] == STATES]
-        for bucket, payload in zip(own["bucket"], own["payload"], strict=True):
-            out[at[bucket] : at[bucket + 1]] = np.frombuffer(payload, np.uint8)
-        return out
-
-    def windows_of(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The strings that have these anchors: (row, start, 64-bit hash)."""
-        wanted = np.zeros(len(self.gram) + 1, bool)
-        wanted[anchors] = True
-        rows, starts, hashes = [], [], []
-        for i, of in self.of_window:
-            if (s := np.flatnonzero(wanted[of])).size:
-                rolling = Rolling(mix(np.frombuffer(self.data[i], np.uint8).astype(np.uint64) + np.uint64(1)))
-                rows.append(np.full(len(s), i))
-                starts.append(s)
-                hashes.append(rolling.of(s, s + self.length))
-        return tuple(np.concatenate(x or [np.zeros(0)]).astype(k) for x, k in ((rows, np.int64), (starts, np.int64), (hashes, np.uint64)))
-
-    def hot(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows, starts, hashes = self.windows_of(self.firsts[states == HOT])
-        order = np.lexsort((starts, rows, hashes))
-        return rows[order], starts[order], hashes[order]
-
-
-GRAMS, STATES, MASKS, WINDOWS = range(4)
-#: States of an entry: nothing earlier; its context is earlier elsewhere; first of its context, and the
-#: anchor has others; the same, and the anchor has more than CONTEXTS of them.
-ALONE, LATER, FIRST, HOT = range(4)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def _unpack(payloads: pd.Series) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Payloads of four 64-bit arrays: their sizes, and the arrays one after another."""
-    parts = [np.frombuffer(p, np.uint64).reshape(4, -1) for p in payloads]
-    a, b, c, d = np.concatenate(parts, axis=1)
-    return [p.shape[1] for p in parts], a, b, c.view(np.int64), d.view(np.int64)
-
-
-def _send_grams(length: int, buckets: int):
-    return lambda pdf: sent(int(pdf["block"].iloc[0]), Anchors(pdf, length).grams, buckets)
-
-
-def _send_entries(length: int, buckets: int):
-    def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"bucket": [], "block": [], "payload": []})
-        x = Anchors(pdf, length)
-        x.repeat(answers, buckets)
-        f, at = x.firsts, bucket_bounds(x.gram[x.firsts], buckets)
-        rows = [(i, int(pdf["block"].iloc[0]), _pack(x.gram[s], x.context[s], x.doc[s], x.place[s])) for i in range(buckets) if len(s := f[at[i] : at[i + 1]])]
-        return pd.DataFrame(rows, columns=["bucket", "block", "payload"])
+    """The anchors of a block of documents, in the order of (doc_id, text).
 
-    return run
+    Arrays have one element for each anchor that a document has: its row, its place,
+    where the first and the last string start that have it, and its hash. The number
+    of an anchor is its place in them, the same whenever the block is read.
+    """
 
+    def __init__(self, payloads: pd.Series, length: int):
+        self.length = length
+        rows = sorted(unpacked(payloads), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+        self.ids = [doc for doc, _ in rows]
+        self.data = [(text or "").encode("utf-8", "surrogatepass") for _, text in rows]
+        order = np.array([LAST if doc is None else doc for doc in self.ids], np.int64)
+        sizes = np.array([len(d) for d in self.data], np.int64)
+        found = [self._chunk(part.start, self.data[part], sizes[part]) for part in chunks(sizes.tolist())]
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64)
+        self.row, self.place, self.first, self.last, self.gram = (np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype(kind) for k, kind in enumerate(kinds))
+        self.doc = order[self.row] if len(self.row) else np.zeros(0, np.int64)
 
-def _judge(limit: int):
-    return lambda pdf: judged(pdf, limit)
+    def _chunk(self, row: int, data: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        joined, length = b"".join(data), self.length
+        begin, count = np.cumsum(sizes) - sizes, np.maximum(sizes - length + 1, 0)
+        if not count.any():
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        grams = Rolling(BYTES[np.frombuffer(joined, np.uint8)]).runs(ANCHOR)
+        ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        width, size = length - ANCHOR + 1, 1
+        while 2 * size <= width:
+            ranked = np.minimum(ranked[:-size], ranked[size:])
+            size *= 2
+        if width > size:
+            ranked = np.minimum(ranked[: len(ranked) - (width - size)], ranked[width - size :])
+        owner = np.repeat(np.arange(len(data)), count)
+        start = np.arange(len(owner)) + (begin - np.cumsum(count) + count)[owner]
+        place = (ranked[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = start[np.concatenate([new[1:], [len(place)]]) - 1]
+        owner, first, place = owner[new], start[new], place[new]
+        base = begin[owner]
+        return owner + row, place - base, first - base, last - base, grams[place]
+
+    def contexts(self, some: np.ndarray) -> np.ndarray:
+        """The digests of the contexts of some anchors: two numbers each."""
+        digest, length = xxhash.xxh3_128_digest, self.length
+        own = zip(self.row[some].tolist(), self.first[some].tolist(), self.last[some].tolist(), self.place[some].tolist(), strict=True)
+        return np.frombuffer(b"".join([digest(self.data[i][a : b + length], p - a) for i, a, b, p in own]), np.int64).reshape(-1, 2)
+
+    def strings(self, some: np.ndarray) -> pd.DataFrame:
+        """The strings that have some anchors: digest, doc, start and anchor, in this order."""
+        found = []
+        for i in some.tolist():
+            text, doc = self.data[self.row[i]], self.doc[i]
+            found += [(xxhash.xxh3_128_digest(text[s : s + self.length]), doc, s, i) for s in range(self.first[i], self.last[i] + 1)]
+        return pd.DataFrame(found, columns=["digest", "doc", "start", "i"]).sort_values(["digest", "doc", "start"], ignore_index=True)
+
+
+#: Kinds of messages: anchors whose strings all go; the first of its context, where the anchor has others; the same, to be
+#: compared by whole strings; bits of a context's strings; one string.
+GONE, FIRST, WIDE, TEXT, STRING = range(5)
+MESSAGE = "kind int, k1 long, k2 long, block int, i int, doc long, start int, payload binary"
+
+
+def _ints(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values, "<i4").tobytes()
+
+
+def _numbers(messages: pd.DataFrame, kind: int) -> np.ndarray:
+    """The anchors that messages of a kind name, one by one or many in a payload."""
+    own = messages[messages["kind"] == kind]
+    many = [np.frombuffer(p, "<i4") for p in own["payload"] if p is not None]
+    return np.unique(np.concatenate([own["i"][own["payload"].isna()].to_numpy(), *many]).astype(np.int64))
+
+
+def _grams(length: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams, n = np.unique(Anchors(pdf["payload"], length).gram, return_counts=True)
+        return pd.DataFrame({"gram": grams.view(np.int64), "times": n.astype(np.int32), "block": np.full(len(grams), pdf["block"].iloc[0], np.int32)})
 
+    return run
 
-def judged(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """The states of the entries of one bucket."""
-    sizes, gram, context, doc, place = _unpack(pdf["payload"])
-    order = np.lexsort((place, doc, context, gram))
-    g, c, d, p = gram[order], context[order], doc[order], place[order]
-    new_gram = np.concatenate([[True], g[1:] != g[:-1]])
-    new = new_gram | np.concatenate([[True], c[1:] != c[:-1]])
-    of = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-    number = np.cumsum(new_gram) - 1
-    contexts = np.bincount(number, weights=new)[number]
-    state = np.select([(d != d[of]) | (p != p[of]), contexts > limit, contexts > 1], [LATER, HOT, FIRST], ALONE).astype(np.uint8)
-    out = np.zeros(len(g), np.uint8)
-    out[order] = state
-    ends = np.cumsum(sizes)
-    return pd.DataFrame({"block": pdf["block"].astype(np.int32), "kind": np.full(len(pdf), STATES, np.int32), "bucket": pdf["bucket"].astype(np.int64), "doc": 0, "place": 0, "payload": [out[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]})
 
+def _entries(length: int, limit: int):
+    """Anchors that occur again to one row for the first occurrence of each context here; all others of it go."""
+    columns = ["gram", "c1", "c2", "wide", "block", "i", "doc", "start", "payload"]
 
-def _send_contexts(length: int, buckets: int):
-    def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["kind", "key", "block", "doc", "place", "lo", "payload"]
-        if not len(pdf):
+    def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(again):
             return pd.DataFrame([], columns=columns)
-        x, block = Anchors(pdf, length), int(pdf["block"].iloc[0])
-        x.repeat(answers, buckets)
-        states = x.states(answers, buckets)
-        own = x.firsts[states == FIRST]
-        rows = [(MASKS, int(k), block, int(d), int(p), int(lo), x.data[i][lo:hi]) for k, d, p, i, lo, hi in zip(x.gram[own].view(np.int64), x.doc[own], x.place[own], x.row[own], x.lo[own], x.hi[own], strict=True)]
-        r, s, h = x.hot(states)
-        docs = x.ids.astype("Int64").fillna(LAST).to_numpy(np.int64)[r] if len(r) else np.zeros(0, np.int64)
-        at = bucket_bounds(h, buckets)
-        rows += [(WINDOWS, i, block, 0, 0, 0, _pack(h[at[i] : at[i + 1]], h[at[i] : at[i + 1]], docs[at[i] : at[i + 1]], s[at[i] : at[i + 1]])) for i in range(buckets) if at[i] < at[i + 1]]
-        return pd.DataFrame(rows, columns=columns)
+        x, block = Anchors(pdf["payload"], length), int(pdf["block"].iloc[0])
+        some = np.flatnonzero(np.isin(x.gram.view(np.int64), again["gram"].to_numpy()))
+        c1, c2 = x.contexts(some).T
+        order = np.lexsort((x.first[some], x.doc[some], c2, c1))
+        some, c1, c2 = some[order], c1[order], c2[order]
+        head = np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])[: len(some)]
+        of = some[np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))]
+        gone = some[(x.doc[some] != x.doc[of]) | (x.first[some] != x.first[of])]
+        first, c1, c2 = some[head], c1[head], c2[head]
+        grams, which, n = np.unique(x.gram[first], return_inverse=True, return_counts=True)
+        wide = n[which] > limit
+        plain = ~wide
+        rows = [pd.DataFrame({"gram": x.gram[first[plain]].view(np.int64), "c1": c1[plain], "c2": c2[plain], "wide": False, "i": first[plain], "doc": x.doc[first[plain]], "start": x.first[first[plain]], "payload": None})]
+        for g in np.unique(x.gram[first[wide]]).tolist():
+            own = first[wide][x.gram[first[wide]] == g]
+            rows.append(pd.DataFrame({"gram": np.array([g], np.uint64).view(np.int64), "c1": 0, "c2": 0, "wide": True, "i": -1, "doc": 0, "start": -1, "payload": [_ints(own)]}))
+        if len(gone):
+            rows.append(pd.DataFrame({"gram": mix(np.array([block], np.uint64)).view(np.int64), "c1": 0, "c2": 0, "wide": False, "i": -2, "doc": 0, "start": -1, "payload": [_ints(gone)]}))
+        return pd.concat([r for r in rows if len(r)] or rows, ignore_index=True).assign(block=block)[columns]
 
     return run
 
 
-def _settle(length: int):
-    columns = ["block", "kind", "bucket", "doc", "place", "payload"]
-
-    half = -(-(length - ANCHOR) // 2)
+def _contexts(length: int):
+    """Anchors to compare to rows with the key that they are compared under; what is known already passes.
 
-    def paired(pdf: pd.DataFrame) -> np.ndarray:
-        """Which contexts share, with another of their anchor, the anchor and half the reach on one side; every common string covers one of the two."""
-        left, right = [], []
-        for key, text, at in zip(pdf["key"].tolist(), pdf["payload"].tolist(), (pdf["place"] - pdf["lo"]).tolist(), strict=True):
-            left.append((key, text[at - half : at + ANCHOR]) if at >= half else None)
-            right.append((key, text[at : at + ANCHOR + half]) if len(text) >= at + ANCHOR + half else None)
-        n, m = Counter(left), Counter(right)
-        return np.array([(a is not None and n[a] > 1) or (b is not None and m[b] > 1) for a, b in zip(left, right, strict=True)], bool)
+    The strings that begin at most ``half`` before their anchor all hold the bytes
+    after it, the others all hold the bytes before it: these are the key.
+    """
+    half = (length - ANCHOR) // 2
+    columns = ["kind", "k1", "k2", "block", "i", "doc", "start", "payload"]
 
-    def masks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[paired(pdf)]
-        if not len(pdf):
+    def run(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(asked):
             return pd.DataFrame([], columns=columns)
-        flags = earlier_elsewhere(pdf["payload"].tolist(), pdf["doc"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64), length)
-        some = np.array([f.any() for f in flags])
-        pdf = pdf[some]
-        return pd.DataFrame({"block": pdf["block"], "kind": np.full(len(pdf), MASKS, np.int32), "bucket": 0, "doc": pdf["doc"], "place": pdf["place"], "payload": [np.packbits(f).tobytes() for f in flags if f.any()]}, columns=columns)
-
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes, h, _, doc, start = _unpack(pdf["payload"])
-        order = np.lexsort((start, doc, h))
-        g, d, s = h[order], doc[order], start[order]
-        of = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))
-        out = np.zeros(len(g), bool)
-        out[order] = (d != d[of]) | (s != s[of])
-        ends = np.cumsum(sizes)
-        return pd.DataFrame({"block": pdf["block"], "kind": np.full(len(pdf), WINDOWS, np.int32), "bucket": pdf["key"], "doc": 0, "place": 0, "payload": [np.packbits(out[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]}, columns=columns)
+        x, block = Anchors(pdf["payload"], length), int(pdf["block"].iloc[0])
+        own, digest, rows = _numbers(asked, FIRST), xxhash.xxh3_128_digest, []
+        for i, d, r, p, a, b in zip(own.tolist(), x.doc[own].tolist(), x.row[own].tolist(), x.place[own].tolist(), x.first[own].tolist(), x.last[own].tolist(), strict=True):
+            text = x.data[r]
+            if b >= p - half:
+                s = max(a, p - half)
+                rows.append((TEXT, digest(text[p : p + length - half], 1), d, s, i, text[s : b + length]))
+            if a < p - half:
+                rows.append((TEXT, digest(text[p - half - 1 : p + ANCHOR], 2), d, a, i, text[a : min(b, p - half - 1) + length]))
+        for kind in (GONE, WIDE):
+            if len(known := _numbers(asked, kind)):
+                rows.append((kind, digest(block.to_bytes(8, "little"), 3 + kind), 0, 0, -1, _ints(known)))
+        rows += [(STRING, k, d, s, i, None) for k, d, s, i in x.strings(_numbers(asked, WIDE)).drop_duplicates("digest").itertuples(index=False)]
+        out = pd.DataFrame(rows, columns=["kind", "key", "doc", "start", "i", "payload"])
+        keys = np.frombuffer(b"".join(out["key"]), np.int64).reshape(-1, 2)
+        return out.assign(k1=keys[:, 0], k2=keys[:, 1], block=block)[columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+    return run
 
-        def flush(last: bool) -> Iterator[pd.DataFrame]:
-            nonlocal held, size
-            own = pd.concat(held, ignore_index=True)
-            change = np.flatnonzero((own["kind"].to_numpy()[1:] != own["kind"].to_numpy()[:-1]) | (own["key"].to_numpy()[1:] != own["key"].to_numpy()[:-1])) + 1
-            cut = len(own) if last else int(change[-1]) if len(change) else 0
-            done, rest = own.iloc[:cut], own.iloc[cut:]
-            for kind, part in done.groupby("kind"):
-                if kind == MASKS:
-                    yield masks(part)
-                else:
-                    for _, one in part.groupby("key"):
-                        yield windows(one)
-            held, size = [rest], int(rest["payload"].str.len().sum())
 
+def _settle(length: int):
+    """Rows in the order of their keys to what starts earlier under the same key: bits of a context's strings, or a whole string."""
+
+    def compared(own: pd.DataFrame) -> pd.DataFrame:
+        known, own = own[own["kind"] <= WIDE], own[own["kind"] > WIDE]
+        own = own[own.duplicated(["k1", "k2"], keep=False)]
+        texts_, strings = own[own["kind"] == TEXT], own[own["kind"] == STRING]
+        if len(strings):
+            strings = strings.sort_values(["k1", "k2", "doc", "start"])
+            first = strings.groupby(["k1", "k2"], sort=False)[["doc", "start"]].transform("first")
+            strings = strings[(strings["doc"] != first["doc"]) | (strings["start"] != first["start"])]
+        if len(texts_):
+            flags = earlier_elsewhere(texts_["payload"].tolist(), texts_["doc"].to_numpy(np.int64), texts_["start"].to_numpy(np.int64), length)
+            some = np.array([f.any() for f in flags])
+            texts_ = texts_[some].assign(payload=[np.packbits(f).tobytes() for f in flags if f.any()])
+        return pd.concat([known, texts_, strings])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
-            lengths = pdf["payload"].str.len().tolist()
+            lengths = pdf["payload"].str.len().fillna(32).astype(int).tolist()
             for part in chunks(lengths, SORTED // 4):
                 held.append(pdf.iloc[part])
                 size += sum(lengths[part])
                 if size >= SORTED:
-                    yield from flush(False)
+                    own = pd.concat(held, ignore_index=True)
+                    k1, k2 = own["k1"].to_numpy(), own["k2"].to_numpy()
+                    change = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
+                    cut = int(change[-1]) if len(change) else 0
+                    if cut:
+                        yield compared(own.iloc[:cut])
+                    held = [own.iloc[cut:]]
+                    size = int(held[0]["payload"].str.len().fillna(32).sum())
         if held and sum(map(len, held)):
-            yield from flush(True)
+            yield compared(pd.concat(held, ignore_index=True))
 
     return run
 
 
-def _remove(length: int, buckets: int):
-    def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+def _remove(length: int):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+
+    def run(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame([], columns=columns)
-        x = Anchors(pdf, length)
-        x.repeat(answers, buckets)
-        states = x.states(answers, buckets)
-        whole = np.zeros(len(x.gram) + 1, bool)
-        in_entry = np.flatnonzero(x.entry >= 0)
-        e = x.entry[in_entry]
-        head = x.firsts[e]
-        whole[in_entry] = (states[e] == LATER) | (x.doc[in_entry] != x.doc[head]) | (x.place[in_entry] != x.place[head])
-        extra: dict[int, list[np.ndarray]] = {}
-        given = answers[answers["kind"] == MASKS]
-        masks = {(d, p): m for d, p, m in zip(given["doc"], given["place"], given["payload"], strict=True)}
-        for a in x.firsts[states == FIRST] if masks else []:
-            if (m := masks.get((x.doc[a], x.place[a]))) is not None:
-                n = x.hi[a] - x.lo[a] - length + 1
-                extra.setdefault(int(x.row[a]), []).append(x.lo[a] + np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), count=n)))
-        if (states == HOT).any():
-            r, s, h = x.hot(states)
-            at, gone = bucket_bounds(h, buckets), np.zeros(len(h), bool)
-            own = answers[answers["kind"] == WINDOWS]
-            for bucket, payload in zip(own["bucket"], own["payload"], strict=True):
-                lo, hi = at[bucket], at[bucket + 1]
-                gone[lo:hi] = np.unpackbits(np.frombuffer(payload, np.uint8), count=hi - lo).astype(bool)
-            for row, start in zip(r[gone].tolist(), s[gone].tolist(), strict=True):
-                extra.setdefault(row, []).append(np.array([start]))
-        starts: dict[int, np.ndarray] = {i: np.flatnonzero(whole[of]) for i, of in x.of_window}
+        x = Anchors(pdf["payload"], length)
+        whole = _numbers(told, GONE)
+        # (row, first start, last start) of runs of strings that go
+        row, first, last = [x.row[whole]], [x.first[whole]], [x.last[whole]]
+        some = told[told["kind"] == TEXT]
+        for r, s, bits in zip(x.row[some["i"].to_numpy(np.int64)].tolist(), some["start"].tolist(), some["payload"].tolist(), strict=True):
+            at = s + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+            row.append(np.full(len(at), r))
+            first.append(at)
+            last.append(at)
+        if len(wide := _numbers(told, WIDE)):
+            strings = x.strings(wide)
+            named = told[told["kind"] == STRING]
+            known = strings.groupby("digest", sort=False)[["doc", "start"]].transform("first")
+            again = (strings["doc"] != known["doc"]) | (strings["start"] != known["start"])
+            elsewhere = set(zip(named["i"].tolist(), named["start"].tolist(), strict=True))
+            gone = strings[again | np.array([k in elsewhere for k in zip(strings["i"].tolist(), strings["start"].tolist(), strict=True)], bool)]
+            row.append(x.row[gone["i"].to_numpy(np.int64)])
+            first.append(gone["start"].to_numpy(np.int64))
+            last.append(gone["start"].to_numpy(np.int64))
+        row, first, last = (np.concatenate(v).astype(np.int64) for v in (row, first, last))
+        sizes = np.array([len(d) for d in x.data], np.int64)
+        base = np.cumsum(sizes + 1) - sizes - 1
+        steps = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
+        np.add.at(steps, base[row] + first, 1)
+        np.add.at(steps, base[row] + last + length, -1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(steps) > 0]).astype(np.int8)))
+        begin, end = edges[::2], edges[1::2]
+        of = np.searchsorted(base, begin, "right") - 1
+        begin, end, cut = (begin - base[of]).tolist(), (end - base[of]).tolist(), np.searchsorted(of, np.arange(len(sizes) + 1)).tolist()
         rows = []
         for i, (doc, data) in enumerate(zip(x.ids, x.data, strict=True)):
-            own = np.concatenate([starts.get(i, np.zeros(0, np.int64)), *extra.get(i, [])]).astype(np.int64)
-            spans = intervals(covered(own, len(data), length)) if len(own) else []
+            spans = [[begin[k], end[k]] for k in range(cut[i], cut[i + 1])]
             kept, at = hashlib.sha256(), 0
             for s, t in spans:
                 kept.update(data[at:s])
                 at = t
             kept.update(data[at:])
-            rows.append((doc, len(data), sum(t - s for s, t in spans), len(spans), kept.hexdigest(), [list(s) for s in spans]))
+            rows.append((doc, len(data), sum(t - s for s, t in spans), len(spans), kept.hexdigest(), spans))
         return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
     return run
@@ -422,25 +399,22 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     maximal runs [start, end) that go. Matches never cross documents. Null texts,
     and those shorter than the length, lose nothing. A null doc_id comes after all
     others; rows that share a doc_id and a text are no earlier than each other; an
-    empty table gives no rows. Hashes have 64 bits: an anchor, a context, or a
-    string of an anchor with over contexts_limit contexts, may be taken for another with
-    probability 2**-64 a pair; the strings of all other contexts are compared byte
-    by byte.
+    empty table gives no rows. Anchors are only looked for by 64-bit hashes; whole
+    contexts, and the strings of an anchor with over contexts_limit contexts in one
+    block, count as equal by 128-bit digests, and all others are compared byte by byte.
     """
     if length < ANCHOR + 8:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
-    rows = texts(docs, id_col, text_col)
-    n = n_blocks(rows, block_bytes)
-    dealt = in_blocks(rows, n).groupBy("block")
-    answer = "block int, kind int, bucket long, doc long, place long, payload binary"
-
-    grams = dealt.applyInPandas(_send_grams(length, n), "bucket int, block int, payload binary").groupBy("bucket").applyInPandas(answered, "block int, bucket int, bits binary")
-    zero = F.lit(0).cast("long")
-    grams = grams.select("block", F.lit(GRAMS).alias("kind"), F.col("bucket").cast("long").alias("bucket"), zero.alias("doc"), zero.alias("place"), F.col("bits").alias("payload"), "bits")
-    entries = dealt.cogroup(grams.groupBy("block")).applyInPandas(_send_entries(length, n), "bucket int, block int, payload binary")
-    states = grams.drop("bits").unionByName(entries.groupBy("bucket").applyInPandas(_judge(contexts_limit), answer))
-    both = states.withColumn("bits", F.col("payload"))
-    contexts = dealt.cogroup(both.groupBy("block")).applyInPandas(_send_contexts(length, n), "kind int, key long, block int, doc long, place long, lo long, payload binary")
-    settled = contexts.repartition("kind", "key").sortWithinPartitions("kind", "key", "doc", "place").mapInPandas(_settle(length), answer)
-    last = both.unionByName(settled.withColumn("bits", F.col("payload")))
-    return dealt.cogroup(last.groupBy("block")).applyInPandas(_remove(length, n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    # one chain of steps, each with one reader, so that none runs twice; all read the same exchange of texts
+    dealt = packed(texts(docs, id_col, text_col), block_bytes).groupBy("block")
+    grams = dealt.applyInPandas(_grams(length), "gram long, times int, block int")
+    again = grams.withColumn("n", F.sum("times").over(Window.partitionBy("gram"))).where("n > 1").select("gram", "block")
+    entries = dealt.cogroup(again.groupBy("block")).applyInPandas(_entries(length, contexts_limit), "gram long, c1 long, c2 long, wide boolean, block int, i int, doc long, start int, payload binary")
+    place, own = F.struct("doc", "start"), Window.partitionBy("gram", "c1", "c2")
+    judged = entries.repartition("gram").withColumn("later", place != F.min(place).over(own))
+    judged = judged.withColumn("n", F.count_if(~F.col("later")).over(Window.partitionBy("gram"))).withColumn("any_wide", F.max("wide").over(Window.partitionBy("gram")))
+    kind = F.when((F.col("i") == -2) | ((F.col("i") >= 0) & F.col("later")), GONE).when(F.col("any_wide"), WIDE).when(F.col("n") > 1, FIRST)
+    asked = judged.select("block", kind.alias("kind"), "i", "payload").where("kind is not null")
+    contexts = dealt.cogroup(asked.groupBy("block")).applyInPandas(_contexts(length), MESSAGE)
+    settled = contexts.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_settle(length), MESSAGE)
+    return dealt.cogroup(settled.groupBy("block")).applyInPandas(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
