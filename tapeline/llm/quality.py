@@ -1,99 +1,223 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of characters, trained on trusted text.
 
-Counts, contexts and probabilities are tables: what the documents need is joined
-with them by n-gram, whatever its size, and goes back to the block of documents that
-asked for it. A text is read as characters with start marks before and an end mark
-after it; perplexity is for each character.
+A text is read as characters with start marks before and an end mark after it;
+perplexity is for each character. Documents are packed into *blocks*; a block asks
+for each of its n-grams once. N-grams and counts meet in *shards*, by the last two
+characters of an n-gram's context, so that a shard has all counts that orders three
+and up need for its n-grams; the two lowest orders are small tables that every shard
+is given. The shard's answers, one number for each n-gram in the order asked, go back
+to the block.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import BLOCK_BYTES, checkpointed, chunks, in_blocks, n_blocks
+from tapeline.llm.common import checkpointed, chunks, mix, packed, small_batches, unpacked
 
-#: Characters of an n-gram; quantile of the trusted documents' perplexity up to which documents are kept.
+#: Characters of an n-gram; quantile of held-out trusted documents' perplexity up to which documents are kept.
 ORDER, QUANTILE = 5, 0.995
+#: One in so many trusted documents is held out of training and sets the threshold.
+HELD_OUT = 5
+#: Bytes of text of a block.
+BLOCK = 24_000_000
+#: Trusted n-grams that a shard aims at.
+SHARD = 500_000
+#: Ids of trusted documents up to which they are sent to every task; more are joined by a shuffle.
+SENT_IDS = 2_000_000
 START, END = "\x02", "\x03"
 #: Perplexities are put in order by their logarithm to this many steps a unit.
 STEPS = 1000
+#: Kinds of rows of a model: n-grams and counts, probabilities of characters, and of pairs what is left of their own count, and what is freed by their first.
+COUNT, ONE, TWO, FREED = range(4)
 
 
 class Grams:
-    """The n-grams of some texts: ``of[i]`` is the number, among ``text``, of the n-gram that ends at place i."""
+    """The n-grams of some texts. ``codes`` has one number for each n-gram that ends in a character or the end mark, text by text."""
 
-    def __init__(self, texts_: list[str], order: int):
+    def __init__(self, texts_: list[str], order: int, alphabet: np.ndarray | None = None):
         own = [START * (order - 1) + t.replace(START, " ").replace(END, " ") + END for t in texts_]
-        self.sizes = np.array([len(t) for t in own]) - (order - 1)
-        chars = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
-        alphabet = np.flatnonzero(np.bincount(chars))
-        rank = np.zeros(int(alphabet[-1]) + 1, np.int64)
-        rank[alphabet] = np.arange(len(alphabet))
-        first = rank[chars]
-        ids, spelled = first, alphabet[:, None]
-        for _ in range(order - 1):
-            code = ids[:-1] * len(alphabet) + first[len(first) - len(ids) + 1 :]
-            if len(spelled) * len(alphabet) <= 1 << 25:
-                seen = np.flatnonzero(np.bincount(code))
-                number = np.zeros(len(spelled) * len(alphabet), np.int32)
-                number[seen] = np.arange(len(seen))
-                ids = number[code]
-            else:
-                seen, ids = np.unique(code, return_inverse=True)
-            spelled = np.concatenate([spelled[seen // len(alphabet)], alphabet[seen % len(alphabet)][:, None]], axis=1)
-        # n-grams that end in a start mark reach over from the text before
+        self.order, self.sizes = order, np.array([len(t) - (order - 1) for t in own], np.int64)
+        self.chars = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.alphabet = letters(self.chars) if alphabet is None else alphabet
+        rank = np.zeros(int(self.alphabet[-1]) + 1, np.uint64)
+        rank[self.alphabet] = np.arange(len(self.alphabet), dtype=np.uint64)
+        ranks, exact = rank[self.chars], len(self.alphabet) ** order < 1 << 63
+        base = np.uint64(len(self.alphabet) if exact else 0x9E3779B97F4A7C15)
+        n = len(ranks) - order + 1
+        code = ranks[:n].copy()
+        for k in range(1, order):
+            code *= base
+            code += ranks[k : n + k]
         ends = np.cumsum(self.sizes + order - 1) - (order - 1)
-        place = np.concatenate([np.arange(e - n, e) for e, n in zip(ends, self.sizes, strict=True)])
-        self.of = ids[place]
-        used = np.bincount(self.of, minlength=len(spelled))
-        kept = np.flatnonzero(used)
-        to = np.zeros(len(spelled), np.int64)
-        to[kept] = np.arange(len(kept))
-        self.of, self.count = to[self.of], used[kept]
-        joined = spelled[kept].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        self.text = [joined[i : i + order] for i in range(0, len(joined), order)]
-
-
-def _counts(texts_: list[str], order: int) -> pd.Series:
-    parts = []
-    for part in chunks([len(t) for t in texts_]):
-        g = Grams(texts_[part], order)
-        parts.append(pd.Series(g.count, index=g.text))
-    return pd.concat(parts).groupby(level=0).sum() if parts else pd.Series([], dtype=np.int64)
-
-
-def _trusted_counts(order: int):
-    def run(pdf: pd.DataFrame, trusted: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["doc_id"].isin(trusted["doc_id"])]
-        found = _counts([t for t in own["text"] if t], order)
-        return pd.DataFrame({"gram": found.index.astype(object), "c": found.to_numpy(np.int64)})
+        self.place = np.repeat(ends - np.cumsum(self.sizes), self.sizes) + np.arange(int(self.sizes.sum()))
+        self.codes = code[self.place] if exact else mix(code[self.place])
+
+    def spelled(self, at: np.ndarray) -> np.ndarray:
+        """The characters of the n-grams at some places of codes."""
+        return np.stack([self.chars[self.place[at] + k] for k in range(self.order)], 1)
+
+
+def letters(chars: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.bincount(chars))
+
+
+def as_text(spelled: np.ndarray) -> list[str]:
+    joined, order = np.ascontiguousarray(spelled, "<u4").tobytes().decode("utf-32-le", "surrogatepass"), spelled.shape[1]
+    return [joined[i : i + order] for i in range(0, len(joined), order)]
+
+
+def as_numbers(grams: list[str], order: int) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
+
+
+class Block:
+    """Documents of one block, and the distinct n-grams of their texts, by shard."""
+
+    def __init__(self, payloads: list[bytes], order: int, shards: int):
+        self.rows = unpacked(payloads)
+        self.full = [i for i, r in enumerate(self.rows) if r[1]]
+        self.parts = list(chunks([len(self.rows[i][1]) for i in self.full]))
+        self.order = order
+        seen = [letters(np.frombuffer("".join([START, END, " ", *self.texts(p)]).encode("utf-32-le", "surrogatepass"), "<u4")) for p in self.parts]
+        self.alphabet = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+        found, spelled = [np.zeros(0, np.uint64)], [np.zeros((0, order), np.uint32)]
+        for part in self.parts:
+            g = Grams(self.texts(part), order, self.alphabet)
+            codes, at = np.unique(g.codes, return_index=True)
+            found.append(codes)
+            spelled.append(g.spelled(at))
+        self.codes, at = np.unique(np.concatenate(found), return_index=True)
+        self.spelled = np.concatenate(spelled)[at]
+        pair = self.spelled[:, order - 3].astype(np.int64) << 21 | self.spelled[:, order - 2]
+        pairs, which = np.unique(pair, return_inverse=True)
+        number = [zlib.crc32((chr(p >> 21) + chr(p & 0x1FFFFF)).encode("utf-8", "surrogatepass")) % shards for p in pairs.tolist()]
+        self.shard = np.array(number, np.int64)[which] if len(pairs) else np.zeros(0, np.int64)
+
+    def texts(self, part: slice) -> list[str]:
+        return [self.rows[i][1] for i in self.full[part]]
+
+
+def _counted(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            g = Grams(held, order)
+            _, at, n = np.unique(g.codes, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(as_text(g.spelled(at)), pa.string()), pa.array(n, pa.int64())], names=["gram", "c"])
+
+        for batch in small_batches(batches):
+            for text in batch.column("text").to_pylist():
+                held.append(text)
+                size += len(text)
+                if size >= 4_000_000:
+                    yield flushed()
+                    held, size = [], 0
+        if held:
+            yield flushed()
 
     return run
 
 
-def _wanted(order: int):
+def _asked(order: int, shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _counts([t for t in pdf["text"] if t], order)
-        return pd.DataFrame({"block": np.full(len(found), pdf["block"].iloc[0], np.int32), "gram": found.index.astype(object)})
+        b = Block(pdf["payload"].tolist(), order, shards)
+        own = np.unique(b.shard)
+        asked = [zstandard.compress(np.ascontiguousarray(b.spelled[b.shard == s].T).tobytes(), 3) for s in own.tolist()]
+        return pd.DataFrame({"shard": own.astype(np.int32), "block": np.full(len(own), pdf["block"].iloc[0], np.int32), "payload": asked})
 
     return run
 
 
-def _perplexities(order: int):
-    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        value = pd.Series(known["logp"].to_numpy(), index=known["gram"])
-        full = np.flatnonzero([bool(t) for t in pdf["text"]])
-        out = np.full(len(pdf), np.nan)
-        texts_ = [pdf["text"][i] for i in full]
-        for part in chunks([len(t) for t in texts_]):
-            g = Grams(texts_[part], order)
-            logs = value.reindex(g.text).to_numpy()[g.of]
-            out[full[part]] = np.exp(-np.add.reduceat(logs, np.cumsum(g.sizes) - g.sizes) / g.sizes)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang": pdf["lang"], "perplexity": pd.Series(out).astype("Float64").where(~np.isnan(out), pd.NA)})
+def numbered(*columns: np.ndarray) -> np.ndarray:
+    """One number for each different row of some columns of whole numbers."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = np.unique(out * np.int64(int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
+    return out
+
+
+def shard_log_probabilities(model: pd.DataFrame, wanted: np.ndarray, discounts_: dict[int, tuple[float, float, float]], order: int) -> np.ndarray:
+    """log p of each wanted n-gram (a row of characters). model(kind, key, value) has the counts of all n-grams with the last two characters of their context in this shard, and the two lowest orders."""
+    of = lambda kind: model[model["kind"] == kind]
+    counts = of(COUNT)
+    n = len(counts)
+    both = np.concatenate([as_numbers(counts["key"].tolist(), order), wanted]).astype(np.int64)
+    count, last = counts["value"].to_numpy(np.float64), both[:, -1]
+
+    low = {kind: dict(zip(of(kind)["key"], of(kind)["value"], strict=True)) for kind in (ONE, TWO, FREED)}
+    pairs, which = np.unique(both[n:, -2] << 21 | both[n:, -1], return_inverse=True)
+    value = []
+    for p in pairs.tolist():
+        a, b = chr(p >> 21), chr(p & 0x1FFFFF)
+        one = low[ONE].get(b, low[ONE].get("", 0.0))
+        value.append(low[TWO].get(a + b, 0.0) + low[FREED].get(a, 1.0) * one)
+    p = np.array(value)[which]
+
+    context, grams = numbered(both[:, -3], both[:, -2]), {}
+    for k in range(3, order + 1):
+        if k > 3:
+            context = numbered(both[:, order - k], context)
+        grams[k] = context, numbered(context, last)
+    for k in range(3, order + 1):
+        context, gram = grams[k]
+        if k == order:
+            at, c = np.arange(n), count
+        else:  # in how many different n-grams of the next order it stands
+            longer = np.unique(grams[k + 1][1][:n], return_index=True)[1]
+            at, inverse = np.unique(gram[:n][longer], return_index=True, return_inverse=True)[1:]
+            at, c = longer[at], np.bincount(inverse, minlength=len(at)).astype(np.float64)
+        d = np.array(discounts_[k])[np.minimum(c, 3).astype(np.int64) - 1] if len(c) else c
+        size = int(context.max(initial=-1)) + 1
+        total, freed = np.bincount(context[at], c, size), np.bincount(context[at], d, size)
+        left = np.bincount(gram[at], c - d, int(gram.max(initial=-1)) + 1)
+        here = context[n:]
+        met = total[here] > 0
+        p[met] = (left[gram[n:][met]] + freed[here[met]] * p[met]) / total[here[met]]
+    return np.log(p)
+
+
+def _answered(order: int, discounts_: dict[int, tuple[float, float, float]]):
+    def run(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(asked):
+            blocks = [np.frombuffer(zstandard.decompress(p), np.uint32).reshape(order, -1).T for p in asked["payload"]]
+            # some blocks at a time, so that memory is bounded by a shard's counts
+            for part in chunks([len(b) for b in blocks], 2_000_000):
+                logs = shard_log_probabilities(model, np.concatenate(blocks[part]), discounts_, order).astype(np.float32)
+                ends = np.cumsum([len(b) for b in blocks[part]])
+                rows += [(block, shard, v.tobytes()) for block, shard, v in zip(asked["block"].iloc[part], asked["shard"].iloc[part], np.split(logs, ends[:-1]), strict=True)]
+        return pd.DataFrame(rows, columns=["block", "shard", "payload"])
+
+    return run
+
+
+def _perplexities(order: int, shards: int):
+    def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame([], columns=["doc_id", "lang", "perplexity"])
+        b = Block(pdf["payload"].tolist(), order, shards)
+        value = np.full(len(b.codes), np.nan)
+        for shard, payload in zip(answers["shard"], answers["payload"], strict=True):
+            value[b.shard == shard] = np.frombuffer(payload, np.float32)
+        out = np.full(len(b.rows), np.nan)
+        for part in b.parts:
+            g = Grams(b.texts(part), order, b.alphabet)
+            codes, which = np.unique(g.codes, return_inverse=True)
+            logs = value[np.searchsorted(b.codes, codes)][which]
+            out[b.full[part]] = np.exp(-np.add.reduceat(logs, np.cumsum(g.sizes) - g.sizes) / g.sizes)
+        ids, langs = pd.array([r[0] for r in b.rows], "Int64"), [r[2] for r in b.rows]
+        return pd.DataFrame({"doc_id": ids, "lang": langs, "perplexity": pd.Series(out).astype("Float64").where(~np.isnan(out), pd.NA)})
 
     return run
 
@@ -107,23 +231,25 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return min(max(1 - 2 * y * n2 / n1, 0.0), 1.0), min(max(2 - 3 * y * n3 / n2, 0.0), 2.0), min(max(3 - 4 * y * n4 / n3, 0.0), 3.0)
 
 
-def log_probabilities(counts: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
-    """wanted(gram) with logp, under the model of counts(gram, c); interpolated down to a uniform choice of characters."""
+def model_rows(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, dict[int, tuple[float, float, float]]]:
+    """counts(gram, c) to (kind, key, value) of counts and of the two lowest orders, and the discounts of all orders.
+
+    Below the highest order a count is of the different characters before an n-gram.
+    The lowest order is interpolated with a uniform choice of characters.
+    """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         tables[k] = tables[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
-    out = wanted.withColumn("p", F.lit(1.0) / F.lit(tables[1].count() + 1.0))
-    for k in range(1, order + 1):
-        d1, d2, d3 = discounts(tables[k])
-        own = tables[k].withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
-        context = F.substring("gram", 1, k - 1) if k > 1 else F.lit("")
-        contexts = own.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
-        at = order - k + 1
-        part = out.withColumn("_k", F.substring("gram", at, k)).withColumn("context", F.substring("gram", at, k - 1) if k > 1 else F.lit(""))
-        joined = part.join(own.select(F.col("gram").alias("_k"), (F.col("c") - F.col("d")).alias("left")), "_k", "left").join(contexts, "context", "left")
-        p = F.coalesce((F.coalesce("left", F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("total"), F.col("p"))
-        out = joined.select("gram", p.alias("p"))
-    return out.select("gram", F.log("p").alias("logp"))
+    of = {k: discounts(tables[k]) for k in tables}
+    less = lambda k: F.when(F.col("c") == 1, of[k][0]).when(F.col("c") == 2, of[k][1]).otherwise(of[k][2])
+    n, total, freed = tables[1].agg(F.count("*"), F.sum("c"), F.sum(less(1))).first()
+    uniform = (freed or 0.0) / (total or 1) / (n + 1)
+    one = tables[1].select(F.lit(ONE).alias("kind"), F.col("gram").alias("key"), ((F.col("c") - less(1)) / (total or 1) + uniform).alias("value"))
+    unseen = counts.sparkSession.createDataFrame([(ONE, "", float(uniform if n else 1.0))], "kind int, key string, value double")
+    first = tables[2].withColumn("a", F.substring("gram", 1, 1)).groupBy("a").agg(F.sum("c").alias("total"), F.sum(less(2)).alias("freed"))
+    two = tables[2].withColumn("a", F.substring("gram", 1, 1)).join(first, "a").select(F.lit(TWO).alias("kind"), F.col("gram").alias("key"), ((F.col("c") - less(2)) / F.col("total")).alias("value"))
+    back = first.select(F.lit(FREED).alias("kind"), F.col("a").alias("key"), (F.col("freed") / F.col("total")).alias("value"))
+    return counts.select(F.lit(COUNT).alias("kind"), F.col("gram").alias("key"), F.col("c").cast("double").alias("value")), one.unionByName(unseen).unionByName(two).unionByName(back), of
 
 
 def quantiles(values: DataFrame, q: float) -> DataFrame:
@@ -134,27 +260,45 @@ def quantiles(values: DataFrame, q: float) -> DataFrame:
     return ranked.where(F.col("below") >= q * F.col("all")).groupBy("lang").agg(F.exp(F.min("step") / STEPS).alias("threshold"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def perplexities(rows: DataFrame, ids: DataFrame, order: int = ORDER, block_bytes: int = BLOCK, shard_grams: int = SHARD) -> DataFrame:
+    """rows(doc_id, text, lang) with the perplexity of each text, null for one without characters, under a model of the texts with one of the ids(doc_id)."""
+    if order < 3:
+        raise ValueError("order must be at least 3")
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    trusted = rows.where("text <> ''").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    counts = checkpointed(trusted.select("text").mapInArrow(_counted(order), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
+    shards = -(-counts.count() // shard_grams) or 1
+    grams, low, of = model_rows(counts, order)
+    at = F.pmod(F.crc32(F.substring("key", order - 2, 2).cast("binary")), F.lit(shards)).cast("int")
+    every = low.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    model = grams.withColumn("shard", at).unionByName(every).select("shard", "kind", "key", "value")
+    dealt = packed(rows.select("doc_id", "text", "lang"), block_bytes).groupBy("block")
+    asked = dealt.applyInPandas(_asked(order, shards), "shard int, block int, payload binary")
+    answers = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_answered(order, of), "block int, shard int, payload binary")
+    return dealt.cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order, shards), "doc_id long, lang string, perplexity double")
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, block_bytes: int = BLOCK) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept): one row for each document.
 
-    ``trusted`` lists the ids of trusted documents, which train the model and, in each
-    language, set the threshold: the quantile of their perplexities. A language
-    without trusted documents has the threshold of all languages together. Null and
-    empty texts have no perplexity and are not kept; a null lang is a language of its
-    own; null and repeated ids keep their rows; without any trusted text nothing is
-    kept; an empty table gives no rows.
+    ``trusted`` lists the ids of trusted documents. One in HELD_OUT of them, by a
+    hash of the id, sets the threshold of its language, the quantile of its
+    perplexities, and the others train the model. A language without held-out
+    documents has the threshold of its other trusted ones, one without any that of
+    all languages together. Null and empty texts have no perplexity and are not kept; a null lang is a
+    language of its own; null and repeated ids keep their rows; without any trusted
+    text nothing is kept; an empty table gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"))
     ids = trusted.select(trusted[id_col].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    n = n_blocks(rows, block_bytes)
-    dealt = in_blocks(rows, n).groupBy("block")
-    counts = checkpointed(dealt.cogroup(in_blocks(ids, n).groupBy("block")).applyInPandas(_trusted_counts(order), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
-    pairs = dealt.applyInPandas(_wanted(order), "block int, gram string")
-    known = log_probabilities(counts, pairs.select("gram").distinct(), order)
-    scored = checkpointed(dealt.cogroup(pairs.join(known, "gram").groupBy("block")).applyInPandas(_perplexities(order), "doc_id long, lang string, perplexity double"))
-    sure = scored.join(ids, "doc_id", "left_semi")
-    everywhere = quantiles(sure.select(F.lit("").alias("lang"), "perplexity"), quantile).select(F.col("threshold").alias("general"))
-    limits = quantiles(sure, quantile)
-    out = scored.join(limits, "lang", "left").join(F.broadcast(everywhere), F.lit(True), "left")
-    out = out.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), "perplexity", F.coalesce("threshold", "general").alias("threshold"))
+    ids = ids.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
+    training = ids.where("not held").select("doc_id")
+    scored = checkpointed(perplexities(rows, training if not training.isEmpty() else ids.select("doc_id"), order, block_bytes))
+    sure = checkpointed(scored.where("perplexity is not null").join(ids, "doc_id").select("lang", "perplexity", "held"))
+    everywhere = lambda own, name: F.broadcast(quantiles(own.withColumn("lang", F.lit("")), quantile).select(F.col("threshold").alias(name)))
+    by_lang = lambda own, name: quantiles(own, quantile).withColumnRenamed("threshold", name)
+    held = sure.where("held")
+    out = scored.join(by_lang(held, "a"), "lang", "left").join(by_lang(sure, "b"), "lang", "left")
+    out = out.join(everywhere(held, "c"), F.lit(True), "left").join(everywhere(sure, "d"), F.lit(True), "left")
+    out = out.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), "perplexity", F.coalesce("a", "b", "c", "d").alias("threshold"))
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
