@@ -21,10 +21,9 @@ def _windows(words: list[list[bytes]], width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for part in chunks([len(w) for w in words]):
         own = words[part]
-        rolling, at = Rolling(word_hashes([x for w in own for x in w])), 0
+        runs, at = Rolling(word_hashes([x for w in own for x in w])).runs(width), 0
         for w in own:
-            starts = np.arange(at, at + max(0, len(w) - width + 1))
-            out.append(rolling.of(starts, starts + width))
+            out.append(runs[at : at + max(0, len(w) - width + 1)])
             at += len(w)
     return out
 
