@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tapeline.llm.common import small_batches, texts
+from tapeline.llm.common import only, remembered, small_batches, texts
 
 #: Fixed value: the piece pattern of the byte-level pre-tokenizer, as published with the vocabulary.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -106,6 +106,7 @@ class MergeCounter:
 
 
 _counters: dict[str, MergeCounter] = {}
+remembered["counts"] = [_counters]
 
 
 def counter(path: str) -> MergeCounter:
@@ -124,6 +125,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("counts")
         count = counter(tokenizer_path).count
         for batch in small_batches(batches):
             own = [t or "" for t in batch.column("text").to_pylist()]
@@ -169,6 +171,7 @@ class IdEncoder:
 
 
 _encoders: dict[str, IdEncoder] = {}
+remembered["ids"] = [_encoders]
 
 
 def encoder(path: str) -> IdEncoder:

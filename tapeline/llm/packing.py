@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tapeline.llm.bpe import encoder
-from tapeline.llm.common import chunks, small_batches, texts
+from tapeline.llm.common import chunks, only, small_batches, texts
 
 #: Sequences that one partition may number.
 SHARD = 1 << 40
@@ -106,6 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ids")
         ids_of, end = encoder(tokenizer_path).many, np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, TaskContext.get().partitionId() * SHARD)
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]

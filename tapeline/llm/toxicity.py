@@ -13,31 +13,34 @@ toxic sentence.
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.llm.bpe import Remembered
-from tapeline.llm.common import chunks, small_batches
+from tapeline.llm.common import chunks, only, small_batches
 
 DECAY, SPAN, POWER = 0.7, 6, 4
 #: Landmark words; longest word that is taken as one, longer ones are taken in overlapping parts.
 LANDMARKS, WORD = 128, 24
 #: Words of a sentence that are looked at together.
 LONG = 16
-#: Labelled documents of each class, at most, that a model is fitted on.
-SAMPLE = 1500
+#: Labelled documents of each class, at most, that a model is fitted on, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1500, 8_000_000
+#: Sentences that are in double precision at a time while a model is fitted.
+SLICE = 4096
 #: A document is called toxic from this score on.
 THRESHOLD = 0.7
 #: Gaps (first to second, second to third character) that the kernel sees.
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
-#: Characters are told apart modulo this; letters a-z by themselves.
-ALPHABET = 64
+#: Different characters of landmarks up to which a table of all triples is made.
+TABLE = 96
 EDGES = "\"'()[]{}<>.,;:!?*_-#%&$|~`"
 
 
@@ -53,13 +56,9 @@ def parts_of(word: str) -> list[str]:
 
 
 def encoded(words: list[str]) -> np.ndarray:
-    """Character codes, 0 after a word's end."""
-    out = np.zeros((len(words), WORD + SPAN), np.int64)
-    for i, w in enumerate(words):
-        for j, c in enumerate(w[:WORD]):
-            o = ord(c)
-            out[i, j] = o - 96 if 97 <= o <= 122 else 27 + o % (ALPHABET - 27)
-    return out
+    """Code points, 0 after a word's end; characters of all scripts stay apart."""
+    padded = "".join([w[:WORD].ljust(WORD + SPAN, "\0") for w in words])
+    return np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), WORD + SPAN).astype(np.int64)
 
 
 def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -67,9 +66,9 @@ def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, fl
     longest = int((codes > 0).sum(1).max()) if len(codes) else 0
     for i in range(longest):
         for a, b in GAPS:
-            x, y, z = codes[:, i], codes[:, i + a], codes[:, min(i + a + b, codes.shape[1] - 1)]
             if i + a + b < codes.shape[1]:
-                yield (x * ALPHABET + y) * ALPHABET + z, z > 0, DECAY ** (a + b + 1)
+                x, y, z = codes[:, i], codes[:, i + a], codes[:, i + a + b]
+                yield (x << 42) | (y << 21) | z, z > 0, DECAY ** (a + b + 1)
 
 
 class Kernel:
@@ -77,6 +76,9 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
+        # landmarks' own characters are numbered from 1, so that a table finds a sequence's row; no other character is in one
+        self.letters = np.unique(encoded(landmarks))
+        self.letters = self.letters[self.letters > 0]
         rows: dict[int, np.ndarray] = {}
         for m, w in enumerate(landmarks):
             own: dict[int, float] = {}
@@ -86,10 +88,21 @@ class Kernel:
             norm = np.sqrt(sum(v * v for v in own.values())) or 1.0
             for code, v in own.items():
                 rows.setdefault(code, np.zeros(len(landmarks), np.float32))[m] += v / norm
-        self.row = np.zeros(ALPHABET**3, np.int32)
-        self.weights = np.zeros((len(rows) + 1, len(landmarks)), np.float32)
-        for n, (code, w) in enumerate(rows.items(), 1):
-            self.row[code], self.weights[n] = n, w
+        self.codes = np.array(sorted(rows), np.int64)
+        self.weights = np.stack([np.zeros(len(landmarks), np.float32), *(rows[c] for c in self.codes.tolist())])
+        size = len(self.letters) + 1
+        self.row = np.zeros(size**3 if size <= TABLE else 0, np.int32)
+        if len(self.row) and len(self.codes):
+            x, y, z = (np.searchsorted(self.letters, (self.codes >> k) & 0x1FFFFF) + 1 for k in (42, 21, 0))
+            self.row[(x * size + y) * size + z] = np.arange(1, len(self.codes) + 1)
+
+    def rows_of(self, code: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Where the weights of sequences are; 0 for one of no landmark. x, y, z: numbers of their characters, 0 for others."""
+        if len(self.row):
+            size = len(self.letters) + 1
+            return np.where((x > 0) & (y > 0) & (z > 0), self.row[(x * size + y) * size + z], 0)
+        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+        return np.where(self.codes[at] == code, at + 1, 0) if len(self.codes) else np.zeros(len(code), np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
@@ -97,10 +110,13 @@ class Kernel:
         for at in range(0, len(words), 2048):
             take = order[at : at + 2048]
             codes = encoded([words[i] for i in take])
+            place = np.searchsorted(self.letters, codes)
+            own = np.where(self.letters[np.minimum(place, len(self.letters) - 1)] == codes, place + 1, 0) if len(self.letters) else np.zeros_like(codes)
             seen, value = np.zeros((len(take), len(self.landmarks)), np.float32), []
-            for code, there, weight in subsequences(codes):
-                row = self.row[np.where(there, code, 0)]
-                hit = np.flatnonzero(row)
+            numbered = ((own[:, i], own[:, i + a], own[:, i + a + b]) for i in range(WORD) for a, b in GAPS if i + a + b < own.shape[1])
+            for (code, there, weight), three in zip(subsequences(codes), numbered, strict=False):
+                row = self.rows_of(code, *three)
+                hit = np.flatnonzero((row > 0) & there)
                 if len(hit):
                     seen[hit] += np.float32(weight) * self.weights[row[hit]]
                 value.append((np.where(there, code, -1), weight))
@@ -119,16 +135,23 @@ class Kernel:
         return np.minimum(out, 1) ** POWER
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, by Newton steps."""
-    x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    v = np.zeros(x1.shape[1])
-    ridge = np.eye(x1.shape[1])
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss over some rows of x, by Newton steps; its normal equations are summed over slices."""
+    n = x.shape[1] + 1
+    v, ridge = np.zeros(n), np.eye(n)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        in_ = y * (x1 @ v) < 1
-        xs, cs = x1[in_], cost[in_][:, None]
-        new = np.linalg.solve(ridge + 2 * (xs * cs).T @ xs, 2 * ((xs * cs).T @ y[in_]))
+        left, right = ridge.copy(), np.zeros(n)
+        for at in range(0, len(rows), SLICE):
+            s = slice(at, at + SLICE)
+            x1 = np.ones((len(rows[s]), n))
+            x1[:, :-1] = x[rows[s]]
+            in_ = y[s] * (x1 @ v) < 1
+            xs = x1[in_]
+            weighted = xs * cost[s][in_][:, None]
+            left += 2 * weighted.T @ xs
+            right += 2 * weighted.T @ y[s][in_]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, v, rtol=1e-6, atol=1e-9):
             break
         v = new
@@ -143,7 +166,7 @@ class Model:
 
     def ready(self) -> Model:
         self.kernel = Kernel(self.landmarks)
-        self.known = Remembered(lambda word: 0.0, 400_000)
+        self.known = Remembered(lambda word: 0.0, 200_000)
         return self
 
     def learn(self, words: list[str]) -> None:
@@ -169,11 +192,21 @@ class Model:
 def fit(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     """rows: (doc_id, text, toxic). Which sentence makes a document toxic isn't given: it is chosen anew in each round."""
     rows = sorted(rows, key=lambda r: (r[0], r[2]))
-    own = [[[p for w in s for p in parts_of(w)] for s in sentences(t)] for _, t, _ in rows]
     label = np.array([r[2] for r in rows])
+    number: dict[str, int] = {}
     counts = Counter(), Counter()
-    for d, y in zip(own, label.tolist(), strict=True):
-        counts[y].update({w for s in d for w in s if len(w) > 2})
+    flat, begins, of = array("i"), array("q"), array("i")  # numbers of words, where sentences begin, whose they are
+    for i, (_, text, toxic) in enumerate(rows):
+        met = set()
+        for sentence in sentences(text):
+            begins.append(len(flat))
+            of.append(i)
+            for w in sentence:
+                for p in parts_of(w):
+                    flat.append(number.setdefault(p, len(number)))
+                    met.add(p)
+        counts[toxic].update(p for p in met if len(p) > 2)
+    flat, begins, of = (np.frombuffer(v, v.typecode).astype(np.int64) for v in (flat, begins, of))
     n = max(1, int((label == 0).sum())), max(1, int((label == 1).sum()))
     odds = {w: np.log((c + 0.1) / n[1]) - np.log((counts[0][w] + 0.1) / n[0]) for w, c in counts[1].items() if c > 2}
     # sure of the odds: how many deviations they are above nothing
@@ -194,17 +227,16 @@ def fit(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     value, vector = np.linalg.eigh(kernel.of(landmarks).astype(np.float64))
     keep = value > 1e-6 * value.max()
     basis = vector[:, keep] / np.sqrt(value[keep])
-    words = sorted({w for d in own for s in d for w in s})
-    number = {w: i for i, w in enumerate(words)}
-    feature = kernel.of(words) @ basis
-    x, of = [], []
-    for i, d in enumerate(own):
-        for s in d:
-            x.append(feature[[number[w] for w in s]].sum(0))
-            of.append(i)
-    x, of = np.array(x, np.float64), np.array(of)
-    hint = np.array([max((odds.get(w, 0) for w in s), default=0) for d in own for s in d])
-    value_of = hint
+    words = list(number)
+    feature = np.concatenate([(kernel.of(words[at : at + 8192]) @ basis).astype(np.float32) for at in range(0, len(words), 8192)])
+    chance = np.array([odds.get(w, 0.0) for w in words])
+    x, value_of = np.zeros((len(of), feature.shape[1]), np.float32), np.zeros(len(of))
+    for at in range(0, len(of), SLICE):
+        end = begins[at + SLICE] if at + SLICE < len(of) else len(flat)
+        own, first = flat[begins[at] : end], begins[at : at + SLICE] - begins[at]
+        x[at : at + SLICE] = np.add.reduceat(feature[own], first)
+        value_of[at : at + SLICE] = np.maximum.reduceat(chance[own], first)
+    del feature
     clean = np.flatnonzero(label[of] == 0)
     for _ in range(4):
         order = np.lexsort((-value_of, of))
@@ -213,8 +245,8 @@ def fit(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
         take = np.concatenate([worst, clean])
         y = np.where(label[of[take]] == 1, 1.0, -1.0)
         cost = np.where(y > 0, 50.0 / max(1, len(worst)), 50.0 / max(1, len(clean))) * 20
-        weight, bias = svm(x[take], y, cost)
-        value_of = x @ weight + bias
+        weight, bias = svm(x, take, y, cost)
+        value_of = x @ weight.astype(np.float32) + bias
     top = np.full(len(rows), bias)
     np.maximum.at(top, of, value_of)
     share = np.where(label == 1, prior / max(1e-9, label.mean()), (1 - prior) / max(1e-9, 1 - label.mean()))
@@ -229,15 +261,20 @@ def fit(rows: list[tuple[int, str | None, int]], prior: float) -> Model:
     return Model(landmarks, basis @ weight, bias, float(slope), float(shift))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` documents of each label, those first by a hash of the id; made in one task."""
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model made in one task from at most ``sample`` documents of each label, those first by a hash of the id, as far as their texts add up to ``sample_bytes``.
+
+    Rows with a null id, or a label other than 0 and 1, teach nothing; a repeated id
+    counts each of its texts.
+    """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
     chosen = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     small = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
-    own = rows.join(F.broadcast(small), "doc_id")
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.join(F.broadcast(small), "doc_id").withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < sample_bytes).drop("before")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [pickle.dumps(fit(list(zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["toxic"].tolist(), strict=True)), prior))]})
@@ -251,6 +288,7 @@ def _scorer(model: Model):
 
     def score(texts_: list[str | None]) -> np.ndarray:
         if not held:
+            only("toxicity")
             held.append(model.ready())
         return np.concatenate([held[0].scores(texts_[s]) for s in chunks([len(t or "") for t in texts_])] or [np.zeros(0)])
 
@@ -274,7 +312,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, that score under the threshold."""
+    """The documents, all columns, that score under the threshold.
+
+    Null, empty and wordless texts have the score of an empty sentence; null and
+    repeated ids, and columns of any name, pass through; an empty table gives no rows.
+    """
     score = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
