@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import CHUNK, Rolling, checkpointed, chunks, mix, small_batches, texts, word_hashes
+from tapeline.llm.common import CHUNK, Rolling, checkpointed, chunks, mix, only, small_batches, texts, word_hashes
 from tapeline.llm.components import components
 
 #: Keys in each of the two collections, and minhashes in each key. At similarity s
@@ -50,6 +50,7 @@ def shingle_sets(texts_: list[str | None], width: int) -> list[np.ndarray]:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         for batch in small_batches(batches):
             ids, sets = batch.column("doc_id"), shingle_sets(batch.column("text").to_pylist(), width)
             keys, digests = [], np.zeros((len(sets), 2), np.uint64)
@@ -69,6 +70,7 @@ def _signatures(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
@@ -88,7 +90,7 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members, with their components, of table entries that hold more than one component."""
     labelled = members.join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key")
-    return checkpointed(labelled.join(mixed, "key", "left_semi").select("key", "id", "pivot", "component_id"))
+    return checkpointed(labelled.join(mixed, "key", "left_semi").select("key", "table_no", "id", "pivot", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -116,9 +118,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = reps.select("doc_id", F.posexplode("keys").alias("i", "key"))
     shared = single.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1").select("i", "key")
     alive = single.join(shared, ["i", "key"], "left_semi").groupBy("doc_id").agg(F.sum(F.when(F.col("i") < SIDE, 1).otherwise(0)).alias("u"), F.sum(F.when(F.col("i") >= SIDE, 1).otherwise(0)).alias("v")).where("u > 0 and v > 0").select("doc_id")
-    table = reps.join(alive, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode(F.expr(f"flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence({SIDE}, {2 * SIDE - 1}), j -> xxhash64(i, keys[i], j, keys[j]))))")).alias("key"))
+    table = reps.join(alive, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.posexplode(F.expr(f"flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence({SIDE}, {2 * SIDE - 1}), j -> xxhash64(i, keys[i], j, keys[j]))))")).alias("table_no", "key"))
     pivots = table.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    members = checkpointed(table.join(pivots, "key").select("key", "id", "pivot"))
+    members = checkpointed(table.join(pivots, "key").select("key", "table_no", "id", "pivot"))
 
     wanted = members.select("id").distinct()
     sets = checkpointed(rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi").distinct().mapInArrow(_sets(width), "id long, shingles array<long>"))
@@ -127,36 +129,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first.where(is_link).select("a", "b")
     found = components(links)
 
+    # A shingle is rare if at most RARE of the documents in mixed entries have it. Documents that share no rare one have
+    # at most the smaller number of their other shingles in common, which mostly rules a link out.
+    rest = _mixed(members, found)
+    own = sets.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rare = own.groupBy("shingle").agg(F.count("*").alias("times")).where(F.col("times") <= RARE).select("shingle")
+    rare = checkpointed(own.join(rare, "shingle", "left_semi"))
+    few = rare.groupBy("id").agg(F.count("*").alias("few"))
+    sizes = checkpointed(sets.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.size("shingles").alias("n")).join(few, "id", "left").select("id", "n", (F.col("n") - F.coalesce("few", F.lit(0))).alias("many")))
+    # a partner has at least percent of a document's shingles; so many must be left of its common ones too
+    able = sizes.where(f"100L * many >= {percent}L * n")
+    near = lambda p, q: f"100L * least({p}n, {q}n) >= {percent}L * greatest({p}n, {q}n) and {100 + percent}L * least({p}many, {q}many) >= {percent}L * ({p}n + {q}n)"
+
     # Entries that their smallest member did not join into one component meet further members, the same ones in most tables.
     verified = first
     for seeds in PIVOTS:
-        rest = _mixed(members, found)
-        picked = rest.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(s), "id").alias("h"), "id", "component_id")).alias(f"p{s}") for s in seeds))
-        met = rest.join(picked, "key").withColumn("p", F.explode(F.array(*(f"p{s}" for s in seeds)))).where("component_id <> p.component_id")
+        met = rest.join(able, "id")
+        picked = met.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(s), "id").alias("h"), "id", "component_id", "n", "many")).alias(f"p{s}") for s in seeds))
+        met = met.join(picked, "key").withColumn("p", F.explode(F.array(*(f"p{s}" for s in seeds)))).where("component_id <> p.component_id and " + near("", "p."))
         asked = met.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")
         more = checkpointed(_verified(asked, sets))
         verified, links = verified.unionByName(more), links.unionByName(more.where(is_link).select("a", "b"))
         found = components(links)
+        rest = _mixed(members, found)
 
-    # What is still apart. A shingle is rare if at most RARE of the documents in question have it. Documents that
-    # share no rare one have at most the smaller number of their other shingles in common, which mostly rules a
-    # link out, as the distances from the first pivot may; the others are compared in full.
-    rest = _mixed(members, found)
-    asked = rest.select("id", "component_id").distinct()
-    own = sets.join(asked.select("id"), "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    rare = own.groupBy("shingle").agg(F.count("*").alias("times")).where(F.col("times") <= RARE).select("shingle")
-    rare = checkpointed(own.join(rare, "shingle", "left_semi"))
-    few = rare.groupBy("id").agg(F.count("*").alias("few"))
-    tagged = rare.join(asked, "id")
-    x, y = (tagged.select("shingle", F.col("id").alias(f"id{s}"), F.col("component_id").alias(f"c{s}"), F.col("n").alias(f"n{s}")) for s in "xy")
-    open_ = f"idx > idy and cx <> cy and 100L * least(nx, ny) >= {percent}L * greatest(nx, ny)"
-    sharing = x.join(y, "shingle").where(open_).select("idx", "idy")
-    apart = first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("na").alias("n"), (1 - F.col("common") / F.col("either")).alias("far"))
-    rest = rest.where("id <> pivot").join(apart, ["id", "pivot"]).join(few, "id", "left").withColumn("many", F.col("n") - F.coalesce("few", F.lit(0)))
-    x, y = (rest.select("key", F.col("id").alias(f"id{s}"), F.col("component_id").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("many").alias(f"m{s}"), F.col("far").alias(f"far{s}")) for s in "xy")
-    reach = 1 - percent / 100 + 1e-9
-    alike = x.join(y, "key").where(f"{open_} and abs(farx - fary) <= {reach} and {100 + percent}L * least(mx, my) >= {percent}L * (nx + ny)").select("idx", "idy")
-    between = sharing.unionByName(alike).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    # What is still apart: documents that share a rare shingle, and those whose other shingles are enough, unless the
+    # distances from the first pivot rule a link out. A pair is given out by the first table that it shares.
+    tagged = rare.join(rest.select("id", "component_id").distinct(), "id")
+    x, y = (tagged.select("shingle", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "component_id"))) for s in "xy")
+    apart_ = "xid > yid and xcomponent_id <> ycomponent_id"
+    sharing = x.join(y, "shingle").where(f"{apart_} and 100L * least(xn, yn) >= {percent}L * greatest(xn, yn)").select("xid", "yid")
+    apart = first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("far"))
+    rest = rest.where("id <> pivot").join(apart, ["id", "pivot"]).join(able, "id").join(reps.select(F.col("doc_id").alias("id"), "keys"), "id")
+    rest = rest.select("key", "table_no", "id", "component_id", "n", "many", "far", *(F.col("keys")[i].alias(f"k{i}") for i in range(2 * SIDE)))
+    x, y = (rest.select("key", *(F.col(c).alias(f"{s}{c}") for c in rest.columns if c != "key")) for s in "xy")
+    first_of = lambda own: "case " + " ".join(f"when xk{i} = yk{i} then {i % SIDE}" for i in own) + " end"
+    first_shared = f"xtable_no = {SIDE} * {first_of(range(SIDE))} + {first_of(range(SIDE, 2 * SIDE))}"
+    alike = x.join(y, "key").where(f"{apart_} and {near('x', 'y')} and abs(xfar - yfar) <= {1 - percent / 100 + 1e-9} and {first_shared}").select("xid", "yid")
+    between = sharing.unionByName(alike).select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
     second = _verified(between.join(verified.select("a", "b"), ["a", "b"], "left_anti"), sets)
     joined = components(links.unionByName(second.where(is_link).select("a", "b")))
 
