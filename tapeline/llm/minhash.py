@@ -21,8 +21,8 @@ from tapeline.llm.components import components
 #: Keys in each of the two collections, and minhashes in each key. At similarity s
 #: a pair shares no table with probability under 2 * (1 - s**HALF)**SIDE: 7e-5 at 0.8.
 SIDE, HALF = 10, 2
-#: Members, by the order of a seeded hash, that entries with several components meet, round by round.
-PIVOTS = ((1, 2, 3, 4), (5, 6, 7, 8))
+#: Seeds of hashes; of each, the first member meets the others of an entry with several components.
+PIVOTS = (1, 2, 3, 4, 5, 6, 7, 8)
 #: Documents, at most, that have a rare shingle.
 RARE = 4
 #: Fixed seeds of the permutations.
@@ -142,16 +142,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = lambda p, q: f"100L * least({p}n, {q}n) >= {percent}L * greatest({p}n, {q}n) and {100 + percent}L * least({p}many, {q}many) >= {percent}L * ({p}n + {q}n)"
 
     # Entries that their smallest member did not join into one component meet further members, the same ones in most tables.
-    verified = first
-    for seeds in PIVOTS:
-        met = rest.join(able, "id")
-        picked = met.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(s), "id").alias("h"), "id", "component_id", "n", "many")).alias(f"p{s}") for s in seeds))
-        met = met.join(picked, "key").withColumn("p", F.explode(F.array(*(f"p{s}" for s in seeds)))).where("component_id <> p.component_id and " + near("", "p."))
-        asked = met.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        more = checkpointed(_verified(asked, sets))
-        verified, links = verified.unionByName(more), links.unionByName(more.where(is_link).select("a", "b"))
-        found = components(links)
-        rest = _mixed(members, found)
+    met = rest.join(able, "id")
+    picked = met.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(s), "id").alias("h"), "id", "component_id", "n", "many")).alias(f"p{s}") for s in PIVOTS))
+    met = met.join(picked, "key").withColumn("p", F.explode(F.array(*(f"p{s}" for s in PIVOTS)))).where("component_id <> p.component_id and " + near("", "p."))
+    asked = met.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    more = checkpointed(_verified(asked, sets))
+    verified, links = first.unionByName(more), links.unionByName(more.where(is_link).select("a", "b"))
+    rest = _mixed(members, components(links))
 
     # What is still apart: documents that share a rare shingle, and those whose other shingles are enough, unless the
     # distances from the first pivot rule a link out. A pair is given out by the first table that it shares.
