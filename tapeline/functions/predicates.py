@@ -23,14 +23,47 @@ def is_player_tag(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[a-zA-Z0-9]+#[0-9]+\z"), F.lit(False))
 
 
+def _host_and_rest(url: Column) -> tuple[Column, Column]:
+    """The host of an address, without the scheme and www that it may have, and what follows the first slash."""
+    bare = F.when(url.startswith("https://"), F.substring(url, 9, 1 << 30)).when(url.startswith("http://"), F.substring(url, 8, 1 << 30)).otherwise(url)
+    bare = F.when(bare.startswith("www."), F.substring(bare, 5, 1 << 30)).otherwise(bare)
+    slash = F.locate("/", bare)
+    return F.when(slash > 0, F.substring(bare, F.lit(1), slash - 1)), F.when(slash > 0, F.substring(bare, slash + 1, F.lit(1 << 30)))
+
+
+def _only(text: Column, allowed: str) -> Column:
+    """Not empty, and made of the characters alone."""
+    return (F.length(text) > 0) & (F.length(F.translate(text, allowed, "")) == 0)
+
+
+#: Characters of names, of ids, and the length of a video's id.
+DIGITS = "0123456789"
+NAME = DIGITS + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
+ID, ID_LENGTH = NAME + "-", 11
+
+
 def is_youtube_url(url: Column) -> Column:
-    """Watch, live and short addresses of one video with an id of eleven characters."""
-    return F.coalesce(url.rlike(r"^(https?://)?(www\.)?(youtube\.com/(watch\?v=|live/)|youtu\.be/)[a-zA-Z0-9_-]{11}(&.*)?\z"), F.lit(False))
+    """Watch, live and short addresses of one video: its id, then nothing, or further parameters without white space."""
+    host, rest = _host_and_rest(url)
+    lead = {"youtube.com": ("watch?v=", "live/"), "youtu.be": ("",)}
+    found = None
+    for name, starts in lead.items():
+        for start in starts:
+            video = F.when((host == name) & rest.startswith(start), F.substring(rest, len(start) + 1, 1 << 30))
+            found = video if found is None else F.coalesce(found, video)
+    own, more = F.substring(found, 1, ID_LENGTH), F.substring(found, ID_LENGTH + 1, 1 << 30)
+    ended = (more == "") | (more.startswith("&") & ~more.rlike(r"(?U)\s"))
+    return F.coalesce((F.length(own) == ID_LENGTH) & _only(own, ID) & ended, F.lit(False))
 
 
 def is_twitch_url(url: Column) -> Column:
-    """Addresses of a recorded video or of a clip."""
-    return F.coalesce(url.rlike(r"^(https?://)?(www\.)?twitch\.tv/(videos/[0-9]+|[a-zA-Z0-9_]+/clip/[a-zA-Z0-9_-]+)\z"), F.lit(False))
+    """Addresses of a recorded video, by number, or of a channel's clip."""
+    host, rest = _host_and_rest(url)
+    part = lambda i: F.get(F.split(rest, "/", -1), F.lit(i))
+    n = F.size(F.split(rest, "/", -1))
+    video = (n == 2) & (part(0) == "videos") & _only(part(1), DIGITS)
+    clip = (n == 3) & (part(1) == "clip") & _only(part(0), NAME) & _only(part(2), ID)
+    return F.coalesce((host == "twitch.tv") & (video | clip), F.lit(False))
 
 
 def platform(url: Column) -> Column:

@@ -69,28 +69,36 @@ def as_of(requests: DataFrame, rows: DataFrame, key: str, t: str, value: str, fo
     return both.withColumn(f"found_{value}", F.last("_v", ignorenulls=True).over(w)).where("_ask").drop("_v", "_ask")
 
 
+def _phase(c: Column, step: float) -> Column:
+    """Where a time lies between grid points; equal for times that are whole steps apart."""
+    return F.round(F.pmod(c.cast("double"), F.lit(step)), 6)
+
+
 def playing_bounds(games: DataFrame, classes: DataFrame, step: float = 1.0) -> DataFrame:
     """Games with start and end moved inwards to playing frames on the grid that each bound anchors; games without either go.
 
-    games(video_id, game_no, start_s, end_s), classes(video_id, t, cls).
+    games(video_id, game_no, start_s, end_s), classes(video_id, t, cls). Each bound is
+    one as-of lookup among the frames of its video and phase.
     """
-    playing = classes.where("cls = 'playing'").select("video_id", "t")
-    joined = games.where("start_s is not null and end_s is not null").join(playing, "video_id", "left")
-    on_grid = lambda d: F.abs(d / step - F.round(d / step)) < 1e-9
-    after = F.min(F.when((F.col("t") >= F.col("start_s")) & on_grid(F.col("t") - F.col("start_s")), F.col("t")))
-    before = F.max(F.when((F.col("t") <= F.col("end_s")) & on_grid(F.col("end_s") - F.col("t")), F.col("t")))
-    out = joined.groupBy("video_id", "game_no").agg(after.alias("start_s"), before.alias("end_s"))
-    return out.where("start_s is not null and end_s is not null")
+    key = lambda c: F.concat_ws("|", "video_id", _phase(c, step))
+    playing = classes.where("cls = 'playing'").select(key(F.col("t")).alias("_key"), F.col("t").cast("double").alias("t")).withColumn("p", F.col("t"))
+    known = games.where("start_s is not null and end_s is not null").select("video_id", "game_no", "start_s", "end_s")
+
+    def moved(bound: str, forward: bool) -> DataFrame:
+        asked = known.select("video_id", "game_no", key(F.col(bound)).alias("_key"), F.col(bound).cast("double").alias("t"))
+        return as_of(asked, playing, "_key", "t", "p", forward).where("found_p is not null").select("video_id", "game_no", F.col("found_p").alias(bound))
+
+    return moved("start_s", True).join(moved("end_s", False), ["video_id", "game_no"])
 
 
 def next_acceptable_frame(requests: DataFrame, frames: DataFrame, accept: Column, step: float = 1.0) -> DataFrame:
     """requests(video_id, request_id, t0) with t: the first accepted frame at t0, t0 + step, ..., null if none."""
     good = frames.where(accept).select("video_id", F.col("t").cast("double").alias("t"))
-    phase = lambda c: F.round(F.pmod(c, F.lit(step)), 6)
-    asked = requests.withColumn("_key", F.concat_ws("|", "video_id", phase(F.col("t0")))).withColumn("t", F.col("t0").cast("double"))
-    keyed = good.withColumn("_key", F.concat_ws("|", "video_id", phase(F.col("t")))).withColumn("next", F.col("t"))
+    asked = requests.withColumn("_key", F.concat_ws("|", "video_id", _phase(F.col("t0"), step))).withColumn("t", F.col("t0").cast("double"))
+    keyed = good.withColumn("_key", F.concat_ws("|", "video_id", _phase(F.col("t"), step))).withColumn("next", F.col("t"))
     return as_of(asked, keyed, "_key", "t", "next").drop("_key", "t").withColumnRenamed("found_next", "t")
 
 
 def order_chunks(chunks: DataFrame) -> DataFrame:
-    return chunks.where("not coalesce(remove, false)").orderBy("video_id", "start")
+    """Kept chunks with order_no, their place by start in their video, from 1."""
+    return chunks.where("not coalesce(remove, false)").withColumn("order_no", F.row_number().over(Window.partitionBy("video_id").orderBy("start", "end")))

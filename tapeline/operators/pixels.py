@@ -106,27 +106,32 @@ def bright_bbox(pixels: DataFrame, win_w: int = 650, win_h: int = 400, tol: int
     return pixels.groupBy("frame_id").agg(*(F.coalesce(v, F.lit(d)).alias(n) for v, d, n in zip(found, default, ("x1", "y1", "x2", "y2"), strict=True)))
 
 
-def panel_bbox(pixels: DataFrame, color: tuple[int, int, int], column_x: int, width: int, height: int, tol: int = 30) -> DataFrame:
-    """(frame_id, x1, y1, x2, y2) of a panel of rows in one colour.
+#: Shares of a frame's height, from the lowest hit to a panel's bottom and from its top to the row that is read across.
+BOTTOM, ACROSS = 0.058, 0.005
+
+
+def panel_bbox(pixels: DataFrame, color: tuple[int, int, int], column_x: int, width: int, height: int, left: bool = True, tol: int = 20, across_tol: int = 30) -> DataFrame:
+    """(frame_id, x1, y1, x2, y2) of a panel of rows in one colour at the left or right of each frame; 0 for what isn't found.
 
     On one column, read upwards, the bottom lies a margin under the first hit, and the
     top is the nearest row without a hit at least two rows above the fourth run of
-    hits; 0 without one. On a row just under the top, the sides are the outermost hits
-    of the outer quarters.
+    hits. On a row just under the top, both sides are the outermost hits of the
+    quarter where the panel is; a hit at x = 0 can't be its left side.
     """
-    hit = color_similar(tuple(map(F.col, RGB)), tuple(map(F.lit, color)), tol)
-    column = pixels.where(F.col("x") == column_x).withColumn("hit", hit)
+    rgb, own = tuple(map(F.col, RGB)), tuple(map(F.lit, color))
+    column = pixels.where(F.col("x") == column_x).withColumn("hit", color_similar(rgb, own, tol))
     island = F.col("y") - F.row_number().over(Window.partitionBy("frame_id").orderBy("y"))
     runs = column.where("hit").withColumn("_i", island).groupBy("frame_id", "_i").agg(F.min("y").alias("top"), F.max("y").alias("end"))
     ranked = runs.withColumn("n", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.col("end").desc())))
     edges = ranked.groupBy("frame_id").agg(F.max(F.when(F.col("n") == 1, F.col("end"))).alias("end"), F.max(F.when(F.col("n") == 4, F.col("top"))).alias("fourth"))
     above = column.where("not hit").join(edges, "frame_id").where("y <= fourth - 2").groupBy("frame_id").agg(F.max("y").alias("y1"))
-    margin = int(np.floor(0.058 * height))
-    vertical = edges.join(above, "frame_id", "left").select("frame_id", F.coalesce("y1", F.lit(0)).alias("y1"), (F.col("end") + margin).alias("y2"))
-    row = F.floor(F.col("y1") + 0.005 * height)
-    sides = pixels.join(vertical, "frame_id").where((F.col("y") == row) & hit).groupBy("frame_id")
-    sides = sides.agg(F.min(F.when(F.col("x") < width / 4, F.col("x"))).alias("x1"), F.max(F.when(F.col("x") >= width * 3 / 4, F.col("x"))).alias("x2"))
-    return vertical.join(sides, "frame_id", "left").select("frame_id", "x1", "y1", "x2", "y2")
+    found = pixels.select("frame_id").distinct().join(edges, "frame_id", "left").join(above, "frame_id", "left")
+    vertical = found.select("frame_id", F.coalesce("y1", F.lit(0)).alias("y1"), F.coalesce(F.col("end") + int(np.floor(BOTTOM * height)), F.lit(0)).alias("y2"))
+    quarter = F.col("x") < width / 4 if left else F.col("x") > width * 3 / 4
+    row = F.col("y") == F.floor(F.col("y1") + ACROSS * height)
+    sides = pixels.where(quarter & color_similar(rgb, own, across_tol)).join(vertical, "frame_id").where(row).groupBy("frame_id")
+    sides = sides.agg(F.min(F.when(F.col("x") > 0, F.col("x"))).alias("x1"), F.max("x").alias("x2"))
+    return vertical.join(sides, "frame_id", "left").select("frame_id", F.coalesce("x1", F.lit(0)).alias("x1"), "y1", F.coalesce("x2", F.lit(0)).alias("x2"), "y2")
 
 
 def probe_frames(frames: DataFrame, points: list[tuple[int, int]]) -> DataFrame:

@@ -57,9 +57,12 @@ def game_attributes(games: DataFrame, readings: DataFrame, fields: list[str], wi
 def jump_hints(readings: DataFrame) -> DataFrame:
     """(video_id, game_no, t, estimate): the latest frame of each game at which a clock estimate is known and earlier than the frame.
 
-    readings(video_id, game_no, t, estimate) of games whose map and names are known.
+    readings(video_id, game_no, t, estimate, map, orange, blue): read backwards, a
+    frame counts once the map and both names have been read at it or at a later one.
     """
-    usable = readings.where("estimate is not null and estimate < t")
+    back = Window.partitionBy("video_id", "game_no").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = [F.max(F.coalesce(F.col(c), F.lit("")) != "").over(back).alias(f"_{c}") for c in ("map", "orange", "blue")]
+    usable = readings.select("*", *known).where("_map and _orange and _blue and estimate is not null and estimate < t")
     w = Window.partitionBy("video_id", "game_no").orderBy(F.col("t").desc())
     return usable.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("video_id", "game_no", "t", "estimate")
 
@@ -73,12 +76,18 @@ def without_jumped(classes: DataFrame, hints: DataFrame, width: float = 600.0) -
 
 def one_frame_per_game(frames: DataFrame, seed: int = 7) -> DataFrame:
     """One frame of each game, picked by a hash of its time: the same on every run."""
-    w = Window.partitionBy("video_id", "game_no").orderBy(F.xxhash64(F.lit(seed), "t"), "t")
+    w = Window.partitionBy("video_id", "game_no").orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("t").cast("string")).cast("binary")), "t")
     return frames.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def games_in_list_order(games: DataFrame) -> DataFrame:
-    return games.orderBy("video_id", "end_s")
+    """Games with list_no, their place by time in their video, from 1."""
+    return games.withColumn("list_no", F.row_number().over(Window.partitionBy("video_id").orderBy("end_s")))
+
+
+def games_found(games: DataFrame) -> DataFrame:
+    """(video_id, games_found)."""
+    return games.groupBy("video_id").agg(F.count("*").alias("games_found"))
 
 
 def selection(games: DataFrame, key: str = "video_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from tapeline.operators import intervals, matching, pixels, resolve, segments, t
 from tapeline.plans import views as V
 from tapeline.plans.views import sql
 from tapeline.sources import exports, history, logs
+from tapeline.sources.shared import shared_folder
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,15 +101,22 @@ def consensus(spark, d):
     return resolve.consensus(r, ["user_id"]).withColumnRenamed("text", "plain").join(resolve.consensus(r, ["user_id"], checker=C.score_check).withColumnRenamed("text", "checked"), "user_id")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+ten AS (SELECT c_nationkey, list(c_name ORDER BY n) AS roster FROM c WHERE n <= 10 GROUP BY 1),
+own AS (SELECT c_nationkey, n // 6 AS g, list(replace(c_name, '0', 'o') ORDER BY c_custkey) AS readings FROM c GROUP BY 1, 2),
+fold AS (SELECT c_nationkey, g, readings, roster, 0 AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS VARCHAR[]) AS names FROM own JOIN ten USING (c_nationkey)
+  UNION ALL SELECT c_nationkey, g, readings, roster, i + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.j) END, list_append(names, coalesce(roster[best.j + 1], readings[i + 1])) FROM (
+  SELECT *, list_sort(list_transform(list_filter(range(0, len(roster)), lambda j: NOT list_contains(used, j)),
+    lambda j: {'d': CASE WHEN roster[j + 1] = readings[i + 1] THEN -1 ELSE levenshtein(lower(roster[j + 1]), lower(readings[i + 1])) END, 'j': j}))[1] AS best FROM fold WHERE i < len(readings)))
+SELECT c_nationkey, g, array_to_string(names, '|') AS names FROM fold WHERE i = len(readings)""")
 def resolve_names(spark, d):
-    """Names of each nation's customers read with an error, against a roster of its first ten by number."""
+    """Names of each nation's customers read with an error, six at a time, against a roster of ten, as many as two full sides have."""
     c = V.table(spark, d, "customer")
     w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    ten = c.withColumn("n", F.row_number().over(w)).where("n <= 10").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c_name"))), lambda x: x["c_name"]).alias("roster"))
-    group = F.floor(F.row_number().over(w) / 6)
-    read = c.withColumn("g", group).groupBy("c_nationkey", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.regexp_replace(x["c_name"], "0", "o")).alias("readings"))
-    return read.join(ten, "c_nationkey").select("c_nationkey", "g", resolve.resolved_names(F.col("readings"), F.col("roster")).alias("names"))
+    numbered = c.withColumn("n", F.row_number().over(w))
+    ten = numbered.where("n <= 10").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c_name"))), lambda x: x["c_name"]).alias("roster"))
+    read = numbered.groupBy("c_nationkey", F.floor(F.col("n") / 6).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.regexp_replace(x["c_name"], "0", "o")).alias("readings"))
+    return read.join(ten, "c_nationkey").select("c_nationkey", "g", F.array_join(resolve.resolved_names(F.col("readings"), F.col("roster")), "|").alias("names"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(lower(replace(replace(text, chr(10), ''), chr(13), '')), ' ')) AS word FROM documents),
@@ -141,17 +150,31 @@ def order_games(spark, d):
     return node.withColumn("data", F.struct(F.col("data.duration").alias("duration"), F.col("data.col2").alias("teamOne"), F.col("data.col3").alias("teamTwo"))).withColumnRenamed("o_orderkey", "pos")
 
 
-SLOTS_SQL = """slots AS (SELECT l_orderkey, l_linenumber % 2 AS side, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem)"""
+SLOTS_SQL = """slots AS (SELECT *, l_linenumber % 2 AS side, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem)"""
+#: A player's cells and what they are in a line.
+CELLS = {"name": "CAST(l_partkey AS VARCHAR)", "kills": "CAST(l_quantity AS INTEGER)", "deaths": "l_linenumber", "assists": "CAST(l_suppkey AS INTEGER)", "score": "0", "inflictedDamage": "l_extendedprice", "bulletsFiredAccuracy": "l_tax"}
+WIDE_SQL = ", ".join(f"max(CASE WHEN side = {n} AND k = {k} THEN {v} END) AS {side}_{k}_{c}" for n, side in enumerate(("orange", "blue")) for k in range(1, 6) for c, v in CELLS.items())
 
 
 @query("WITH " + SLOTS_SQL + """ SELECT o_orderkey, o_orderstatus AS mode, CAST(count(*) AS INTEGER) AS n_players, o_orderpriority AS map, strftime(o_orderdate, '%d/%m/%Y') AS date, strftime(o_orderdate, '%H:%M') AS hour,
-  concat(o_orderkey % 900 // 60, 'm', o_orderkey % 900 % 60, 's') AS readable_duration, CAST(o_orderkey % 10 AS INTEGER) AS orange_score, CAST(o_custkey % 7 AS INTEGER) AS blue_score,
-  max(CASE WHEN side = 0 AND k = 1 THEN CAST(l_partkey AS VARCHAR) END) AS orange_1_name, max(CASE WHEN side = 0 AND k = 5 THEN CAST(l_partkey AS VARCHAR) END) AS orange_5_name,
-  max(CASE WHEN side = 1 AND k = 1 THEN CAST(l_partkey AS VARCHAR) END) AS blue_1_name, CAST(max(CASE WHEN side = 1 AND k = 3 THEN l_quantity END) AS INTEGER) AS blue_3_kills,
-  CAST(count(*) FILTER (WHERE k > 5) AS INTEGER) AS n_dropped FROM orders JOIN slots ON o_orderkey = l_orderkey GROUP BY ALL""")
+  concat(o_orderkey % 900 // 60, 'm', o_orderkey % 900 % 60, 's') AS readable_duration, CAST(o_orderkey % 900 AS INTEGER) AS duration, CAST(o_orderkey % 10 AS INTEGER) AS orange_score, CAST(o_custkey % 7 AS INTEGER) AS blue_score,
+  """ + WIDE_SQL + """, CAST(count(*) FILTER (WHERE k > 5) AS INTEGER) AS n_dropped FROM orders JOIN slots ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority, o_orderdate, o_custkey""")
 def history_wide(spark, d):
-    wide = history.export_wide(history.game_teams(order_games(spark, d)), ("pos",))
-    return wide.select(F.col("pos").alias("o_orderkey"), "mode", "n_players", "map", "date", "hour", "readable_duration", "orange_score", "blue_score", "orange_1_name", "orange_5_name", "blue_1_name", "blue_3_kills", "n_dropped")
+    return history.export_wide(history.game_teams(order_games(spark, d)), ("pos",)).withColumnRenamed("pos", "o_orderkey")
+
+
+@query("""SELECT CAST(o_orderkey % 4 AS INTEGER) AS season, CAST(o_orderkey // 100 AS INTEGER) AS page, o_orderstatus AS mode, o_orderpriority AS map, CAST(o_orderkey % 900 AS INTEGER) AS duration, CAST(o_orderkey % 10 AS INTEGER) AS orange_score,
+  CAST(o_custkey % 7 AS INTEGER) AS blue_score, CAST(count(*) AS INTEGER) AS n_players FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority""")
+def history_pages(spark, d):
+    """Orders written as page documents, with pages that have no list of games among them, and read back."""
+    node = F.struct("createdAt", "mode", "map", "data", "players")
+    games = order_games(spark, d).withColumn("season", F.col("pos") % 4).withColumn("page", F.floor(F.col("pos") / 100))
+    pages = games.groupBy("season", "page").agg(F.collect_list(node).alias("nodes"))
+    full = pages.select(F.to_json(F.struct("season", "page", F.struct(F.struct("nodes").alias("gameHistories")).alias("data"))).alias("value"))
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    full.unionByName(pages.select(F.to_json(F.struct("season", "page", F.struct(F.lit(1).alias("other")).alias("data"))).alias("value"))).write.text(folder)
+    flat = history.n_players(history.game_teams(history.read_history(spark, folder)))
+    return flat.join(pages.select("season", "page"), ["season", "page"], "left_semi").select(F.col("season").cast("int").alias("season"), F.col("page").cast("int").alias("page"), "mode", "map", "duration", "orange_score", "blue_score", "n_players")
 
 
 @query("WITH " + SLOTS_SQL + " SELECT l_orderkey AS o_orderkey, CASE side WHEN 0 THEN 'orange' ELSE 'blue' END AS side, CAST(k - 1 AS INTEGER) AS slot, CAST(l_partkey AS VARCHAR) AS name, CAST(l_quantity AS INTEGER) AS kills FROM slots WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
@@ -243,16 +266,39 @@ def logs_report(spark, d):
     return logs.export_logs(V.logs(spark, d), "Console", "now")
 
 
+@query(sql("SELECT seq, level, CASE WHEN seq % 2 = 0 THEN concat('{\"id\":', seq, '}') ELSE concat('a ', seq) END AS message, source FROM v_logs", "v_logs"))
+def logs_read(spark, d):
+    """Logs of two producers written as JSON lines, some messages as objects and some as parts, and read back."""
+    own, folder = V.logs(spark, d), f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    head = [F.col("seq"), F.col("level"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), F.col("source")]
+    objects = own.where("seq % 2 = 0").select(F.to_json(F.struct(*head, F.struct(F.col("seq").alias("id")).alias("message"))).alias("value"), "source")
+    parts = own.where("seq % 2 <> 0").select(F.to_json(F.struct(*head, logs.message_text(F.array(F.lit("a"), F.col("seq").cast("string"))).alias("message"))).alias("value"), "source")
+    for name in ("shell", "ui"):
+        objects.unionByName(parts).where(F.col("source") == name).select("value").write.text(f"{folder}/{name}")
+    return logs.union_logs(logs.read_logs(spark, f"{folder}/shell"), logs.read_logs(spark, f"{folder}/ui")).select("seq", "level", "message", "source")
+
+
+@query(sql("""SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY "start") AS order_no, CAST("start" AS DOUBLE) AS "start", CAST("end" AS DOUBLE) AS "end" FROM v_chunks WHERE chunk_no % 3 <> 0""", "v_chunks"))
+def chunk_order(spark, d):
+    return intervals.order_chunks(chunks_of(spark, d)).select("video_id", F.col("order_no").cast("long").alias("order_no"), "start", "end")
+
+
+@query(sql("SELECT video_id, CAST(game_no AS BIGINT) AS game_no, row_number() OVER (PARTITION BY video_id ORDER BY end_s) AS list_no, count(*) OVER (PARTITION BY video_id) AS games_found FROM v_games", "v_games"))
+def games_list(spark, d):
+    g = games_of(spark, d)
+    return segments.games_in_list_order(g).join(segments.games_found(g), "video_id").select("video_id", "game_no", F.col("list_no").cast("long").alias("list_no"), "games_found")
+
+
 ID = "lpad(CAST(page_id AS VARCHAR), 11, 'a')"
 
 
-@query(f"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.youtube.com/watch?list=x&v=' || {ID} || '&t=3' WHEN 1 THEN 'youtube.com/live/' || {ID} WHEN 2 THEN 'https://youtu.be/' || {ID} || '?si=q'
+@query(f"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.youtube.com/watch?list=x&v=' || {ID} || '&t=3' WHEN 1 THEN 'youtube.com/live/' || {ID} || CASE WHEN page_id % 12 = 1 THEN '&a b' ELSE '&a=b' END WHEN 2 THEN 'https://youtu.be/' || {ID} || '?si=q'
   WHEN 3 THEN 'twitch.tv/some_one/clip/' || {ID} WHEN 4 THEN 'https://www.twitch.tv/videos/' || page_id ELSE url END AS url FROM pages)
-SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'https://www.youtube.com/watch?v=' || {ID} ELSE url END AS canonical, CASE WHEN page_id % 6 = 0 THEN 'youtube' WHEN page_id % 6 = 1 THEN 'youtube' WHEN page_id % 6 IN (3, 4) THEN 'twitch' END AS platform,
+SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'https://www.youtube.com/watch?v=' || {ID} ELSE url END AS canonical, CASE WHEN page_id % 6 = 0 THEN 'youtube' WHEN page_id % 6 = 1 AND page_id % 12 <> 1 THEN 'youtube' WHEN page_id % 6 IN (3, 4) THEN 'twitch' END AS platform,
   concat('n', page_id, '#', page_id) AS tag, page_id % 2 = 0 AS is_tag, concat('n', page_id) AS tag_name FROM u""")
 def urls(spark, d):
     p, i = F.col("page_id"), F.lpad(F.col("page_id").cast("string"), 11, "a")
-    url = F.when(p % 6 == 0, F.concat(F.lit("https://www.youtube.com/watch?list=x&v="), i, F.lit("&t=3"))).when(p % 6 == 1, F.concat(F.lit("youtube.com/live/"), i)).when(p % 6 == 2, F.concat(F.lit("https://youtu.be/"), i, F.lit("?si=q")))
+    url = F.when(p % 6 == 0, F.concat(F.lit("https://www.youtube.com/watch?list=x&v="), i, F.lit("&t=3"))).when(p % 6 == 1, F.concat(F.lit("youtube.com/live/"), i, F.when(p % 12 == 1, "&a b").otherwise("&a=b"))).when(p % 6 == 2, F.concat(F.lit("https://youtu.be/"), i, F.lit("?si=q")))
     url = url.when(p % 6 == 3, F.concat(F.lit("twitch.tv/some_one/clip/"), i)).when(p % 6 == 4, F.concat(F.lit("https://www.twitch.tv/videos/"), p.cast("string"))).otherwise(F.col("url"))
     tag = F.concat(F.lit("n"), p.cast("string"), F.lit("#"), p.cast("string"))
     pasted = C.player_tag_from_paste(F.concat(F.lit("https://x/"), tag, F.lit("/z")))
@@ -282,35 +328,87 @@ def bbox(spark, d):
     return out.select("frame_id", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-@query(sql("""SELECT frame_id, CAST(floor(avg(r) + 0.5) AS INTEGER) AS r, CAST(floor(avg(g) + 0.5) AS INTEGER) AS g, CAST(floor(avg(b) + 0.5) AS INTEGER) AS b, CAST(sum(CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b > 127.3 THEN 255 ELSE 0 END) AS BIGINT) AS white,
-  bool_or(true) AS fits, CAST(60 AS INTEGER) AS grown FROM v_pixels GROUP BY frame_id""", "v_pixels"))
+@query(sql("""SELECT frame_id, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, white, x2 - x1 <= 63 AND y2 - y1 <= 30 AS size_ok, frame_id % 5 = 0 OR (abs(x1 - 10) <= 10 AND abs(y1 - 10) <= 10 AND abs(x2 - 60) <= 10 AND abs(y2 - 35) <= 10) AS bound_ok,
+  CAST(floor(x1 - gx + 0.5) AS INTEGER) AS gx1, CAST(floor(y1 - gy + 0.5) AS INTEGER) AS gy1, CAST(floor(x2 + CASE WHEN l = 25 THEN gx ELSE (x2 - x1) * 0.25 END + 0.5) AS INTEGER) AS gx2, CAST(floor(y2 + gy + 0.5) AS INTEGER) AS gy2 FROM (
+  SELECT *, least(x1, (x2 - x1) * l / 100.0) AS gx, least(y1, (y2 - y1) * 10 / 100.0) AS gy FROM (
+  SELECT *, frame_id % 20 AS x1, frame_id * 7 % 20 AS y1, frame_id % 20 + 40 + b % 30 AS x2, frame_id * 7 % 20 + 20 + frame_id % 20 AS y2, CASE WHEN frame_id % 2 = 0 THEN 25 ELSE 40 END AS l FROM (
+  SELECT frame_id, CAST(floor(avg(r) + 0.5) AS BIGINT) AS r, CAST(floor(avg(g) + 0.5) AS BIGINT) AS g, CAST(floor(avg(b) + 0.5) AS BIGINT) AS b, CAST(sum(CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b > 127.3 THEN 255 ELSE 0 END) AS BIGINT) AS white FROM v_pixels GROUP BY frame_id)))""", "v_pixels"))
 def mean_color(spark, d):
+    """Mean colours, and boxes made from them: their size, their nearness to a bound that some frames have, and grown by margins."""
     p = V.pixels(spark, d)
-    box = F.struct(F.lit(10).alias("x1"), F.lit(10).alias("y1"), F.lit(50).alias("x2"), F.lit(30).alias("y2"))
-    grown = C.expand_box(box, F.array(*map(F.lit, (10, 25, 10, 25))))
-    out = pixels.mean_color(p).join(pixels.black_and_white(p, 127.3).groupBy("frame_id").agg(F.sum("v").alias("white")), "frame_id")
-    return out.withColumn("fits", P.box_size_ok(box) & P.box_matches_bound(box, F.array(*map(F.lit, (10, 10, 40, 20))), F.lit(60))).withColumn("grown", grown["x2"])
+    b, f = F.col("b"), F.col("frame_id")
+    x, y = f % 20, f * 7 % 20
+    box = F.struct(x.alias("x1"), y.alias("y1"), (x + 40 + b % 30).alias("x2"), (y + 20 + x).alias("y2"))
+    bound = F.when(f % 5 != 0, F.array(*map(F.lit, (10, 10, 50, 25))))
+    grown = C.expand_box(F.col("box"), F.array(F.lit(10), F.lit(25), F.lit(10), F.when(f % 2 == 0, 25).otherwise(40)))
+    out = pixels.mean_color(p).join(pixels.black_and_white(p, 127.3).groupBy("frame_id").agg(F.sum("v").alias("white")), "frame_id").withColumn("box", box).withColumn("grown", grown)
+    checks = P.box_size_ok(F.col("box"), 63, 30).alias("size_ok"), P.box_matches_bound(F.col("box"), bound, F.lit(2000)).alias("bound_ok")
+    return out.select("frame_id", "r", "g", "b", "white", *checks, *(F.col("grown")[c].alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")))
 
 
 @query(sql("""SELECT frame_id, CAST(y AS BIGINT) AS y, CAST(n AS INTEGER) AS height FROM (SELECT frame_id, i, min(y) AS y, count(*) AS n, max(last) AS last FROM (
   SELECT *, y - row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i FROM (SELECT frame_id, y, max(max(y)) OVER (PARTITION BY frame_id) AS last,
   sum(CASE WHEN c = 'w' THEN 1 ELSE 0 END) > 0 AND ((sum(CASE WHEN c = 'o' THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN c = 'b' THEN 1 ELSE 0 END) > 0) OR sum(CASE WHEN c = 'r' THEN 1 ELSE 0 END) > 0) AS hot
-  FROM (SELECT frame_id, y, CASE WHEN r >= 100 AND g >= 100 AND b >= 100 THEN 'w' WHEN r >= 100 AND g >= 60 AND b <= 155 THEN 'o' WHEN r <= 155 AND g <= 155 AND b >= 100 THEN 'b' WHEN r >= 100 AND g <= 155 AND b <= 155 THEN 'r' END AS c FROM v_pixels)
+  FROM (SELECT frame_id, y, CASE WHEN r >= 175 AND g >= 175 AND b >= 175 THEN 'w' WHEN r >= 175 AND g >= 135 AND b <= 80 THEN 'o' WHEN r <= 80 AND g <= 80 AND b >= 175 THEN 'b' WHEN r >= 175 AND g <= 80 AND b <= 80 THEN 'r' END AS c FROM v_pixels)
   GROUP BY frame_id, y) WHERE hot) GROUP BY frame_id, i) WHERE y + n - 1 < last AND n BETWEEN 1 AND 9""", "v_pixels"))
 def runs(spark, d):
     palette = [("white", (255, 255, 255)), ("orange", (255, 215, 0)), ("blue", (0, 0, 255)), ("red", (255, 0, 0))]
-    lines = pixels.line_color_counts(V.pixels(spark, d), palette, 155)
+    lines = pixels.line_color_counts(V.pixels(spark, d), palette, 80)
     hot = pixels.hot_line(F.col("white"), F.col("orange"), F.col("blue"), F.col("red"))
     return pixels.text_runs(lines.select("frame_id", "y", hot.alias("hot")), 5, 4)
 
 
-@query(sql("""SELECT v.frame_id, CAST(coalesce(max(p.y) FILTER (WHERE NOT p.hit AND p.y <= v.fourth - 2), 0) AS BIGINT) AS y1, CAST(v.bottom + 2 AS BIGINT) AS y2 FROM (
+def panel_sql(left: bool) -> str:
+    return sql(f"""SELECT e.frame_id, CAST(coalesce(min(q.x) FILTER (WHERE q.x > 0), 0) AS BIGINT) AS x1, y1, CAST(coalesce(max(q.x), 0) AS BIGINT) AS x2, y2, y2 - y1 BETWEEN 10 AND 30 AS tall FROM (
+  SELECT f.frame_id, CAST(coalesce(max(p.y) FILTER (WHERE NOT p.hit AND p.y <= v.fourth - 2), 0) AS BIGINT) AS y1, CAST(coalesce(v.bottom + 2, 0) AS BIGINT) AS y2 FROM (SELECT DISTINCT frame_id FROM v_pixels) f LEFT JOIN (
   SELECT frame_id, max(CASE WHEN k = 1 THEN e END) AS bottom, max(CASE WHEN k = 4 THEN s END) AS fourth FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY e DESC) AS k FROM (
-  SELECT frame_id, i, min(y) AS s, max(y) AS e FROM (SELECT frame_id, y, y - row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i FROM v_pixels WHERE x = 30 AND r >= 100 AND g >= 60 AND b >= 60) GROUP BY ALL)) GROUP BY frame_id) v
-  JOIN (SELECT frame_id, y, r >= 100 AND g >= 60 AND b >= 60 AS hit FROM v_pixels WHERE x = 30) p ON p.frame_id = v.frame_id GROUP BY v.frame_id, v.bottom""", "v_pixels"))
+  SELECT frame_id, i, min(y) AS s, max(y) AS e FROM (SELECT frame_id, y, y - row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i FROM v_pixels WHERE x = 30 AND r >= 100 AND g >= 60 AND b >= 60) GROUP BY ALL)) GROUP BY frame_id) v ON v.frame_id = f.frame_id
+  LEFT JOIN (SELECT frame_id, y, r >= 100 AND g >= 60 AND b >= 60 AS hit FROM v_pixels WHERE x = 30) p ON p.frame_id = f.frame_id GROUP BY f.frame_id, v.bottom) e
+  LEFT JOIN (SELECT * FROM v_pixels WHERE r >= 55 AND g >= 15 AND b >= 15 AND {"x < 15" if left else "x > 45"}) q ON q.frame_id = e.frame_id AND q.y = e.y1 GROUP BY ALL""", "v_pixels")
+
+
+def panel_of(spark, d, left):
+    box = pixels.panel_bbox(V.pixels(spark, d), (255, 215, 215), 30, 60, 40, left, 155, 200)
+    return box.select("frame_id", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")), P.panel_height_ok(F.struct("y1", "y2"), 1, 20, 0.5).alias("tall"))
+
+
+@query(panel_sql(True))
 def panel(spark, d):
-    p = V.pixels(spark, d).where("x = 30 or y >= 0")
-    return pixels.panel_bbox(p, (255, 215, 215), 30, 60, 40, 155).select("frame_id", F.col("y1").cast("long").alias("y1"), F.col("y2").cast("long").alias("y2"))
+    return panel_of(spark, d, True)
+
+
+@query(panel_sql(False))
+def panel_right(spark, d):
+    return panel_of(spark, d, False)
+
+
+#: Invented probes of frame classes: where each looks.
+CLASS_PROBES = {"score": (5, 5), "end": (10, 6), "loading": (20, 7), "intro": (30, 8), "playing": (40, 9)}
+CLASSES_SQL = "v_classes AS (SELECT frame_id % 3 AS video, frame_id // 3 + 1 AS t, CASE " + " ".join(f"WHEN bool_or(x = {x} AND y = {y} AND least(r, g, b) >= 90) THEN '{c}'" for c, (x, y) in CLASS_PROBES.items()) + " END AS cls FROM v_pixels GROUP BY frame_id)"
+
+
+def frames_of(spark, d):
+    """Pixels as the bytes of frames of 60 x 40; a pixel that is not there is black."""
+    two = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
+    cells = F.map_from_entries(F.collect_list(F.struct((F.col("y") * 60 + F.col("x")).cast("int").alias("at"), F.concat(two("r"), two("g"), two("b")).alias("rgb"))))
+    made = V.pixels(spark, d).groupBy("frame_id").agg(cells.alias("m"))
+    rgb = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60 * 40 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("000000"))), ""))
+    return made.select((F.col("frame_id") % 3).cast("string").alias("video_id"), (F.floor(F.col("frame_id") / 3) + 1).cast("double").alias("t"), F.lit(60).alias("width"), F.lit(40).alias("height"), rgb.alias("rgb"))
+
+
+def classes_of(spark, d):
+    """Frames to probed points, to matched templates, to one class a frame."""
+    spec = spark.createDataFrame([(c, c, 0, 1, x, y, 255, 255, 255, 165) for c, (x, y) in CLASS_PROBES.items()], "class string, template string, mode int, probe int, x int, y int, r int, g int, b int, tol int")
+    frames = frames_of(spark, d)
+    seen = pixels.probe_frames(frames, list(CLASS_PROBES.values())).withColumn("frame_id", F.struct("video_id", "t"))
+    hit = pixels.match_templates(seen, spec, ("class",)).groupBy("frame_id").agg(*(F.coalesce(F.bool_or(F.col("class") == c), F.lit(False)).alias(c) for c in CLASS_PROBES))
+    cls = P.frame_class(*(F.col(c) for c in CLASS_PROBES))
+    return frames.select("video_id", "t").join(hit.select("frame_id.video_id", "frame_id.t", cls.alias("cls")), ["video_id", "t"], "left")
+
+
+@query(sql("SELECT CAST(video AS VARCHAR) AS video_id, CAST(t AS BIGINT) AS t, cls FROM v_classes", "v_pixels").replace(" SELECT CAST(video AS", ", " + CLASSES_SQL + " SELECT CAST(video AS", 1))
+def frame_classes(spark, d):
+    return classes_of(spark, d).select("video_id", F.col("t").cast("long").alias("t"), "cls")
 
 
 @query(sql("""SELECT region, frame_id, count(*) AS n, CAST(sum(a.x - x1) AS BIGINT) AS sx, CAST(sum(a.y - y1) AS BIGINT) AS sy FROM v_pixels a JOIN (VALUES ('c', 20.0, 0.0, 40.0, 10.0), ('s0', 0.0, 0.0, 45.6, 6.0), ('s1', 0.0, 20.0, 45.6, 26.0)) AS g(region, x1, y1, x2, y2)
@@ -359,7 +457,7 @@ def misc_scalars(spark, d):
 
 
 
-@query()
+@query(sql("""SELECT m.video_id, CAST(game_no AS BIGINT) AS game_no, arg_min(t, md5(concat('7:', t))) AS t FROM v_markers m JOIN v_games g ON m.video_id = g.video_id AND t >= start_s AND t < end_s GROUP BY m.video_id, game_no""", "v_games"))
 def one_per_game(spark, d):
     held = intervals.frames_in_games(V.markers(spark, d), games_of(spark, d), 86400.0)
     return segments.one_frame_per_game(held.select("video_id", "game_no", "t")).select("video_id", "game_no", "t")
@@ -395,5 +493,15 @@ def manifest(spark, d):
 
 @query(sql("""SELECT video_id, count(*) AS n FROM v_markers m WHERE NOT EXISTS (SELECT 1 FROM v_games g WHERE g.video_id = m.video_id AND start_s IS NOT NULL AND m.t > start_s AND m.t < end_s) GROUP BY video_id""", "v_games"))
 def jump_filter(spark, d):
-    g = games_of(spark, d).where("start_s is not null").select("video_id", "game_no", F.col("end_s").alias("t"), F.col("start_s").alias("estimate"))
+    g = games_of(spark, d).where("start_s is not null").select("video_id", "game_no", F.col("end_s").alias("t"), F.col("start_s").alias("estimate"), *(F.lit("x").alias(c) for c in ("map", "orange", "blue")))
     return segments.without_jumped(V.markers(spark, d), segments.jump_hints(g), 86400.0).groupBy("video_id").agg(F.count("*").alias("n"))
+
+
+@query(sql("""SELECT video_id, CAST(game_no AS BIGINT) AS game_no, max(t) AS t, max(t) - 100 AS estimate FROM (
+  SELECT m.video_id, game_no, t, event_id, max(cls = 'playing') OVER w AS a, max(event_id % 3 = 0) OVER w AS b, max(event_id % 3 = 1) OVER w AS c FROM v_markers m JOIN v_games g ON m.video_id = g.video_id AND t >= start_s AND t < end_s
+  WINDOW w AS (PARTITION BY m.video_id, game_no ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE a AND b AND c AND event_id % 2 = 0 GROUP BY video_id, game_no""", "v_games"))
+def jump_hint(spark, d):
+    e = F.col("event_id")
+    held = intervals.frames_in_games(V.markers(spark, d), games_of(spark, d), 86400.0)
+    readings = held.select("video_id", "game_no", "t", F.when(e % 2 == 0, F.col("t") - 100).alias("estimate"), F.when(F.col("cls") == "playing", "m").alias("map"), F.when(e % 3 == 0, "o").alias("orange"), F.when(e % 3 == 1, "b").alias("blue"))
+    return segments.jump_hints(readings).select("video_id", "game_no", "t", "estimate")

@@ -29,7 +29,7 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    keys = (o % 40).alias("frame_id"), (p % 60).alias("x"), (s % 40).alias("y")
+    keys = F.floor(o / 500).alias("frame_id"), (p % 60).alias("x"), (s % 40).alias("y")
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max((o * 7 + n * 31) % 256).alias("r"), F.max((p * 13 + n * 17) % 256).alias("g"), F.max((s * 29 + n * 11) % 256).alias("b"))
 
 
@@ -48,7 +48,7 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where(c % 3 == 0).select(c.alias("id"), F.concat(F.lit("M"), (c % 12).cast("string")).alias("map"), (c % 10).alias("orange_score"), (c % 7).alias("blue_score"))
+    return table(spark, sf_dir, "customer").select(c.alias("id"), F.concat(F.lit("M"), (c % 12).cast("string")).alias("map"), (c % 10).alias("orange_score"), (c % 7).alias("blue_score"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +75,11 @@ SECS = f"CAST(floor((epoch_us(ts) - {EPOCH_US}) / 1000000.0) AS BIGINT)"
 SQL = {
     "v_markers": f"""SELECT user_id AS video_id, {SECS} AS t, event_id, CASE event_type WHEN 'signup' THEN 'score' WHEN 'purchase' THEN 'end'
       WHEN 'error' THEN 'loading' WHEN 'click' THEN 'playing' ELSE 'none' END AS cls FROM events""",
-    "v_pixels": """SELECT l_orderkey % 40 AS frame_id, l_partkey % 60 AS x, l_suppkey % 40 AS y, max((l_orderkey * 7 + l_linenumber * 31) % 256) AS r,
+    "v_pixels": """SELECT l_orderkey // 500 AS frame_id, l_partkey % 60 AS x, l_suppkey % 40 AS y, max((l_orderkey * 7 + l_linenumber * 31) % 256) AS r,
       max((l_partkey * 13 + l_linenumber * 17) % 256) AS g, max((l_suppkey * 29 + l_linenumber * 11) % 256) AS b FROM lineitem GROUP BY ALL""",
     "v_probes": "SELECT * FROM (VALUES " + ", ".join(map(str, PROBES)) + ") AS p(template, mode, probe, x, y, r, g, b, tol)",
     "v_detected": "SELECT o_orderkey AS game_id, concat('M', o_custkey % 12) AS map, o_orderkey % 10 AS orange_score, o_custkey % 7 AS blue_score FROM orders",
-    "v_stats": "SELECT c_custkey AS id, concat('M', c_custkey % 12) AS map, c_custkey % 10 AS orange_score, c_custkey % 7 AS blue_score FROM customer WHERE c_custkey % 3 = 0",
+    "v_stats": "SELECT c_custkey AS id, concat('M', c_custkey % 12) AS map, c_custkey % 10 AS orange_score, c_custkey % 7 AS blue_score FROM customer",
     "v_logs": """SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'debug' WHEN 'click' THEN 'info' WHEN 'signup' THEN 'log' ELSE 'warn' END AS level,
       props AS message, ts, CASE WHEN user_id % 2 = 0 THEN 'shell' ELSE 'ui' END AS source FROM events""",
     "v_progress": """SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_id % 10 = 0 THEN concat('Duration: 01:00:', 10 + event_id % 50, '.00, start')

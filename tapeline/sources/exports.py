@@ -23,4 +23,5 @@ def cut_manifest(games: DataFrame, free_text: str, source_name: str, prefix: str
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.partitionBy("video_id").parquet(path)
+    """One table in the order of its videos, so that a reader of some videos skips the other files; no folder for each."""
+    manifest.repartitionByRange("video_id").sortWithinPartitions("video_id", "start").write.parquet(path)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.sources.shared import checkpointed
+
 SCHEMA = "seq long, level string, message string, ts timestamp, source string"
 
 
@@ -31,21 +31,13 @@ def last_n_logs(logs: DataFrame, level: str, n: int = 500) -> DataFrame:
     return logs.where(F.col("level") == level).orderBy(F.col("seq").desc()).limit(n).orderBy("seq")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the folder that all executors share; where none is set, as in tests, one of our own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """1-based numbers in the order: a range-partitioned sort, and an offset for each partition from its count.
 
     What reaches the driver is one count for each partition. Range bounds are sampled
     anew in each run, so the sorted rows are kept, and counts and numbers both come from them.
     """
-    placed = _checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
     counts = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     offset, at = {}, 0
     for p in sorted(counts):
