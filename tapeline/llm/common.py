@@ -8,34 +8,34 @@ reuses that one exchange.
 
 from __future__ import annotations
 
+import gc
 import pickle
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.sources.shared import shared_folder
+
 #: Bytes of text that a block aims at.
 BLOCK_BYTES = 8_000_000
 #: Elements that numpy handles at a time inside a task.
 CHUNK = 1_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's setting, or where that is unset, as in tests, one of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder."""
+    """The same rows with their lineage cut, kept in the shared folder.
+
+    Shuffle files of steps that earlier checkpoints cut off go when the driver's JVM
+    collects garbage, which it seldom needs to by itself; so it is asked to here.
+    """
     shared_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 
