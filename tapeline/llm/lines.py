@@ -72,14 +72,15 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     from others; rows that share an id lose the same places, and none to each
     other. An empty table gives no rows.
     """
-    gone = repeated_chunks(docs, id_col, text_col, least_lines)
+    name = next(n for i in range(len(docs.columns) + 1) if (n := "_gone" + "_" * i) not in docs.columns)
+    gone = repeated_chunks(docs, id_col, text_col, least_lines).withColumnRenamed("_gone", name)
     keyed = docs.join(gone, docs[id_col] == gone["_doc"], "left")
-    cut = F.transform(F.filter(line_chunks(docs[text_col]), lambda c: ~F.array_contains(F.col("_gone"), c["pos"])), lambda c: c["body"])
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(cut, "\n"))
+    cut = F.transform(F.filter(line_chunks(docs[text_col]), lambda c: ~F.array_contains(F.col(name), c["pos"])), lambda c: c["body"])
+    text = F.when(F.col(name).isNull(), docs[text_col]).otherwise(F.array_join(cut, "\n"))
     columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
         total = F.coalesce(F.size(F.split(docs[text_col], "\n", -1)), F.lit(0))
-        left = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.aggregate(F.filter(line_chunks(docs[text_col]), lambda c: F.array_contains(F.col("_gone"), c["pos"])), F.lit(0), lambda a, c: a + c["n_lines"]))
+        left = F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.aggregate(F.filter(line_chunks(docs[text_col]), lambda c: F.array_contains(F.col(name), c["pos"])), F.lit(0), lambda a, c: a + c["n_lines"]))
         columns += [F.when(docs[text_col].isNull(), 0).otherwise(total).cast("long").alias("n_lines"), left.cast("long").alias("n_removed")]
     return keyed.select(*columns)
 

@@ -52,6 +52,26 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](d.limit(0)).collect() == []
 
 
+def test_stages_with_odd_rows(spark):
+    """What each stage of the pipeline keeps of nulls, empty texts, repeats and clashing names."""
+    d = odd(spark).withColumn("_gone", F.lit("mine"))
+    item = spark.createDataFrame([(None, "Some WORDS, here")], "item_id long, text string")
+    every = [None, 0, 1, 1, 2, 3, 4, 5]
+    stages = {
+        (lambda t: toxicity.without_toxic(t, toxicity.fit([], 0.0))): every,
+        (lambda t: lines.without_repeated_chunks(t)): every,
+        (lambda t: minhash.one_of_each(t)): [None, 0, 2, 3, 4, 5],
+        (lambda t: decontaminate.without_items(t, item)): every[1:],
+    }
+    for stage, want in stages.items():
+        out = stage(d)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert sorted((r["doc_id"] for r in got), key=lambda i: -1 if i is None else i) == want
+        assert {r["text"] for r in got if r["doc_id"] in (3, 5)} == {None, "a\n\nb\nc"} and {r["_gone"] for r in got} == {"mine"}
+        assert stage(d.limit(0)).collect() == []
+
+
 def test_odd_vectors(spark):
     own = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (None, [1.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, None])]
     v = spark.createDataFrame(own, "vec_id long, embedding array<float>")
@@ -170,6 +190,69 @@ def test_items_in_capitals(spark):
     assert decontaminate.without_items(docs_of(spark, texts), table).count() == 0
 
 
+def nearest(item, text):
+    """Smallest edit distance of the item to any part of the text, row by row."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_items_of_all_lengths(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    items = ["2 + 2 = 4", "ok", "aaaaaa bbbbbbbbb c", "one two three four five six seven eight", *(" ".join(word() for _ in range(n)) for n in (4, 6, 8, 20, 60, 300))]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        for edits in (0, 1, decontaminate.allowed(len(item)), 4 * decontaminate.allowed(len(item)) + 4):
+            s = list(item)
+            for p in rng.sample(range(1, len(s) - 1), min(edits, len(s) - 2)) if edits else ():
+                s[p] = "z"
+            texts.append(" ".join([word() for _ in range(20)] + ["".join(s)] + [word() for _ in range(20)]))
+    texts += ["book okay", "2 2 44", *(" ".join(items[-1].split()[a : a + 60]) for a in (0, 120))]
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = decontaminate.folded(item), decontaminate.folded(text)
+            near = nearest(a, b) if len(a) < 600 or len(b) < 2 * len(a) else 0
+            if len(a) < 8 and b" " + a + b" " in b" " + b + b" " or len(a) >= 8 and near <= decontaminate.allowed(len(a)):
+                want.add((d, i, 0 if len(a) < 8 else near))
+    table = spark.createDataFrame([*enumerate(items), (None, items[-2]), (99, None)], "item_id long, text string")
+    d = docs_of(spark, texts)
+    got = decontaminate.item_matches(d, table).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want
+    for r in got:
+        text = decontaminate.folded(texts[r["doc_id"]])[r["start"] : r["start"] + r["length"]]
+        assert nearest(decontaminate.folded(items[r["item_id"]]), text) == r["distance"]
+    assert {r["doc_id"] for r in decontaminate.without_items(d, table).collect()} == set(range(len(texts))) - {w[0] for w in want}
+
+
+def gapped(a, b):
+    """The string kernel summed over all common sequences of three characters, normalised and raised."""
+    def own(w):
+        out = collections.Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+    x, y = own(a), own(b)
+    dot = lambda p, q: sum(v * q[s] for s, v in p.items())
+    return (dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))) ** toxicity.POWER if x and y else 0.0
+
+
+@pytest.mark.parametrize("table", [96, 0])
+def test_kernel_equals_a_plain_sum(table, monkeypatch):
+    monkeypatch.setattr(toxicity, "TABLE", table)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcé漢\U0001f600ß") for _ in range(rng.randrange(1, 12))) for _ in range(40)] + ["idiot", "id1ot", "idi0t"]
+    got = toxicity.Kernel(words[:20]).of(words)
+    want = [[gapped(a, b) for b in words[:20]] for a in words]
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_toxicity_tolerates_gaps(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("tnrhoeal") for _ in range(rng.randrange(2, 8)))
