@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -291,6 +292,37 @@ def plain_kneser_ney(texts_, order):
     return p
 
 
+def plain_chunks(text):
+    own = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in own]
+    v = [((h[i - 1] if i else 0) % 1000003 * 31 + h[i]) % 1000003 for i in range(len(h))]
+    ends = [0, *(i for i in range(2, len(v) - 1) if v[i - 1] < min(v[i - 2], v[i])), len(v)]
+    starts = [s for a, b in itertools.pairwise(ends) for s in range(a, max(a, b - 2) + 1, lines.MOST)]
+    return [own[a:b] for a, b in itertools.pairwise([*starts, len(own)])]
+
+
+def test_line_chunks_against_a_plain_form(spark):
+    """Planted runs, runs of one repeated line and odd texts; each text's lines all stand in its chunks."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(15)]
+    own = ["By To.\n" * 91, "x\n" + "By To.\n" * 40 + "y", "\n".join(passage), "\n".join(["q", *passage, "r", "s"]), "", "\n", "a\nb", "z\na\nb", None]
+    own += ["\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    seen, want = set(), {}
+    for i, t in enumerate(own):
+        kept, gone = [], 0
+        for c in plain_chunks(t) if t is not None else []:
+            assert 2 <= len(c) <= lines.MOST + 1 or c == t.split("\n")
+            if len(c) >= 2 and tuple(c) in seen:
+                gone += len(c)
+            else:
+                kept += c
+            seen.add(tuple(c))
+        want[i] = (gone, None if t is None else "\n".join(kept))
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in lines.without_repeated_chunks(docs_of(spark, own), counts=True).collect()}
+    assert got == want
+    assert got[0][0] == 84 and got[1][0] == 36 and got[3][0] > 0
+
+
 @pytest.mark.parametrize("order", [3, 5])
 def test_perplexity_equals_a_plain_model(spark, order):
     rng = random.Random(10)
