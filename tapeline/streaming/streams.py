@@ -22,59 +22,48 @@ def stream_history(spark: SparkSession, path: str, out: str, checkpoint: str, se
 
 
 def stream_segments(classes: DataFrame, delay: str = "1 minute", idle_ms: int = 60_000, lead_in: float = 2) -> DataFrame:
-    """(video_id, mode, start_s, end_s, n_late): games as they close. classes(video_id, ts, t, cls, mode).
+    """(video_id, mode, start_s, end_s): games as they close. classes(video_id, ts, t, cls, mode).
 
     Markers wait, in order of time, until the watermark passes them. A start marker
     gives out the game whose end is held, with the start held before it; an end
-    marker replaces the end held. A marker older than what was passed is dropped and
-    counted with the next game. A video without markers for ``idle_ms`` closes.
+    marker replaces the end held. Markers older than the watermark are dropped by
+    Spark, which counts them in the query's progress (numRowsDroppedByWatermark). A
+    video without markers for ``idle_ms`` of event time closes. Markers at t <= 0
+    and other classes don't count; a null mode counts as 0.
     """
-    marked = classes.where(F.col("cls").isin(*END, *START)).withWatermark("ts", delay).select("video_id", "ts", F.col("t").cast("double").alias("t"), F.when(F.col("cls").isin(*END), "E").otherwise("S").alias("m"), F.when(F.col("cls") == "score", F.col("mode")).otherwise(1).cast("int").alias("mode"))
+    mode = F.when(F.col("cls") == "score", F.coalesce("mode", F.lit(0))).otherwise(1).cast("int")
+    marked = classes.where(F.col("cls").isin(*END, *START) & (F.col("t") > 0)).withWatermark("ts", delay).select("video_id", "ts", F.col("t").cast("double").alias("t"), "cls", mode.alias("mode"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, mode, passed, late, times, ts, ms, modes = state.get if state.exists else (None, None, None, -1, 0, [], [], [], [])
-        waiting = list(zip(times, ts, ms, modes, strict=True))
+        start, end, kind, *held = state.get if state.exists else (None, None, None, [], [], [], [])
+        waiting = list(zip(*held, strict=True))
+        for pdf in [] if state.hasTimedOut else batches:
+            at = pdf["ts"].astype("datetime64[ms]").astype("int64")
+            waiting += zip(at.tolist(), pdf["t"].tolist(), pdf["cls"].tolist(), pdf["mode"].tolist(), strict=True)
+        # at one time a start comes before an end, and "end" comes last: the reverse of the backward order
+        waiting.sort(key=lambda r: (r[0], r[1], r[2] in END, r[2] == "end"))
+        limit = float("inf") if state.hasTimedOut else state.getCurrentWatermarkMs()
         out = []
-
-        def take(t: float, m: str, k: int) -> None:
-            nonlocal start, end, mode, late
-            if m == "E":
-                end, mode = t, k
-                return
+        for _, t, cls, mode in (r for r in waiting if r[0] < limit):
+            if cls in END:
+                end, kind = t, mode
+                continue
             if end is not None:
-                out.append((key[0], mode, None if start is None else start + lead_in, end, late))
-                end, mode, late = None, None, 0
-            start = t
-
-        closing = state.hasTimedOut
-        if not closing:
-            for pdf in batches:
-                for at, t, m, k in zip(pdf["ts"].astype("int64") // (10**6 if pdf["ts"].dtype == "datetime64[ns]" else 10**3), pdf["t"], pdf["m"], pdf["mode"], strict=True):
-                    if at < passed:
-                        late += 1
-                    else:
-                        waiting.append((int(at), float(t), m, int(k)))
-        # at one time a start comes before an end, the reverse of the backward order
-        waiting.sort(key=lambda r: (r[0], r[1], r[2] != "S"))
-        limit = float("inf") if closing else state.getCurrentWatermarkMs()
-        ready, waiting = [r for r in waiting if r[0] < limit], [r for r in waiting if r[0] >= limit]
-        for r in ready:
-            take(*r[1:])
-        if ready:
-            passed = ready[-1][0]
-        if closing:
+                out.append((key[0], kind, None if start is None else start + lead_in, end))
+            start, end = t, None
+        if state.hasTimedOut:
             if end is not None:
-                out.append((key[0], mode, None if start is None else start + lead_in, end, late))
+                out.append((key[0], kind, None if start is None else start + lead_in, end))
             state.remove()
         else:
-            a, b, c, d = (list(x) for x in zip(*waiting, strict=True)) if waiting else ([], [], [], [])
-            state.update((start, end, mode, passed, late, a, b, c, d))
-            last = max([passed, *a, state.getCurrentWatermarkMs()])
-            state.setTimeoutTimestamp(last + idle_ms)
-        yield pd.DataFrame(out, columns=["video_id", "mode", "start_s", "end_s", "n_late"])
+            waiting = [r for r in waiting if r[0] >= limit]
+            state.update((start, end, kind, *([r[i] for r in waiting] for i in range(4))))
+            state.setTimeoutTimestamp(max([state.getCurrentWatermarkMs(), *(r[0] for r in waiting)]) + idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "mode", "start_s", "end_s"])
 
-    states = "start double, end double, mode int, passed long, late long, times array<long>, ts array<double>, ms array<string>, modes array<int>"
-    return marked.groupBy("video_id").applyInPandasWithState(run, "video_id string, mode int, start_s double, end_s double, n_late long", states, "append", GroupStateTimeout.EventTimeTimeout)
+    states = "start double, end double, kind int, times array<long>, ts array<double>, classes array<string>, modes array<int>"
+    return marked.groupBy("video_id").applyInPandasWithState(run, "video_id string, mode int, start_s double, end_s double", states, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_monotone_progress(values: DataFrame) -> DataFrame:
@@ -91,10 +80,10 @@ def stream_monotone_progress(values: DataFrame) -> DataFrame:
 
 
 def stream_gauge_changes(samples: DataFrame) -> DataFrame:
-    """samples(user_id, ts, value) that differ from the one before; rows of one batch are taken in order of ts."""
+    """samples(user_id, ts, value) that differ from the one before; rows of one batch are taken in order of ts and value."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(batches)).sort_values("ts")
+        own = pd.concat(list(batches)).sort_values(["ts", "value"])
         before = own["value"].shift(1)
         if state.exists:
             before.iloc[0] = state.get[0]

@@ -1,5 +1,6 @@
 import pytest
 
+from tapeline.plans import stream_queries  # noqa: F401  adds its queries
 from tapeline.plans.queries import FOUND, ORACLE
 from tests.conftest import SF, rows
 

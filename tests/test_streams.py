@@ -4,6 +4,7 @@ import json
 import numpy as np
 
 from tapeline.operators import segments
+from tapeline.plans import stream_queries
 from tapeline.streaming import streams
 
 
@@ -39,14 +40,71 @@ def test_tail(spark, tmp_path):
     assert [r["seq"] for r in got[-3:]] == [6, 7, 8]
 
 
-def test_segments_equal_batch(spark, tmp_path):
+MARKS = "video_id string, ts timestamp, t double, cls string, mode int"
+
+
+def marks(*rows):
     t0 = dt.datetime(2024, 1, 1)
-    marks = [(5, "loading"), (20, "end"), (30, "end"), (40, "loading"), (50, "score"), (400, "loading"), (900, "loading"), (2000, "loading")]
-    rows = [("v", t0 + dt.timedelta(seconds=t), float(t), c, 0) for t, c in marks]
-    schema = "video_id string, ts timestamp, t double, cls string, mode int"
-    got = replay(spark, rows, schema, lambda f: streams.stream_segments(f, "1 second", 10**9), tmp_path, parts=1)
-    want = segments.segment_games(spark.createDataFrame(rows, schema)).collect()
-    assert {(r["start_s"], r["end_s"]) for r in got} <= {(r["start_s"], r["end_s"]) for r in want}
+    return [(v, t0 + dt.timedelta(seconds=t), float(t), c, 0) for v, t, c in rows]
+
+
+def played(spark, tmp_path, batches, delay="10 seconds", idle_ms=100_000):
+    """Games that come out of batches of markers, and how many rows Spark dropped as late."""
+    source = tmp_path / "in"
+    source.mkdir()
+    name = f"games{abs(hash(str(tmp_path)))}"
+    made = streams.stream_segments(spark.readStream.schema(MARKS).parquet(str(source)), delay, idle_ms)
+    q = made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    late = 0
+    try:
+        for batch in batches:
+            spark.createDataFrame(marks(*batch), MARKS).coalesce(1).write.mode("append").parquet(str(source))
+            q.processAllAvailable()
+        late = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+    finally:
+        q.stop()
+    return sorted(((r["video_id"], r["mode"], r["start_s"], r["end_s"]) for r in spark.table(name).collect()), key=lambda g: (g[0], g[3])), late
+
+
+def test_segments_out_of_order_equal_batch(spark, tmp_path):
+    own = [("v", 5, "loading"), ("v", 20, "end"), ("v", 30, "end"), ("v", 40, "loading"), ("v", 45, "loading"), ("v", 50, "score"), ("v", 50, "end"), ("v", 60, "loading"), ("w", 7, "score"), ("w", 9, "intro"), ("w", 55, "end")]
+    mixed = [own[3], own[0], own[8], own[2]], [own[9], own[5], own[1]], [own[7], own[4], own[10], own[6]]
+    got, late = played(spark, tmp_path, [*mixed, [("z", 9999, "loading")]], "1 minute")
+    want = segments.segment_games(spark.createDataFrame(marks(*own), MARKS)).collect()
+    assert got == sorted(((r["video_id"], r["mode"], r["start_s"], r["end_s"]) for r in want), key=lambda g: (g[0], g[3])) and len(got) == 4 and late == 0
+
+
+def test_late_markers_are_dropped_and_counted(spark, tmp_path):
+    first, second = [("v", 5, "loading"), ("v", 20, "end"), ("v", 100, "loading")], [("v", 30, "end"), ("v", 120, "score"), ("v", 130, "loading")]
+    got, late = played(spark, tmp_path, [first, second, [("z", 9999, "loading")]])
+    assert late == 1 and got == [("v", 1, 7.0, 20.0), ("v", 0, 102.0, 120.0)]
+
+
+def test_idle_videos_close(spark, tmp_path):
+    got, _ = played(spark, tmp_path, [[("v", 5, "loading"), ("v", 20, "end")], [("w", 60, "loading")]])
+    assert got == []
+    (tmp_path / "b").mkdir()
+    got, _ = played(spark, tmp_path / "b", [[("v", 5, "loading"), ("v", 20, "end")], [("w", 400, "loading")], [("v", 500, "end"), ("z", 9999, "intro")]])
+    # what comes after the video closed starts anew, so the start of the second game isn't known
+    assert got == [("v", 1, 7.0, 20.0), ("v", 1, None, 500.0)]
+
+
+def test_state_lasts_over_batches(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    rows = [("j", i, float(v)) for i, v in enumerate([0, 5, 5, 3, 7, 6, 7, 9])]
+    halves = [rows[:3], rows[3:6], rows[6:]]
+    got = in_turn(spark, tmp_path / "a", halves, "job_id string, seq long, value double", streams.stream_monotone_progress)
+    assert sorted(r["value"] for r in got) == [5.0, 7.0, 9.0]
+    (tmp_path / "b").mkdir()
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(seconds=i), float(v)) for i, v in enumerate([1, 1, 2, 2, 1, 1])]
+    got = in_turn(spark, tmp_path / "b", [rows[:2], rows[2:3], rows[3:]], "user_id long, ts timestamp, value double", streams.stream_gauge_changes)
+    assert [r["value"] for r in got] == [2.0, 1.0]
+
+
+def in_turn(spark, tmp_path, batches, schema, make):
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    return stream_queries.replayed(spark, frames, make).orderBy("value" if "job_id" in schema else "ts").collect()
 
 
 def test_history_stream(spark, tmp_path):
