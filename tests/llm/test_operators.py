@@ -360,6 +360,28 @@ def test_agrees_with_sql(spark, duck, name):
     assert rows(queries()[name](spark, SF).toPandas()) == rows(duck.execute(oracle_sql()[name]).df())
 
 
+def test_windows_with_one_hash_stay(spark, monkeypatch):
+    """With all Rabin-Karp hashes of few bits, digests alone decide: the same as a plain count of windows."""
+    rng = random.Random(5)
+    words = [[rng.choice("abc") + rng.choice("xyz") for _ in range(rng.randrange(60))] for _ in range(60)]
+    words += [w[3:40] for w in words[:20]] + [words[3]] * 3
+    docs = spark.createDataFrame([(i, "\t ".join(w)) for i, w in enumerate(words)] + [(None, None), (None, "")], "doc_id long, text string").repartition(5)
+
+    def few_bits(texts_, width, plain=substrings._windows):
+        return [h % np.uint64(7) for h in plain(texts_, width)]
+
+    starts = collections.Counter(tuple(w[i : i + 5]) for w in words for i in range(len(w) - 4))
+    want = {}
+    for n, w in enumerate(words):
+        gone = {j for i in range(len(w) - 4) if starts[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        want[n] = len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()
+    for _ in range(2):
+        got = substrings.repeated_windows(docs, width=5, block_bytes=900).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got if r["doc_id"] is not None} == want
+        assert sum(r["doc_id"] is None and r["n_words"] == 0 for r in got) == 2 and 0 < sum(r["n_removed"] for r in got) < sum(map(len, words))
+        monkeypatch.setattr(substrings, "_windows", few_bits)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
