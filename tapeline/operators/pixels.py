@@ -11,15 +11,9 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.predicates import color_similar
 from tapeline.functions.scalars import luminance_bw, round_half_up
+from tapeline.sources.shared import small
 
 RGB = ("r", "g", "b")
-#: Rows of a probe or region table that are small enough to be sent to every task.
-SMALL = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Hints a broadcast where the table has few rows; a larger one is left to the planner."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def probes_on_pixels(pixels: DataFrame, probes: DataFrame) -> DataFrame:

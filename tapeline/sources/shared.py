@@ -6,6 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that are few enough to be sent to every task.
+SMALL = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, computed once, with their lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Hints a broadcast where the table has few rows; a larger one is left to the planner."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

@@ -84,13 +84,38 @@ def test_runs(spark):
 
 
 def test_numbers_over_many_partitions(spark):
-    n = 200_000
-    df = spark.range(n).select((F.col("id") * 1000003 % n).alias("seq"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("message"))
+    n = 3_000_000
+    df = spark.range(n).select((F.col("id") * 1000003 % n).alias("seq"), F.md5(F.col("id").cast("string")).alias("message"))
     # the largest message is asked for, so that messages are shuffled along
     got = logs.number_rows(df, ["seq"]).agg(F.count("*"), F.sum((F.col("n") == F.col("seq") + 1).cast("long")), F.max("message")).first()
     assert tuple(got)[:2] == (n, n)
 
 
+def test_numbers_in_groups(spark):
+    """Groups over several partitions, a null group, ties, and no rows."""
+    key = lambda i: F.when(i % 10 < 8, "hot").when(i % 10 == 8, F.concat(F.lit("k"), (i % 70).cast("string")))
+    df = spark.range(20_000).select(key(F.col("id")).alias("k"), F.floor(F.col("id") / 3).alias("seq"), "id")
+    got = logs.number_rows(df, ["seq", "id"], "n", ["k"], "total").toPandas()
+    for _, g in got.groupby("k", dropna=False):
+        g = g.sort_values(["seq", "id"])
+        assert g["n"].tolist() == list(range(1, len(g) + 1)) and set(g["total"]) == {len(g)}
+    assert len(got) == 20_000 and got["k"].isna().sum() == 2000
+    assert logs.number_rows(df.limit(0), ["seq"], by=["k"]).collect() == []
+
+
+def test_plan_of_numbers_does_not_grow(spark):
+    size = lambda p: len(logs.number_rows(spark.range(0, 4000, 1, p).withColumnRenamed("id", "seq"), ["seq"])._jdf.queryExecution().optimizedPlan().toString())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        sizes = []
+        for p in (2, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", p)
+            sizes.append(size(p))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert abs(sizes[0] - sizes[1]) < 50
+
+
 def test_monotone(spark):
     df = spark.createDataFrame([("j", i, v) for i, v in enumerate([0, 5, 5, 3, 7])], "job_id string, seq long, value long")
     assert [r["value"] for r in telemetry.monotone_progress(df).orderBy("seq").collect()] == [5, 7]
