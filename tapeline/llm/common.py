@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import gc
 import pickle
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.sources.shared import shared_folder
@@ -44,6 +45,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; texts of ASCII only take a faster way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def n_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks the texts make: one number, from one aggregate over the table."""
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0

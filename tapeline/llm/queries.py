@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import decontaminate, embeddings, lines, minhash, packing, quality, substrings, suffixes, toxicity
+from tapeline.llm import decontaminate, embeddings, licenses, lines, merkle, minhash, packing, quality, substrings, suffixes, toxicity
 from tapeline.llm.bpe import token_counts
+from tapeline.llm.common import lowered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +72,20 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_strings(table(spark, sf_dir, "documents"), length=100).drop("spans")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(docs["doc_id"].cast("string")) % 3 == 0, lowered(docs["text"])).otherwise(docs["text"])
+    proved = merkle.manifest(docs, "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"text": tampered})
+    checked = proved.withColumn("folded_root", merkle.folded(F.col("offered"), F.col("path")))
+    return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_minhash, op3_embeddings, op4_packing, op5_substrings, op6_decontamination, op7_toxicity, op8_token_counts, op9_line_dedup, op10_suffixes)
+    own = (op1_quality, op2_minhash, op3_embeddings, op4_packing, op5_substrings, op6_decontamination, op7_toxicity, op8_token_counts, op9_line_dedup, op10_suffixes, op11_merkle, op13_licenses)
     return {f.__name__: f for f in own}
 
 
@@ -117,5 +130,47 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Levels of nodes by folding runs of eight; each leaf is then folded with the other children of its ancestors.
+MERKLE_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+crcs AS (SELECT list(v ORDER BY i) AS t FROM crc),
+named AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '-') AS tree, text,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) % 3 = 0 AS hit,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS f
+  FROM documents, crcs),
+leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS offered
+  FROM (SELECT *, array_to_string(list_transform(f, lambda x: coalesce(strlen(x) || ':' || x, '-')), '') AS head FROM named)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+low AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM placed
+  UNION ALL SELECT tree, any_value(level) + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY tree, idx // 8),
+tops AS (SELECT tree, level AS height, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, idx, n, subroot AS digest FROM tops
+  UNION ALL SELECT any_value(level) + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY idx // 8),
+runs AS (
+  SELECT tree, level, idx // 8 AS parent, list(digest ORDER BY idx) AS nodes FROM low WHERE n > 1 GROUP BY 1, 2, 3
+  UNION ALL SELECT t.tree, t.height + h.level, h.idx // 8, list(h.digest ORDER BY h.idx)
+  FROM tops t JOIN high h ON h.n > 1 AND h.idx // 8 = t.idx // CAST(pow(8, h.level + 1) AS BIGINT) GROUP BY ALL),
+climb AS (
+  SELECT doc_id, leaf, p.tree, 0 AS level, p.idx, p.idx AS own, t.idx AS top, t.height, offered AS folded, '' AS proof, t.subroot FROM placed p JOIN tops t ON p.tree = t.tree
+  UNION ALL
+  SELECT doc_id, leaf, c.tree, c.level + 1, CASE WHEN c.level + 1 = height THEN top ELSE c.idx // 8 END, own, top, height,
+    sha256(array_to_string(nodes[1:seat], '') || folded || array_to_string(nodes[seat + 2 :], '')),
+    proof || array_to_string(nodes[1:seat], '') || array_to_string(nodes[seat + 2 :], ''), subroot
+  FROM (SELECT *, CASE WHEN level = height THEN top ELSE idx END % 8 AS seat, CASE WHEN level = height THEN top ELSE idx END // 8 AS up FROM climb) c
+  JOIN runs r ON r.tree = c.tree AND r.level = c.level AND r.parent = c.up)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM climb, (SELECT digest AS root, level AS over FROM high WHERE n = 1) WHERE level = height + over
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": MINHASH_SQL, "op3_embeddings": EMBEDDINGS_SQL, "op5_substrings": SUBSTRINGS_SQL, "op9_line_dedup": lines.ORACLE}
+    return {"op2_minhash": MINHASH_SQL, "op3_embeddings": EMBEDDINGS_SQL, "op5_substrings": SUBSTRINGS_SQL, "op9_line_dedup": lines.ORACLE, "op11_merkle": MERKLE_SQL, "op13_licenses": licenses.oracle()}
