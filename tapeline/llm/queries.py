@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import decontaminate, embeddings, licenses, lines, merkle, minhash, packing, quality, substrings, suffixes, toxicity
+from tapeline.llm import decontaminate, divergence, embeddings, licenses, lines, merkle, minhash, packing, quality, substrings, suffixes, toxicity
 from tapeline.llm.bpe import token_counts
 from tapeline.llm.common import lowered
 
@@ -80,12 +80,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), top=200)
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_minhash, op3_embeddings, op4_packing, op5_substrings, op6_decontamination, op7_toxicity, op8_token_counts, op9_line_dedup, op10_suffixes, op11_merkle, op13_licenses)
+    own = (op1_quality, op2_minhash, op3_embeddings, op4_packing, op5_substrings, op6_decontamination, op7_toxicity, op8_token_counts, op9_line_dedup, op10_suffixes, op11_merkle, op12_divergence, op13_licenses)
     return {f.__name__: f for f in own}
 
 
@@ -173,4 +177,4 @@ FROM climb, (SELECT digest AS root, level AS over FROM high WHERE n = 1) WHERE l
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": MINHASH_SQL, "op3_embeddings": EMBEDDINGS_SQL, "op5_substrings": SUBSTRINGS_SQL, "op9_line_dedup": lines.ORACLE, "op11_merkle": MERKLE_SQL, "op13_licenses": licenses.oracle()}
+    return {"op2_minhash": MINHASH_SQL, "op3_embeddings": EMBEDDINGS_SQL, "op5_substrings": SUBSTRINGS_SQL, "op9_line_dedup": lines.ORACLE, "op11_merkle": MERKLE_SQL, "op12_divergence": divergence.ORACLE, "op13_licenses": licenses.oracle()}
