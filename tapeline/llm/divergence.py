@@ -27,7 +27,7 @@ from tapeline.sources.shared import shared_folder, small
 #: Documents of a language that a term must stand in, and CountVectorizer's largest vocabulary.
 MIN_DOCS, MOST_TERMS = 3, 2**31 - 1
 #: Different terms, rare ones included, that a shard is meant to have; its vocabulary has fewer.
-SHARD_TERMS = 1_000_000
+SHARD_TERMS = 500_000
 #: Probabilities are whole numbers of this part of one.
 UNIT = 1_000_000_000
 #: Letters, in lower case, and bytes of characters beyond ASCII stay; all else parts terms.
@@ -52,11 +52,12 @@ def n_shards(docs: DataFrame, shard_terms: int) -> int:
     """How many shards the different terms of all documents make, from their estimated number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, terms, _, _ in by_language(batches):
-            head = lang.encode() + b" "
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(head + t) >> 1 for t in terms.to_pylist()], pa.int64())], names=["h"])
+        for batch in small_batches(batches, 4000):
+            texts = batch.column("text").cast(pa.binary()).drop_null().to_pylist()
+            different = set(b" ".join(texts).translate(TABLE).split())
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in different], pa.int64())], names=["h"])
 
-    n = docs.mapInArrow(run, "h long").agg(F.approx_count_distinct("h")).first()[0]
+    n = docs.select("text").mapInArrow(run, "h long").agg(F.approx_count_distinct("h")).first()[0]
     return max(1, -(-n // shard_terms))
 
 
@@ -102,7 +103,7 @@ def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SHA
     own = docs.select(*(docs[c].cast("string").alias(c) for c in ("lang", "source", "text")))
     shards = n_shards(own, shard_terms)
     schema = "lang string, source string, terms array<string>, shard int"
-    document_terms(own, shards).write.partitionBy("shard").option("compression", "zstd").parquet(f"{folder}/terms")
+    document_terms(own, shards).write.partitionBy("shard").parquet(f"{folder}/terms")
     every = spark.read.schema(schema).parquet(f"{folder}/terms")
     for k in range(shards):
         found, vocabulary = vectors(every.where(F.col("shard") == k), min_docs)
@@ -145,8 +146,10 @@ def audit(docs: DataFrame, top: int = 200, min_docs: int = MIN_DOCS, shard_terms
     groups = groups.select("lang", "source", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("total", F.lit(0)).alias("total"))
     none = F.when(F.col("size") > 0, probability(F.lit(0), F.col("total"), F.col("size")))
     groups = checkpointed(groups.withColumn("z", none))
-    few = small(groups)
-    held = checkpointed(sums.join(few, ["lang", "source"]).select("lang", "source", "shard", "idx", "n", "z", "size", "total", probability(F.col("n"), F.col("total"), F.col("size")).alias("p")))
+    chance = probability(F.col("n"), F.col("total"), F.col("size"))
+    held = sums.join(small(groups), ["lang", "source"]).select("lang", "shard", "idx", "n", F.struct("source", "z", chance.alias("p")).alias("x"))
+    # a row for each kept term, with the sources that have it
+    held = checkpointed(held.groupBy("lang", "shard", "idx").agg(F.collect_list("x").alias("xs"), F.sum("n").alias("lang_n")))
 
     a, b = F.col("a"), F.col("b")
     other = groups.select("lang", F.col("source").alias("b"), F.col("z").alias("zb"))
@@ -154,7 +157,7 @@ def audit(docs: DataFrame, top: int = 200, min_docs: int = MIN_DOCS, shard_terms
     parts = [base.select("lang", "a", "b", F.coalesce(F.col("size") * distance(F.col("za"), F.col("zb")), F.lit(0)).alias("value"))]
     # terms of one source only: a row for each count that occurs, against every other source
     p, n, za, zb = (F.col(c) for c in ("p", "times", "za", "zb"))
-    levels = held.groupBy("lang", F.col("source").alias("a"), F.col("z").alias("za"), "p").agg(F.count("*").alias("times"))
+    levels = held.select("lang", F.explode("xs").alias("x")).groupBy("lang", F.col("x.source").alias("a"), F.col("x.z").alias("za"), F.col("x.p").alias("p")).agg(F.count("*").alias("times"))
     one = levels.join(small(other), "lang").where(a != b)
     both_ways = F.explode(F.array(
         F.struct(a.alias("a"), b.alias("b"), (n * (distance(p, zb) - distance(za, zb))).alias("value")),
@@ -163,9 +166,8 @@ def audit(docs: DataFrame, top: int = 200, min_docs: int = MIN_DOCS, shard_terms
     parts.append(one.select("lang", both_ways.alias("x")).select("lang", "x.*"))
     # terms of both: what the two lines above say of them is replaced
     pa_, pb = F.col("pa"), F.col("pb")
-    left = held.select("lang", "shard", "idx", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("z").alias("za"))
-    right = held.select("lang", "shard", "idx", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("z").alias("zb"))
-    met = left.join(right, ["lang", "shard", "idx"]).where(a < b)
+    met = held.where(F.size("xs") > 1).select("lang", "xs", F.explode("xs").alias("x")).select("lang", "x", F.explode("xs").alias("y")).where("x.source < y.source")
+    met = met.select("lang", *(F.col(f"{side}.{c}").alias(name) for side, names in (("x", ("a", "pa", "za")), ("y", ("b", "pb", "zb"))) for c, name in zip(("source", "p", "z"), names, strict=True)))
     more = lambda p, q, z, y: distance(p, q) - distance(p, y) - distance(z, q) + distance(z, y)
     sums_of = met.groupBy("lang", "a", "b").agg(F.sum(more(pa_, pb, za, zb)).alias("ab"), F.sum(more(pb, pa_, zb, za)).alias("ba"))
     turned = F.explode(F.array(F.struct(a.alias("a"), b.alias("b"), F.col("ab").alias("value")), F.struct(b.alias("a"), a.alias("b"), F.col("ba").alias("value"))))
@@ -173,9 +175,9 @@ def audit(docs: DataFrame, top: int = 200, min_docs: int = MIN_DOCS, shard_terms
     pairs = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     pairs = pairs.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
 
-    language = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    of_all = held.groupBy("lang", "shard", "idx").agg(F.sum("n").alias("lang_n"))
-    terms = held.join(of_all, ["lang", "shard", "idx"]).join(small(language), "lang").withColumn("q", probability(F.col("lang_n"), F.col("lang_total"), F.col("size")))
+    language = groups.groupBy("lang", "size").agg(F.sum("total").alias("lang_total"))
+    whole = probability(F.col("lang_n"), F.col("lang_total"), F.col("size"))
+    terms = held.join(small(language), "lang").select("lang", "shard", "idx", whole.alias("q"), F.explode("xs").alias("x")).select("lang", "shard", "idx", "q", "x.source", "x.p")
     terms = terms.where("p > q").join(vocabulary.drop("lang"), ["shard", "idx"])
     terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
