@@ -38,7 +38,7 @@ NO_TERM = "\x00 \x00"
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], pa.Array, np.ndarray, np.ndarray]]:
     """(language, sources by row, different terms, rows and numbers of terms as they come) of bounded batches."""
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, 2000):
         langs = pc.fill_null(batch.column("lang"), "")
         for lang in pc.unique(langs).to_pylist():
             own = batch.filter(pc.equal(langs, lang))
@@ -61,30 +61,42 @@ def n_shards(docs: DataFrame, shard_terms: int) -> int:
     return max(1, -(-n // shard_terms))
 
 
-def document_terms(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, source, terms): what each document has of each shard, repeats included; a term is its language, a blank and itself."""
+def document_terms(docs: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """(shard, fit, lang, source, terms): what each document has of each shard, repeats included; a term is its language, a blank and itself.
+
+    Rows with ``fit`` stand for the documents when a vocabulary is chosen: of each term of a
+    batch, as many rows as documents hold it, ``min_docs`` at most, which is
+    all that matters for whether ``min_docs`` of all documents hold it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, sources, terms, rows, number in by_language(batches):
             if not len(rows):
                 continue
-            shard = np.array([xxhash.xxh64_intdigest(t) % shards for t in terms.to_pylist()], np.int64)[number]
-            order = np.argsort(rows * shards + shard, kind="stable")
-            rows, shard, number = rows[order], shard[order], number[order]
-            first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (shard[1:] != shard[:-1])])
+            shard_of = np.array([xxhash.xxh64_intdigest(t) % shards for t in terms.to_pylist()], np.int64)
             named = pc.binary_join_element_wise(pa.scalar(lang), terms.cast(pa.string()), " ")
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)], pa.int32()), named.take(pa.array(number)))
-            held = [pa.array(shard[first], pa.int32()), pa.array([lang] * len(first), pa.string()), pa.array([sources[r] for r in rows[first]], pa.string()), lists]
-            yield pa.RecordBatch.from_arrays(held, names=["shard", "lang", "source", "terms"])
-
-    return docs.mapInArrow(run, "shard int, lang string, source string, terms array<string>")
-
-
-def vectors(terms: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, v struct<indices, values>) for each row of terms, and the vocabulary (idx, lang, term)."""
+            in_docs = np.bincount(np.unique(rows * len(terms) + number) % len(terms), minlength=len(terms))
+            times = np.minimum(in_docs, min_docs)
+            fit_number = np.repeat(np.arange(len(terms)), times)
+            fit_rows = np.arange(len(fit_number)) - np.repeat(np.cumsum(times) - times, times)
+            for fit, row, own in ((False, rows, number), (True, fit_rows, fit_number)):
+                shard = shard_of[own]
+                order = np.argsort(row * shards + shard, kind="stable")
+                row, shard, own = row[order], shard[order], own[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), named.take(pa.array(own)))
+                source = [None] * len(first) if fit else [sources[r] for r in row[first]]
+                held = [pa.array(shard[first], pa.int32()), pa.array([fit] * len(first)), pa.array([lang] * len(first), pa.string()), pa.array(source, pa.string()), lists]
+                yield pa.RecordBatch.from_arrays(held, names=["shard", "fit", "lang", "source", "terms"])
+
+    return docs.mapInArrow(run, "shard int, fit boolean, lang string, source string, terms array<string>")
+
+
+def vectors(terms: DataFrame, fit: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, v struct<indices, values>) for each row of terms, and the vocabulary (idx, lang, term) that ``fit`` makes."""
     spark = terms.sparkSession
     none = spark.range(min_docs).select(F.array(F.lit(NO_TERM)).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=MOST_TERMS).fit(terms.select("terms").unionByName(none))
+    model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=MOST_TERMS).fit(fit.select("terms").unionByName(none))
     found = model.transform(terms).select("lang", "source", F.unwrap_udt("v").alias("v"))
     listed = pa.table({"idx": pa.array(range(len(model.vocabulary)), pa.int32()), "name": model.vocabulary})
     name, term = F.col("name"), F.substring_index("name", " ", -1)
@@ -102,11 +114,12 @@ def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SHA
     folder = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
     own = docs.select(*(docs[c].cast("string").alias(c) for c in ("lang", "source", "text")))
     shards = n_shards(own, shard_terms)
-    schema = "lang string, source string, terms array<string>, shard int"
-    document_terms(own, shards).write.partitionBy("shard").parquet(f"{folder}/terms")
+    schema = "lang string, source string, terms array<string>, fit boolean, shard int"
+    document_terms(own, shards, min_docs).write.partitionBy("fit", "shard").parquet(f"{folder}/terms")
     every = spark.read.schema(schema).parquet(f"{folder}/terms")
     for k in range(shards):
-        found, vocabulary = vectors(every.where(F.col("shard") == k), min_docs)
+        part = every.where(F.col("shard") == k)
+        found, vocabulary = vectors(part.where("not fit"), part.where("fit"), min_docs)
         entries = found.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
         sums = entries.groupBy("lang", "source", F.col("e.indices").alias("idx")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
         sums.withColumn("shard", F.lit(k)).write.mode("append").parquet(f"{folder}/sums")
