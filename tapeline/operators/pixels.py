@@ -50,12 +50,46 @@ def playing_frame(pixels: DataFrame, slots: DataFrame, palette: dict[str, tuple[
     return pixels.select("frame_id").distinct().join(sides, "frame_id", "left").select("frame_id", F.coalesce("playing", F.lit(False)).alias("playing"))
 
 
+#: Pixels on a side of the finest cell, and how many cells of a level make one of the next, as a power of two.
+CELL, COARSER_BITS = 64, 2
+#: Parts that the frames are dealt into where regions are for all frames and too many to be sent everywhere.
+FRAME_PARTS = 64
+
+
 def crop_regions(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pixels of each region, with x and y counted from its corner."""
-    own = regions.select("region", *(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")))
-    inside = (F.col("x") >= F.col("r_x1")) & (F.col("x") < F.col("r_x2")) & (F.col("y") >= F.col("r_y1")) & (F.col("y") < F.col("r_y2"))
-    held = pixels.join(small(own), inside)
-    return held.withColumn("x", F.col("x") - F.col("r_x1")).withColumn("y", F.col("y") - F.col("r_y1")).drop("r_x1", "r_y1", "r_x2", "r_y2")
+    """Pixels of each region, with x and y counted from its corner. regions(region, x1, y1, x2, y2), of one frame each where there is a frame_id.
+
+    A join by cells of a grid: a region lies in the cells of the first level, of cells
+    of 64 pixels, then 256 and so on, on which it spans three or less each way, so
+    16 at most whatever its size; a pixel has one cell on each level that has regions. Regions
+    of one frame also meet by the frame. Regions for all frames are sent everywhere
+    if few, else once to each part of the frames. Empty regions and null bounds hold nothing.
+    """
+    by_frame = ["frame_id"] if "frame_id" in regions.columns else []
+    sides = [F.col(f"r_{c}") for c in ("x1", "y1", "x2", "y2")]
+    own = regions.select("region", *by_frame, *(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2"))).where((sides[0] < sides[2]) & (sides[1] < sides[3]))
+    longest = F.greatest(sides[2] - sides[0], sides[3] - sides[1])
+    level = F.greatest(F.ceil(F.log2(longest / (3.0 * CELL)) / COARSER_BITS), F.lit(0)).cast("int")
+    own = own.withColumn("_level", level)
+    levels = sorted(r["_level"] for r in own.select("_level").distinct().collect())  # logarithmic in the largest region
+
+    def cell(c: Column) -> Column:
+        return F.floor(c / F.expr(f"shiftleft({CELL}L, {COARSER_BITS} * _level)")).cast("long")
+
+    for axis, low, high in (("_cx", sides[0], sides[2]), ("_cy", sides[1], sides[3])):
+        own = own.withColumn(axis, F.explode(F.sequence(cell(low), cell(high))))
+    placed = pixels.withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y")))
+    keys = [*by_frame, "_level", "_cx", "_cy"]
+    if not by_frame:
+        few = small(own)
+        if few is own:
+            own = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(FRAME_PARTS - 1))))
+            placed, keys = placed.withColumn("_part", F.pmod(F.hash("frame_id"), F.lit(FRAME_PARTS))), [*keys, "_part"]
+        else:
+            own = few
+    inside = (F.col("x") >= sides[0]) & (F.col("x") < sides[2]) & (F.col("y") >= sides[1]) & (F.col("y") < sides[3])
+    held = placed.join(own, keys).where(inside).withColumn("x", F.col("x") - sides[0]).withColumn("y", F.col("y") - sides[1])
+    return held.select(*pixels.columns, "region")
 
 
 def mean_color(pixels: DataFrame) -> DataFrame:

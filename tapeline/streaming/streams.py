@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapeline.operators.frames import Lines, images, text_lines, whole_frame
 from tapeline.operators.segments import END, START
 from tapeline.sources.history import game_teams, page_window, read_history
 
@@ -109,23 +111,17 @@ def stream_last_n_logs(logs: DataFrame, n: int = 500) -> DataFrame:
 def stream_kill_lines(frames: DataFrame, palette: list[tuple[str, tuple[int, int, int]]], region: tuple[int, int], tol: int = 40, height: int = 11, height_tol: int = 4) -> DataFrame:
     """(video_id, t, y, height): runs of text lines in the top right region (w, h) of each frame; without state.
 
-    palette names white, orange, blue and red in order of precedence.
+    palette names white, orange, blue and red in order of precedence. Damaged frames are skipped; each
+    batch's progress counts them (observedMetrics, damaged_frames.n).
     """
-    names, colors = [c for c, _ in palette], np.array([v for _, v in palette], np.int16)
+    lines = Lines(palette, tol, height, height_tol, region)
+    schema = pa.schema([("video_id", pa.string()), ("t", pa.float64()), ("y", pa.int32()), ("height", pa.int32())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for v, t, w, h, rgb in pdf[["video_id", "t", "width", "height", "rgb"]].itertuples(index=False):
-                image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)[: region[1], max(0, w - region[0]) :].astype(np.int16)
-                like = (np.abs(image[:, :, None, :] - colors) <= tol).all(3)
-                first = like & (np.cumsum(like, axis=2) == 1)
-                n = dict(zip(names, first.any(axis=1).T, strict=True))
-                hot = n["white"] & ((n["orange"] & n["blue"]) | n["red"])
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hot.astype(np.int8)])))
-                for a, b in zip(edges[::2], edges[1::2], strict=False):
-                    if abs(b - a - height) <= height_tol:
-                        out.append((v, t, int(a), int(b - a)))
-            yield pd.DataFrame(out, columns=["video_id", "t", "y", "height"])
-
-    return frames.mapInPandas(run, "video_id string, t double, y int, height int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, line) for i, image in images(batch) for line in text_lines(image, lines)]
+            at = pa.array([i for i, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("video_id").take(at), batch.column("t").take(at), *(pa.array([line[c] for _, line in found], pa.int32()) for c in ("y", "height"))], schema=schema)
+
+    seen = frames.observe("damaged_frames", F.count_if(~whole_frame()).alias("n")).where(whole_frame())
+    return seen.select("video_id", "t", "width", "height", "rgb").mapInArrow(run, "video_id string, t double, y int, height int")

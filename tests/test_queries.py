@@ -1,6 +1,6 @@
 import pytest
 
-from tapeline.plans import stream_queries  # noqa: F401  adds its queries
+from tapeline.plans import frame_queries, stream_queries  # noqa: F401  add their queries
 from tapeline.plans.queries import FOUND, ORACLE
 from tests.conftest import SF, rows
 
@@ -19,3 +19,4 @@ def test_plans(spark):
     plan = lambda n: FOUND[n](spark, SF)._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan("frames_in_games") and "CartesianProduct" not in plan("retime")
     assert "BroadcastHashJoin" in plan("templates")
+    assert not any(loop in plan(n) for loop in ("NestedLoop", "Cartesian") for n in ("crop", "crop_by_frame"))
