@@ -13,7 +13,7 @@ from tapeline.plans.queries import CELLS, SLOTS_SQL, frames_of, order_games, que
 from tapeline.plans.views import sql
 from tapeline.sources import history
 from tapeline.sources.shared import shared_folder
-from tapeline.streaming import streams
+from tapeline.streaming import stateful, streams
 
 #: How often rows arrive.
 PARTS = 3
@@ -55,13 +55,24 @@ SIDES = ", ".join(f"CAST(count(*) FILTER (WHERE side = {n}) AS INTEGER) AS n_{si
 @query("WITH " + SLOTS_SQL + f""" SELECT CAST(o_orderkey // 100 AS INTEGER) AS page, o_orderstatus AS mode, o_orderpriority AS map, strftime(o_orderdate, '%d/%m/%Y') AS date, CAST(o_orderkey % 900 AS INTEGER) AS duration,
   CAST(o_orderkey % 10 AS INTEGER) AS orange_score, CAST(o_custkey % 7 AS INTEGER) AS blue_score, {SIDES} FROM orders JOIN slots ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate""")
 def stream_history(spark, d):
-    """Orders as page documents that arrive in parts; every page of the one season is taken, each once."""
+    """Orders as page documents that arrive in parts; every page of the one season is taken, each once.
+
+    Each part brings a third of the pages of the part before again, as a retry does;
+    the last part also has a page after the one that calls itself the last.
+    """
     node = F.struct("createdAt", "mode", "map", "data", "players")
     games = order_games(spark, d).withColumn("season", F.lit(1)).withColumn("page", F.floor(F.col("pos") / 100))
     pages = games.groupBy("season", "page").agg(F.collect_list(node).alias("nodes"))
+    end = pages.agg(F.max("page")).first()[0] or 0
+    text = F.to_json(F.struct("season", "page", (F.col("page") == end).alias("last"), F.struct(F.struct("nodes").alias("gameHistories")).alias("data"))).alias("value")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    for part in arrivals(pages, F.col("page")):
-        part.select(F.to_json(F.struct("season", "page", F.struct(F.struct("nodes").alias("gameHistories")).alias("data"))).alias("value")).write.mode("append").text(f"{folder}/in")
+    parts = arrivals(pages, F.col("page"))
+    for i, part in enumerate(parts):
+        if i:
+            part = part.unionByName(parts[i - 1].where("page % 3 = 0"))
+        if i == PARTS - 1:
+            part = part.unionByName(pages.where(F.col("page") == end).withColumn("page", F.col("page") + 1))
+        part.select(text).write.mode("append").text(f"{folder}/in")
         streams.stream_history(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", 1, n_pages=2**31, first_page=0).awaitTermination()
     sides = (c for s in ("orange", "blue") for c in (F.size(s).alias(f"n_{s}"), F.get(s, F.lit(0))["name"].alias(f"first_{s}")))
     flat = history.game_teams(history.history_nodes(spark.createDataFrame([], history.PAGES)))
@@ -84,19 +95,19 @@ def stream_segments(spark, d):
 def stream_monotone_progress(spark, d):
     e = F.col("event_id")
     values = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), e.alias("seq"), (e * 7919 % 1001).cast("double").alias("value"))
-    return replayed(spark, arrivals(values, F.col("seq")), streams.stream_monotone_progress).withColumn("job_id", F.col("job_id").cast("long"))
+    return replayed(spark, arrivals(values, F.col("seq")), stateful.monotone_progress).withColumn("job_id", F.col("job_id").cast("long"))
 
 
 @query("""SELECT user_id, epoch_us(ts) AS at_us, CAST(v AS DOUBLE) AS value FROM (SELECT user_id, ts, event_id % 3 AS v, lag(event_id % 3) OVER (PARTITION BY user_id ORDER BY ts, event_id % 3) AS b FROM events) WHERE v <> b""")
 def stream_gauge_changes(spark, d):
     samples = V.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).cast("double").alias("value"))
-    return replayed(spark, arrivals(samples, F.unix_micros("ts")), streams.stream_gauge_changes).select("user_id", F.unix_micros("ts").alias("at_us"), "value")
+    return replayed(spark, arrivals(samples, F.unix_micros("ts")), stateful.gauge_changes).select("user_id", F.unix_micros("ts").alias("at_us"), "value")
 
 
 @query(sql("SELECT source, level, seq, message FROM v_logs QUALIFY row_number() OVER (PARTITION BY source, level ORDER BY seq DESC) <= 500", "v_logs"))
 def stream_last_logs(spark, d):
     logs = V.logs(spark, d).select("source", "level", "seq", "message")
-    return replayed(spark, arrivals(logs, F.col("seq")), streams.stream_last_n_logs, ["source", "level"])
+    return replayed(spark, arrivals(logs, F.col("seq")), stateful.last_n_logs, ["source", "level"])
 
 
 @query(sql("""SELECT CAST(frame_id % 3 AS VARCHAR) AS video_id, CAST(frame_id // 3 + 1 AS DOUBLE) AS t, CAST(y AS INTEGER) AS y, CAST(n AS INTEGER) AS height FROM (SELECT frame_id, i, min(y) AS y, count(*) AS n FROM (

@@ -9,7 +9,8 @@ from tapeline.functions.scalars import date_text, hour_text, readable_duration
 
 STATS = ["kills", "deaths", "assists", "score", "inflictedDamage", "bulletsFiredAccuracy"]
 NODE = "struct<createdAt:string,mode:struct<identifier:string>,map:struct<name:string>,data:struct<duration:int,teamOne:struct<name:string,score:int>,teamTwo:struct<name:string,score:int>>,players:array<struct<data:struct<niceName:string,team:string,kills:int,deaths:int,assists:int,score:int,inflictedDamage:double,bulletsFiredAccuracy:double>>>>"
-PAGES = f"season int, page int, data struct<gameHistories:struct<nodes:array<{NODE}>>>"
+#: A page may call itself the last of its season.
+PAGES = f"season int, page int, last boolean, data struct<gameHistories:struct<nodes:array<{NODE}>>>"
 #: Players of a side that a wide row has room for.
 SLOTS = 5
 

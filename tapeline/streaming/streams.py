@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,13 +15,50 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeline.operators.frames import Lines, images, text_lines, whole_frame
 from tapeline.operators.segments import END, START
-from tapeline.sources.history import game_teams, page_window, read_history
+from tapeline.sources.history import game_teams, history_nodes, page_window, read_pages
 
 
 def stream_history(spark: SparkSession, path: str, out: str, checkpoint: str, season: int, skip: int = 0, n_pages: int = 20, first_page: int = 1) -> StreamingQuery:
-    """Writes the flat games of pages as they arrive, each page once, until what is there is done."""
-    games = game_teams(page_window(read_history(spark, path, streaming=True), season, skip, n_pages, first_page))
-    return games.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    """Writes the flat games of pages as they arrive, each page once, until n pages or the last page.
+
+    A page that arrives again, in this part or a later one, is known by its season and
+    number, of which state has one for each page of the window. Pages of a batch count
+    in order of their numbers. Once n have been taken, or one that calls itself the
+    last, no more are. Games go to ``out``, a folder for each batch; beside them,
+    in a folder that readers skip, the pages taken. A batch that is repeated replaces what it wrote.
+    """
+    pages = read_pages(spark, path, streaming=True).where("data.gameHistories.nodes is not null")
+    once = page_window(pages, season, skip, n_pages, first_page).dropDuplicates(["season", "page"])
+
+    def take(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        before = taken_pages(batch.sparkSession, out).where(F.col("batch") != number)
+        n, over = before.agg(F.count("*"), F.coalesce(F.bool_or("last"), F.lit(False))).first()
+        left = 0 if over else n_pages - n
+        end = kept.agg(F.min(F.when(F.col("last"), F.col("page")))).first()[0]
+        new = kept.select("season", "page", F.coalesce("last", F.lit(False)).alias("last")).where(F.lit(end is None) | (F.col("page") <= F.lit(end)))
+        if left < new.count():
+            new = new.orderBy("page").limit(max(0, left))  # n_pages rows at most
+        game_teams(history_nodes(kept.join(new, ["season", "page"], "left_semi"))).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new.write.mode("overwrite").parquet(f"{out}/_pages/batch={number}")
+        kept.unpersist()
+
+    return once.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def taken_pages(spark: SparkSession, out: str) -> DataFrame:
+    """(season, page, last, batch): the pages that a stream_history has taken so far."""
+    schema = "season int, page int, last boolean, batch long"
+    try:
+        return spark.read.schema(schema).parquet(f"{out}/_pages")
+    except AnalysisException:  # no batch has been written yet
+        return spark.createDataFrame([], schema)
+
+
+def history_is_done(spark: SparkSession, out: str, n_pages: int) -> bool:
+    """Whether a stream_history with this folder takes no more pages; a caller that starts it again and again can stop."""
+    n, last = taken_pages(spark, out).agg(F.count("*"), F.coalesce(F.bool_or("last"), F.lit(False))).first()
+    return n >= n_pages or last
 
 
 def stream_segments(classes: DataFrame, delay: str = "1 minute", idle_ms: int = 60_000, lead_in: float = 2) -> DataFrame:

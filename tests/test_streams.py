@@ -2,10 +2,11 @@ import datetime as dt
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tapeline.operators import segments
 from tapeline.plans import stream_queries
-from tapeline.streaming import streams
+from tapeline.streaming import stateful, streams
 
 
 def replay(spark, rows, schema, make, tmp_path, mode="append", parts=3):
@@ -118,6 +119,80 @@ def test_history_stream(spark, tmp_path):
     assert len(r) == 1 and [p["name"] for p in r[0]["orange"]] == ["p"] and r[0]["blue"] == [] and r[0]["hour"] == "03:04"
 
 
+def page(number, *names, last=None):
+    node = {"map": {"name": "x"}, "data": {"duration": 65, "teamOne": {"name": "A", "score": 1}, "teamTwo": {"name": "B", "score": 2}}, "players": []}
+    return json.dumps({"season": 1, "page": number, "last": last, "data": {"gameHistories": {"nodes": [node | {"map": {"name": n}} for n in names]}}})
+
+
+def taken(spark, tmp_path, parts, **options):
+    """Maps of the games that parts of pages give, each part a run of its own."""
+    (tmp_path / "in").mkdir()
+    done = []
+    for i, pages in enumerate(parts):
+        (tmp_path / f"in/{i}.json").write_text("\n".join(pages))
+        streams.stream_history(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 1, **options).awaitTermination(120)
+        done.append(streams.history_is_done(spark, str(tmp_path / "out"), options.get("n_pages", 20)))
+    return sorted(r["map"] for r in spark.read.parquet(str(tmp_path / "out")).collect()), done
+
+
+def test_pages_that_arrive_again_count_once(spark, tmp_path):
+    got, done = taken(spark, tmp_path, [[page(1, "a", "b"), page(1, "a", "b")], [page(2, "c"), page(1, "a", "b")], [page(2, "c"), page(3)]])
+    assert got == ["a", "b", "c"] and done == [False] * 3
+
+
+def test_history_stops_after_n_pages(spark, tmp_path):
+    """Pages of a batch count in order; empty pages count too."""
+    got, done = taken(spark, tmp_path, [[page(4, "d"), page(2)], [page(5, "e"), page(2), page(3, "c")], [page(1, "a")]], n_pages=3, skip=1, first_page=1)
+    assert got == ["c", "d"] and done == [False, True, True]
+
+
+def test_history_stops_at_the_last_page(spark, tmp_path):
+    got, done = taken(spark, tmp_path, [[page(1, "a")], [page(4, "d"), page(2, "b", last=True), page(3, "c")], [page(5, "e")]])
+    assert got == ["a", "b"] and done == [False, True, True]
+
+
+def test_typed_state_agrees_with_groups(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    t0 = dt.datetime(2024, 1, 1)
+    logs = [(f"s{rng.integers(3)}", f"l{rng.integers(2)}", int(i), None if i % 17 == 0 else f"m{i}") for i in rng.permutation(300)]
+    gauge = [(int(rng.integers(5)), t0 + dt.timedelta(seconds=i), float(rng.integers(3))) for i in range(200)]
+    steps = [(f"j{rng.integers(4)}", i, float(rng.integers(100))) for i in range(200)]
+    cases = [
+        (logs, "source string, level string, seq long, message string", lambda f: stateful.last_n_logs(f, 7), lambda f: streams.stream_last_n_logs(f, 7), ["source", "level"]),
+        (gauge, "user_id long, ts timestamp, value double", stateful.gauge_changes, streams.stream_gauge_changes, None),
+        (steps, "job_id string, seq long, value double", stateful.monotone_progress, streams.stream_monotone_progress, None),
+    ]
+    for rows, schema, typed, grouped, latest in cases:
+        parts = [spark.createDataFrame(rows[at : at + 70], schema) for at in range(0, len(rows), 70)]
+        got, want = ([tuple(r) for r in stream_queries.replayed(spark, parts, make, latest).collect()] for make in (typed, grouped))
+        assert sorted(got, key=str) == sorted(want, key=str) and got
+
+
+def test_partitions_send_on_n_rows_of_a_key(spark):
+    logs = spark.range(0, 10_000, 1, 5).select(F.lit("ui").alias("source"), F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("level"), F.col("id").alias("seq"), F.lit(None).cast("string").alias("message"))
+    sent = {r["level"]: r["count"] for r in stateful.last_of_partitions(logs, 30).groupBy("level").count().collect()}
+    assert sent == {"hot": 150, "rare": 100}
+    assert stateful.last_of_partitions(logs.limit(0), 3).collect() == []
+
+
+def test_idle_keys_of_typed_logs_start_anew(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s, source, seq: (source, "log", seq, f"m{seq}", t0 + dt.timedelta(seconds=s))
+    batches = [[at(0, "a", 1)], [at(10, "a", 2), at(10, "b", 3)], [at(500, "b", 4)], [at(510, "b", 5)], [at(600, "a", 6)]]
+    schema = "source string, level string, seq long, message string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    make = stateful.last_n_logs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 5, idle_ms=100_000, delay="10 seconds")
+    q = make.writeStream.outputMode("update").format("memory").queryName("idle_logs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = [tuple(r) for r in spark.table("idle_logs").collect()]
+    assert [r[2] for r in rows if r[0] == "a"] == [1, 1, 2, 6]
+
+
 def test_kill_lines(spark):
     image = np.zeros((60, 40, 3), np.uint8)
     image[10:20, 30] = 255
