@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, t: str, start: str, end: str, width: float) -> DataFrame:
     """Points with the intervals [start, end) of their key that hold them.
 
-    Both sides are put in buckets of ``width``, an interval in each that it touches,
-    so the join is on (key, bucket) and never compares all pairs of a key. Intervals
-    with a null bound, and empty ones, hold nothing.
+    Levels of buckets of ``width``, twice that, and so on: an interval lies in the
+    buckets that it touches on the first level where they are no shorter than itself,
+    so two at most, however long it is; a point has one bucket on each level that
+    intervals are on. The join is on (key, level, bucket) and never compares all
+    pairs of a key. Intervals with a null bound, and empty ones, hold nothing.
     """
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    spread = intervals.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    own = points.withColumn("_b", bucket(F.col(t)))
-    return own.join(spread, [key, "_b"]).where((F.col(t) >= F.col(start)) & (F.col(t) < F.col(end))).drop("_b")
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.ceil(F.log2(length / F.lit(width))), F.lit(0)).cast("int")
+    held = intervals.where(F.col(start) < F.col(end)).withColumn("_level", level)
+    levels = sorted(r["_level"] for r in held.select("_level").distinct().collect())  # logarithmic in the longest interval
+
+    def bucket(c: Column) -> Column:
+        return F.floor(c / (F.lit(width) * F.pow(F.lit(2.0), "_level"))).cast("long")
+
+    spread = held.withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+    own = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("_b", bucket(F.col(t)))
+    return own.join(spread, [key, "_level", "_b"]).where((F.col(t) >= F.col(start)) & (F.col(t) < F.col(end))).drop("_level", "_b")
 
 
 def frames_in_games(frames: DataFrame, games: DataFrame, width: float = 600.0) -> DataFrame:
@@ -55,18 +64,30 @@ def concat_chunks(*chunks: DataFrame) -> DataFrame:
     return out.withColumn("new_start", at).withColumn("new_end", F.col("new_start") + F.col("end") - F.col("start"))
 
 
-def as_of(requests: DataFrame, rows: DataFrame, key: str, t: str, value: str, forward: bool = True) -> DataFrame:
+#: Seconds of a key that one task looks through at once in an as-of lookup.
+SLICE = 86_400.0
+
+
+def as_of(requests: DataFrame, rows: DataFrame, key: str, t: str, value: str, forward: bool = True, slice_width: float = SLICE) -> DataFrame:
     """requests(key, id, t) with found_<value>: that of the nearest row at or after (forward) or at or before t.
 
-    One union and one window by key: no pair of a request and a row is ever made
-    before the answer is known.
+    One union, and a window by key and slice of time, so that a key with most of the
+    rows goes to many tasks. What a slice doesn't find comes from the slices that are
+    nearer to its start: one value each, summed up before they are shuffled and carried
+    over by a window of a row a slice. No pair of a request and a row is made before the answer is known.
     """
+    sign = -1 if forward else 1
     asked = requests.withColumn("_v", F.lit(None)).withColumn("_ask", F.lit(True))
-    given = rows.select(F.col(key), F.col(t), F.col(value).alias("_v"), F.lit(False).alias("_ask"))
-    both = asked.unionByName(given, allowMissingColumns=True)
+    given = rows.where(F.col(value).isNotNull()).select(F.col(key), F.col(t), F.col(value).alias("_v"), F.lit(False).alias("_ask"))
+    both = asked.unionByName(given, allowMissingColumns=True).withColumn("_slice", F.floor(F.col(t) / F.lit(slice_width)) * sign)
     order = [F.col(t).desc(), F.col("_ask")] if forward else [F.col(t), F.col("_ask")]
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(f"found_{value}", F.last("_v", ignorenulls=True).over(w)).where("_ask").drop("_v", "_ask")
+    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = both.groupBy(F.col(key).alias("_of"), F.col("_slice").alias("_at")).agg(F.max_by("_v", F.when(~F.col("_ask"), F.col(t) * sign)).alias("_end"))
+    earlier = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_of", "_at", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    own = both.withColumn("_found", F.last("_v", ignorenulls=True).over(inside)).where("_ask")
+    met = own.join(carried, F.col(key).eqNullSafe(F.col("_of")) & F.col("_slice").eqNullSafe(F.col("_at")), "left")
+    return met.withColumn(f"found_{value}", F.coalesce("_found", "_carried")).drop("_v", "_ask", "_slice", "_found", "_of", "_at", "_carried")
 
 
 def _phase(c: Column, step: float) -> Column:
@@ -78,7 +99,7 @@ def playing_bounds(games: DataFrame, classes: DataFrame, step: float = 1.0) -> D
     """Games with start and end moved inwards to playing frames on the grid that each bound anchors; games without either go.
 
     games(video_id, game_no, start_s, end_s), classes(video_id, t, cls). Each bound is
-    one as-of lookup among the frames of its video and phase.
+    one as-of lookup among the frames of its video and phase, in slices of time.
     """
     key = lambda c: F.concat_ws("|", "video_id", _phase(c, step))
     playing = classes.where("cls = 'playing'").select(key(F.col("t")).alias("_key"), F.col("t").cast("double").alias("t")).withColumn("p", F.col("t"))

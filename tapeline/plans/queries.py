@@ -128,7 +128,16 @@ def map_from_text(spark, d):
 
 @query(sql("SELECT game_id, count(*) AS n, min(id) AS first_id FROM v_detected JOIN v_stats USING (map, orange_score, blue_score) GROUP BY game_id", "v_detected", "v_stats"))
 def attach(spark, d):
-    return matching.attach_candidates(V.detected(spark, d), V.stats(spark, d)).groupBy("game_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return matching.candidate_counts(V.detected(spark, d), V.stats(spark, d)).select("game_id", "n", "first_id")
+
+
+@query(sql("""
+SELECT game_id, id, CAST(rank AS INTEGER) AS rank
+FROM v_detected JOIN (
+  SELECT *, row_number() OVER (PARTITION BY map, orange_score, blue_score ORDER BY id DESC) AS rank FROM v_stats) USING (map, orange_score, blue_score)
+WHERE rank <= 3""", "v_detected", "v_stats"))
+def attach_best(spark, d):
+    return matching.best_candidates(V.detected(spark, d), V.stats(spark, d), [F.col("id").desc()], 3).select("game_id", "id", "rank")
 
 
 @query(sql("""SELECT game_id, replace(replace(replace(replace(replace('{"map":"' || map || '","date":0,"orange":{"score":' || orange_score || '},"blue":{"score":' || blue_score || '}}', '"', '%22'), '{', '%7B'), '}', '%7D'), ':', '%3A'), ',', '%2C') AS payload
@@ -146,7 +155,7 @@ def order_games(spark, d):
     players = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*sort, player.alias("data")))), lambda x: F.struct(x["data"].alias("data"))).alias("players"))
     o = V.table(spark, d, "orders")
     team = lambda n, s: F.struct(F.lit(n).alias("name"), s.cast("int").alias("score"))
-    node = o.join(players, "o_orderkey").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.struct(F.col("o_orderstatus").alias("identifier")).alias("mode"), F.struct(F.col("o_orderpriority").alias("name")).alias("map"), F.struct((F.col("o_orderkey") % 900).cast("int").alias("duration"), team("A", F.col("o_orderkey") % 10), team("B", F.col("o_custkey") % 7)).alias("data"), "players")
+    node = o.join(players, "o_orderkey", "left").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.struct(F.col("o_orderstatus").alias("identifier")).alias("mode"), F.struct(F.col("o_orderpriority").alias("name")).alias("map"), F.struct((F.col("o_orderkey") % 900).cast("int").alias("duration"), team("A", F.col("o_orderkey") % 10), team("B", F.col("o_custkey") % 7)).alias("data"), "players")
     return node.withColumn("data", F.struct(F.col("data.duration").alias("duration"), F.col("data.col2").alias("teamOne"), F.col("data.col3").alias("teamTwo"))).withColumnRenamed("o_orderkey", "pos")
 
 
@@ -156,15 +165,15 @@ CELLS = {"name": "CAST(l_partkey AS VARCHAR)", "kills": "CAST(l_quantity AS INTE
 WIDE_SQL = ", ".join(f"max(CASE WHEN side = {n} AND k = {k} THEN {v} END) AS {side}_{k}_{c}" for n, side in enumerate(("orange", "blue")) for k in range(1, 6) for c, v in CELLS.items())
 
 
-@query("WITH " + SLOTS_SQL + """ SELECT o_orderkey, o_orderstatus AS mode, CAST(count(*) AS INTEGER) AS n_players, o_orderpriority AS map, strftime(o_orderdate, '%d/%m/%Y') AS date, strftime(o_orderdate, '%H:%M') AS hour,
+@query("WITH " + SLOTS_SQL + """ SELECT o_orderkey, o_orderstatus AS mode, CAST(count(l_orderkey) AS INTEGER) AS n_players, o_orderpriority AS map, strftime(o_orderdate, '%d/%m/%Y') AS date, strftime(o_orderdate, '%H:%M') AS hour,
   concat(o_orderkey % 900 // 60, 'm', o_orderkey % 900 % 60, 's') AS readable_duration, CAST(o_orderkey % 900 AS INTEGER) AS duration, CAST(o_orderkey % 10 AS INTEGER) AS orange_score, CAST(o_custkey % 7 AS INTEGER) AS blue_score,
-  """ + WIDE_SQL + """, CAST(count(*) FILTER (WHERE k > 5) AS INTEGER) AS n_dropped FROM orders JOIN slots ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority, o_orderdate, o_custkey""")
+  """ + WIDE_SQL + """, CAST(count(*) FILTER (WHERE k > 5) AS INTEGER) AS n_dropped FROM orders LEFT JOIN slots ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority, o_orderdate, o_custkey""")
 def history_wide(spark, d):
     return history.export_wide(history.game_teams(order_games(spark, d)), ("pos",)).withColumnRenamed("pos", "o_orderkey")
 
 
 @query("""SELECT CAST(o_orderkey % 4 AS INTEGER) AS season, CAST(o_orderkey // 100 AS INTEGER) AS page, o_orderstatus AS mode, o_orderpriority AS map, CAST(o_orderkey % 900 AS INTEGER) AS duration, CAST(o_orderkey % 10 AS INTEGER) AS orange_score,
-  CAST(o_custkey % 7 AS INTEGER) AS blue_score, CAST(count(*) AS INTEGER) AS n_players FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority""")
+  CAST(o_custkey % 7 AS INTEGER) AS blue_score, CAST(count(l_orderkey) AS INTEGER) AS n_players FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority""")
 def history_pages(spark, d):
     """Orders written as page documents, with pages that have no list of games among them, and read back."""
     node = F.struct("createdAt", "mode", "map", "data", "players")
@@ -182,7 +191,7 @@ def history_players(spark, d):
     return history.history_players(history.game_teams(order_games(spark, d)), ["pos"]).select(F.col("pos").alias("o_orderkey"), "side", "slot", "name", "kills")
 
 
-@query("SELECT o_orderkey AS pos FROM orders WHERE o_orderkey % 4 = 2 AND o_orderkey // 100 >= 3 AND o_orderkey // 100 < 8 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT o_orderkey AS pos FROM orders WHERE o_orderkey % 4 = 2 AND o_orderkey // 100 >= 3 AND o_orderkey // 100 < 8")
 def page_window(spark, d):
     pages = order_games(spark, d).withColumn("season", F.col("pos") % 4).withColumn("page", F.floor(F.col("pos") / 100))
     own = history.page_window(history.append_pages(pages, pages), season=2, skip=2, n_pages=5)
@@ -469,9 +478,16 @@ def dates(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", C.date_text(ts, "+02:00").alias("date"), C.hour_text(ts, "+02:00").alias("hour"))
 
 
-@query("SELECT doc_id, md5(nfc_normalize(text)) AS text_md5 FROM documents")
+@query("""
+SELECT doc_id, md5(nfc_normalize(t)) AS text_md5, nfc_normalize(t) <> t AS changed
+FROM (SELECT doc_id, replace(replace(replace(text, 'e', 'e' || chr(769)), 'u', 'u' || chr(776)), 'n', 'n' || chr(771)) AS t FROM documents)""")
 def nfc(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", F.md5(C.nfc(F.col("text")).cast("binary")).alias("text_md5"))
+    """Texts whose e, u and n are followed by combining marks, as some systems write accents."""
+    text = F.col("text")
+    for letter, mark in (("e", "\u0301"), ("u", "\u0308"), ("n", "\u0303")):
+        text = F.replace(text, F.lit(letter), F.lit(letter + mark))
+    made = V.table(spark, d, "documents").select("doc_id", text.alias("t")).withColumn("c", C.nfc(F.col("t")))
+    return made.select("doc_id", F.md5(F.col("c").cast("binary")).alias("text_md5"), (F.col("c") != F.col("t")).alias("changed"))
 
 
 @query(sql("""SELECT video_id, string_agg(CASE WHEN start_s // 3600 <> 0 THEN concat(start_s // 3600, ':') ELSE '' END || lpad(CAST(start_s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_s % 60 AS VARCHAR), 2, '0') || ' O vs B - M', chr(10) ORDER BY start_s) AS text

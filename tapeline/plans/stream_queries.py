@@ -49,11 +49,11 @@ def replayed(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFr
     return every.join(every.groupBy(*latest).agg(F.max("batch").alias("batch")), [*latest, "batch"], "left_semi").drop("batch")
 
 
-SIDES = ", ".join(f"CAST(count(*) FILTER (WHERE side = {n}) AS INTEGER) AS n_{side}, max(CASE WHEN side = {n} AND k = 1 THEN {CELLS['name']} END) AS first_{side}" for n, side in enumerate(("orange", "blue")))
+SIDES = ", ".join(f"CAST(count(l_orderkey) FILTER (WHERE side = {n}) AS INTEGER) AS n_{side}, max(CASE WHEN side = {n} AND k = 1 THEN {CELLS['name']} END) AS first_{side}" for n, side in enumerate(("orange", "blue")))
 
 
 @query("WITH " + SLOTS_SQL + f""" SELECT CAST(o_orderkey // 100 AS INTEGER) AS page, o_orderstatus AS mode, o_orderpriority AS map, strftime(o_orderdate, '%d/%m/%Y') AS date, CAST(o_orderkey % 900 AS INTEGER) AS duration,
-  CAST(o_orderkey % 10 AS INTEGER) AS orange_score, CAST(o_custkey % 7 AS INTEGER) AS blue_score, {SIDES} FROM orders JOIN slots ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate""")
+  CAST(o_orderkey % 10 AS INTEGER) AS orange_score, CAST(o_custkey % 7 AS INTEGER) AS blue_score, {SIDES} FROM orders LEFT JOIN slots ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate""")
 def stream_history(spark, d):
     """Orders as page documents that arrive in parts; every page of the one season is taken, each once.
 
