@@ -125,7 +125,8 @@ def _remove(width: int, buckets: int):
             spans = intervals(gone)
             kept = own if not spans else [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
             rows.append((doc, len(own), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), [list(s) for s in spans]))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
+        made = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"], dtype=object)
+        return made.assign(doc_id=pd.array([None if d is None else int(d) for d in made["doc_id"]], "Int64"))
 
     return run
 
@@ -141,7 +142,8 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
     repeated ids keep their rows, so that repeated rows remove each other's windows;
     an empty table gives no rows.
     """
-    rows = texts(docs, id_col, text_col)
+    # ids travel as text: pandas would turn those of a block with a null id to floating point
+    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
     n = n_blocks(rows, block_bytes)
     dealt = in_blocks(rows, n).groupBy("block")
     hashes = dealt.applyInPandas(_send(width, n), "bucket int, block int, payload binary")

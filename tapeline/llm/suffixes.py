@@ -385,7 +385,8 @@ def _remove(length: int):
                 at = t
             kept.update(data[at:])
             rows.append((doc, len(data), sum(t - s for s, t in spans), len(spans), kept.hexdigest(), spans))
-        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+        made = pd.DataFrame(rows, columns=columns, dtype=object)
+        return made.assign(doc_id=pd.array(x.ids, "Int64"))
 
     return run
 
