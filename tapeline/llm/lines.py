@@ -62,22 +62,23 @@ def line_chunks(text: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2) -> DataFrame:
-    """(_doc, _gone): for each document that has any, the places of its chunks that repeat an earlier one.
+    """(_doc, _text, _gone): for each document that has any, by its id and a hash of its text, the places of its chunks that repeat an earlier one.
 
     A chunk of at least ``least_lines`` lines goes if the same bytes are a chunk of a
-    document with a smaller id, or stand earlier in the same one. Hashes only pick
+    document with a smaller id, or with the same id and a smaller hash of its text, or stand earlier in the same one. Hashes only pick
     candidates, which are then grouped by their bytes. Counts are combined before
     they are shuffled; a hot chunk's join is left to Spark to split.
     """
-    base = docs.select(docs[id_col].alias("_doc"), docs[text_col].cast("string").alias("_text")).where("_doc is not null and _text is not null")
-    chunk = base.select("_doc", F.explode(line_chunks(F.col("_text"))).alias("_c")).where(F.col("_c.n_lines") >= least_lines)
-    marks = chunk.select("_doc", F.col("_c.pos").alias("pos"), F.xxhash64("_c.body").alias("h"))
+    own = ["_doc", "_text"]
+    base = docs.select(docs[id_col].alias("_doc"), F.xxhash64(docs[text_col].cast("string")).alias("_text"), docs[text_col].cast("string").alias("_of")).where("_doc is not null and _of is not null")
+    chunk = base.select(*own, F.explode(line_chunks(F.col("_of"))).alias("_c")).where(F.col("_c.n_lines") >= least_lines)
+    marks = chunk.select(*own, F.col("_c.pos").alias("pos"), F.xxhash64("_c.body").alias("h"))
     again = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = marks.join(again, "h", "left_semi").groupBy("_doc").agg(F.collect_set("pos").alias("_at"))
-    some = base.join(places, "_doc").select("_doc", F.explode(F.filter(line_chunks(F.col("_text")), lambda c: F.array_contains(F.col("_at"), c["pos"]))).alias("_c")).select("_doc", "_c.pos", "_c.body")
-    first = some.groupBy("body").agg(F.min(F.struct("_doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("body", "first")
-    later = some.join(first, "body").where(F.struct("_doc", "pos") > F.col("first"))
-    return later.groupBy("_doc").agg(F.collect_set("pos").alias("_gone"))
+    places = marks.join(again, "h", "left_semi").groupBy(*own).agg(F.collect_set("pos").alias("_at"))
+    some = base.join(places, own).select(*own, F.explode(F.filter(line_chunks(F.col("_of")), lambda c: F.array_contains(F.col("_at"), c["pos"]))).alias("_c")).select(*own, "_c.pos", "_c.body")
+    first = some.groupBy("body").agg(F.min(F.struct(*own, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("body", "first")
+    later = some.join(first, "body").where(F.struct(*own, "pos") > F.col("first"))
+    return later.groupBy(*own).agg(F.collect_set("pos").alias("_gone"))
 
 
 def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2, counts: bool = False) -> DataFrame:
@@ -86,12 +87,12 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     With ``counts``, n_lines and n_removed (lines) are added, and must not be names of
     the table's own. A text that loses all its lines becomes empty; a null text
     stays null, with 0 lines; a row with a null id loses nothing and takes nothing
-    from others; rows that share an id lose the same places, and none to each
+    from others; rows that share an id and a text lose the same places, and none to each
     other. An empty table gives no rows.
     """
     name = next(n for i in range(len(docs.columns) + 1) if (n := "_gone" + "_" * i) not in docs.columns)
     gone = repeated_chunks(docs, id_col, text_col, least_lines).withColumnRenamed("_gone", name)
-    keyed = docs.join(gone, docs[id_col] == gone["_doc"], "left")
+    keyed = docs.join(gone, (docs[id_col] == gone["_doc"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_text"]), "left")
     of_all = F.transform(
         F.array(line_chunks(docs[text_col])),
         lambda c: F.struct(
