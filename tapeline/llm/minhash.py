@@ -176,9 +176,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that repeat an earlier one: one of each group stays.
 
-    Rows with the same doc_id stay or go together. Documents without words, and
+    Rows with the same doc_id stay or go together; they stay if one of their texts does, so
+    that no text goes that repeats nothing. Documents without words, and
     those with a null doc_id, all stay; other columns pass through unchanged.
     """
     found = near_duplicates(docs, id_col, text_col, width, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).where("not _kept").select("_gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
