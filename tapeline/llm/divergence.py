@@ -26,8 +26,8 @@ from tapeline.sources.shared import shared_folder, small
 
 #: Documents of a language that a term must stand in, and CountVectorizer's largest vocabulary.
 MIN_DOCS, MOST_TERMS = 3, 2**31 - 1
-#: Different terms, rare ones included, that a shard is meant to have; its vocabulary has fewer.
-SHARD_TERMS = 1_000_000
+#: Different terms, rare ones included, that a shard is meant to have; its vocabulary has fewer, and the driver holds it for a while.
+SHARD_TERMS = 650_000
 #: Probabilities are whole numbers of this part of one.
 UNIT = 1_000_000_000
 #: Letters, in lower case, and bytes of characters beyond ASCII stay; all else parts terms.
@@ -86,7 +86,8 @@ def vectors(terms: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     none = spark.range(min_docs).select(F.array(F.lit(NO_TERM)).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=MOST_TERMS).fit(terms.select("terms").unionByName(none))
     found = model.transform(terms).select("lang", "source", F.unwrap_udt("v").alias("v"))
-    listed = pa.table({"idx": pa.array(range(len(model.vocabulary)), pa.int32()), "name": model.vocabulary})
+    names = pa.array(model.vocabulary, pa.string())
+    listed = pa.table({"idx": pa.array(np.arange(len(names)), pa.int32()), "name": names})
     name, term = F.col("name"), F.substring_index("name", " ", -1)
     vocabulary = spark.createDataFrame(listed).where(name != NO_TERM)
     return found, vocabulary.select("idx", name.substr(F.lit(1), F.length(name) - F.length(term) - 1).alias("lang"), term.alias("term"))
