@@ -2,23 +2,24 @@
 
 A text is read as characters with start marks before and an end mark after it;
 perplexity is for each character. Documents are packed into *blocks*; a block asks
-for each of its n-grams once. N-grams and counts meet in *shards*, by the last two
-characters of an n-gram's context, so that a shard has all counts that orders three
-and up need for its n-grams; the two lowest orders are small tables that every shard
-is given. The shard's answers, one number for each n-gram in the order asked, go back
-to the block.
+for each of its n-grams, and for each of their endings of two characters and more,
+once. Counts of all these orders and the questions meet in *shards* by a hash of the
+whole context, so that a shard has all counts of a context, and a context has no more
+of them than there are characters. A shard's counts are read first and its questions
+after them, some at a time. The answers, two numbers for each n-gram in the order
+asked, go back to the block, which puts the orders together. The lowest order has one
+row for each character of Unicode at most and is sent to every task.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import checkpointed, chunks, mix, packed, small_batches, unpacked
@@ -29,15 +30,15 @@ ORDER, QUANTILE = 5, 0.995
 HELD_OUT = 5
 #: Bytes of text of a block.
 BLOCK = 24_000_000
-#: Trusted n-grams that a shard aims at.
-SHARD = 500_000
+#: Trusted n-grams, of all orders, that a shard aims at; questions that it answers at a time.
+SHARD, ASKED = 500_000, 2_000_000
 #: Ids of trusted documents up to which they are sent to every task; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 START, END = "\x02", "\x03"
 #: Perplexities are put in order by their logarithm to this many steps a unit.
 STEPS = 1000
-#: Kinds of rows of a model: n-grams and counts, probabilities of characters, and of pairs what is left of their own count, and what is freed by their first.
-COUNT, ONE, TWO, FREED = range(4)
+#: Of contexts: the factor and the prime of their hash.
+FACTOR, PRIME = 1_048_583, 2_147_483_629
 
 
 class Grams:
@@ -80,7 +81,11 @@ def as_numbers(grams: list[str], order: int) -> np.ndarray:
 
 
 class Block:
-    """Documents of one block, and the distinct n-grams of their texts, by shard."""
+    """Documents of one block, and of their texts the distinct n-grams of each order but the lowest, with their shards.
+
+    ``of[k]`` has the n-grams of order k, a row each, ``shard[k]`` their shards, and
+    ``ending[k]`` the place there of each distinct n-gram of the highest order.
+    """
 
     def __init__(self, payloads: list[bytes], order: int, shards: int):
         self.rows = unpacked(payloads)
@@ -97,10 +102,12 @@ class Block:
             spelled.append(g.spelled(at))
         self.codes, at = np.unique(np.concatenate(found), return_index=True)
         self.spelled = np.concatenate(spelled)[at]
-        pair = self.spelled[:, order - 3].astype(np.int64) << 21 | self.spelled[:, order - 2]
-        pairs, which = np.unique(pair, return_inverse=True)
-        number = [zlib.crc32((chr(p >> 21) + chr(p & 0x1FFFFF)).encode("utf-8", "surrogatepass")) % shards for p in pairs.tolist()]
-        self.shard = np.array(number, np.int64)[which] if len(pairs) else np.zeros(0, np.int64)
+        self.of, self.shard, self.ending = {}, {}, {}
+        number = self.spelled[:, -1].astype(np.int64)
+        for k in range(2, order + 1):
+            _, at, number = distinct(number, self.spelled[:, order - k])
+            self.of[k], self.ending[k] = self.spelled[at, order - k :], number
+            self.shard[k] = context_hash(self.of[k]) % shards
 
     def texts(self, part: slice) -> list[str]:
         return [self.rows[i][1] for i in self.full[part]]
@@ -129,88 +136,151 @@ def _counted(order: int):
     return run
 
 
+def distinct(number: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of a small number and a character: as one number each, where each comes first, and which of them each place has."""
+    return np.unique(number * np.int64(int(more.max(initial=0)) + 1) + more, return_index=True, return_inverse=True)
+
+
+def numbered(*columns: np.ndarray) -> np.ndarray:
+    """One number for each different row of some columns of characters."""
+    out = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        out = distinct(out, c)[2]
+    return out
+
+
+def context_hash(grams: np.ndarray) -> np.ndarray:
+    """A hash of each row's characters but the last, and of how many there are."""
+    h = np.full(len(grams), grams.shape[1], np.int64)
+    for c in grams.T[:-1]:
+        h = (h * FACTOR + c) % PRIME
+    return h
+
+
+def context_hash_of(gram: str, order: int) -> Column:
+    """The same of a column of n-grams of one order."""
+    h = F.lit(order).cast("long")
+    for i in range(1, order):
+        h = (h * F.lit(FACTOR) + F.ascii(F.substring(gram, i, 1))) % F.lit(PRIME)
+    return h
+
+
 def _asked(order: int, shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf["payload"].tolist(), order, shards)
-        own = np.unique(b.shard)
-        asked = [zstandard.compress(np.ascontiguousarray(b.spelled[b.shard == s].T).tobytes(), 3) for s in own.tolist()]
-        return pd.DataFrame({"shard": own.astype(np.int32), "block": np.full(len(own), pdf["block"].iloc[0], np.int32), "payload": asked})
+        b, rows = Block(pdf["payload"].tolist(), order, shards), []
+        for s in np.unique(np.concatenate(list(b.shard.values()))).tolist():
+            own = {k: b.of[k][b.shard[k] == s] for k in b.of}
+            sizes = np.array([len(g) for g in own.values()], np.int64)
+            rows.append((s, zstandard.compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(g.T).tobytes() for g in own.values())]), 3)))
+        out = pd.DataFrame(rows, columns=["shard", "payload"])
+        return out.assign(block=pdf["block"].iloc[0], gram=None, c=None)[["shard", "block", "gram", "c", "payload"]]
 
     return run
 
 
-def numbered(*columns: np.ndarray) -> np.ndarray:
-    """One number for each different row of some columns of whole numbers."""
-    out = columns[0]
-    for c in columns[1:]:
-        out = np.unique(out * np.int64(int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
+def questions(payload: bytes, order: int) -> dict[int, np.ndarray]:
+    """The n-grams that a block asks a shard for, by order."""
+    data = zstandard.decompress(payload)
+    sizes, at, out = np.frombuffer(data, np.int64, order - 1).tolist(), 8 * (order - 1), {}
+    for k, n in enumerate(sizes, 2):
+        out[k] = np.frombuffer(data, np.uint32, n * k, at).reshape(k, n).T
+        at += 4 * n * k
     return out
 
 
-def shard_log_probabilities(model: pd.DataFrame, wanted: np.ndarray, discounts_: dict[int, tuple[float, float, float]], order: int) -> np.ndarray:
-    """log p of each wanted n-gram (a row of characters). model(kind, key, value) has the counts of all n-grams with the last two characters of their context in this shard, and the two lowest orders."""
-    of = lambda kind: model[model["kind"] == kind]
-    counts = of(COUNT)
-    n = len(counts)
-    both = np.concatenate([as_numbers(counts["key"].tolist(), order), wanted]).astype(np.int64)
-    count, last = counts["value"].to_numpy(np.float64), both[:, -1]
-
-    low = {kind: dict(zip(of(kind)["key"], of(kind)["value"], strict=True)) for kind in (ONE, TWO, FREED)}
-    pairs, which = np.unique(both[n:, -2] << 21 | both[n:, -1], return_inverse=True)
-    value = []
-    for p in pairs.tolist():
-        a, b = chr(p >> 21), chr(p & 0x1FFFFF)
-        one = low[ONE].get(b, low[ONE].get("", 0.0))
-        value.append(low[TWO].get(a + b, 0.0) + low[FREED].get(a, 1.0) * one)
-    p = np.array(value)[which]
-
-    context, grams = numbered(both[:, -3], both[:, -2]), {}
-    for k in range(3, order + 1):
-        if k > 3:
-            context = numbered(both[:, order - k], context)
-        grams[k] = context, numbered(context, last)
-    for k in range(3, order + 1):
-        context, gram = grams[k]
-        if k == order:
-            at, c = np.arange(n), count
-        else:  # in how many different n-grams of the next order it stands
-            longer = np.unique(grams[k + 1][1][:n], return_index=True)[1]
-            at, inverse = np.unique(gram[:n][longer], return_index=True, return_inverse=True)[1:]
-            at, c = longer[at], np.bincount(inverse, minlength=len(at)).astype(np.float64)
-        d = np.array(discounts_[k])[np.minimum(c, 3).astype(np.int64) - 1] if len(c) else c
-        size = int(context.max(initial=-1)) + 1
-        total, freed = np.bincount(context[at], c, size), np.bincount(context[at], d, size)
-        left = np.bincount(gram[at], c - d, int(gram.max(initial=-1)) + 1)
-        here = context[n:]
-        met = total[here] > 0
-        p[met] = (left[gram[n:][met]] + freed[here[met]] * p[met]) / total[here[met]]
-    return np.log(p)
+def shares(counted: np.ndarray, count: np.ndarray, wanted: np.ndarray, discount: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one order: what is left of each wanted n-gram's own count, and what its context leaves to the next lower order, as shares of the context's total."""
+    n, both = len(counted), np.concatenate([counted, wanted])
+    context = numbered(*both.T[:-1])
+    gram = distinct(context, both[:, -1])[2]
+    size = int(context.max(initial=-1)) + 1
+    d = np.array(discount)[np.minimum(count, 3).astype(np.int64) - 1] if n else count
+    total, freed = np.bincount(context[:n], count, size), np.bincount(context[:n], d, size)
+    left = np.bincount(gram[:n], count - d, int(gram.max(initial=-1)) + 1)
+    here = context[n:]
+    met = total[here] > 0
+    some = np.where(met, total[here], 1)
+    return np.where(met, left[gram[n:]] / some, 0).astype(np.float32), np.where(met, freed[here] / some, 1).astype(np.float32)
+
+
+class Shard:
+    """A shard's counts, and questions until there are enough of them to answer."""
+
+    def __init__(self, number: int, order: int, discounts_: dict[int, tuple[float, float, float]]):
+        self.number, self.order, self.discounts = number, order, discounts_
+        self.read: list[pd.DataFrame] = []
+        self.counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.asked: list[tuple[int, dict[int, np.ndarray]]] = []
+        self.size = 0
+
+    def ask(self, block: int, payload: bytes) -> None:
+        self.asked.append((block, questions(payload, self.order)))
+        self.size += sum(map(len, self.asked[-1][1].values()))
+
+    def answers(self) -> pd.DataFrame:
+        if not self.counts:
+            all_ = pd.concat([*self.read, pd.DataFrame({"gram": pd.Series([], dtype=object), "c": pd.Series([], dtype=float)})])
+            lengths = all_["gram"].str.len()
+            for k in range(2, self.order + 1):
+                own = all_[lengths == k]
+                self.counts[k] = as_numbers(own["gram"].tolist(), k), own["c"].to_numpy(np.float64)
+            self.read = []
+        parts: list[list[bytes]] = [[] for _ in self.asked]
+        for k, (counted, count) in self.counts.items():
+            wanted = [q[k] for _, q in self.asked]
+            own, rest = shares(counted, count, np.concatenate(wanted), self.discounts[k])
+            ends = np.cumsum([len(w) for w in wanted])[:-1]
+            for part, a, b in zip(parts, np.split(own, ends), np.split(rest, ends), strict=True):
+                part += [a.tobytes(), b.tobytes()]
+        out = [(block, self.number, zstandard.compress(b"".join(part), 3)) for (block, _), part in zip(self.asked, parts, strict=True)]
+        self.asked, self.size = [], 0
+        return pd.DataFrame(out, columns=["block", "shard", "payload"])
 
 
 def _answered(order: int, discounts_: dict[int, tuple[float, float, float]]):
-    def run(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(asked):
-            blocks = [np.frombuffer(zstandard.decompress(p), np.uint32).reshape(order, -1).T for p in asked["payload"]]
-            # some blocks at a time, so that memory is bounded by a shard's counts
-            for part in chunks([len(b) for b in blocks], 2_000_000):
-                logs = shard_log_probabilities(model, np.concatenate(blocks[part]), discounts_, order).astype(np.float32)
-                ends = np.cumsum([len(b) for b in blocks[part]])
-                rows += [(block, shard, v.tobytes()) for block, shard, v in zip(asked["block"].iloc[part], asked["shard"].iloc[part], np.split(logs, ends[:-1]), strict=True)]
-        return pd.DataFrame(rows, columns=["block", "shard", "payload"])
+    """Rows in the order of shards, each shard's counts before its questions, to answers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = Shard(-1, order, discounts_)
+        for pdf in batches:
+            for number, own in pdf.groupby("shard"):
+                if number != here.number:
+                    if here.asked:
+                        yield here.answers()
+                    here = Shard(number, order, discounts_)
+                if len(counts := own.loc[own["block"] < 0, ["gram", "c"]]):
+                    here.read.append(counts)
+                some = own[own["block"] >= 0]
+                for block, payload in zip(some["block"].tolist(), some["payload"].tolist(), strict=True):
+                    here.ask(block, payload)
+                    if here.size >= ASKED:
+                        yield here.answers()
+        if here.asked:
+            yield here.answers()
 
     return run
 
 
-def _perplexities(order: int, shards: int):
+def _perplexities(order: int, shards: int, lowest: tuple[np.ndarray, np.ndarray, float]):
+    known, share, unseen = lowest
+
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame([], columns=["doc_id", "lang", "perplexity"])
         b = Block(pdf["payload"].tolist(), order, shards)
-        value = np.full(len(b.codes), np.nan)
-        for shard, payload in zip(answers["shard"], answers["payload"], strict=True):
-            value[b.shard == shard] = np.frombuffer(payload, np.float32)
-        out = np.full(len(b.rows), np.nan)
+        own, rest = ({k: np.zeros(len(b.of[k]), np.float32) for k in b.of} for _ in range(2))
+        for shard, payload in zip(answers["shard"].tolist(), answers["payload"].tolist(), strict=True):
+            told, at = np.frombuffer(zstandard.decompress(payload), np.float32), 0
+            for k in b.of:
+                here = np.flatnonzero(b.shard[k] == shard)
+                own[k][here], rest[k][here] = told[at : at + 2 * len(here)].reshape(2, -1)
+                at += 2 * len(here)
+        last = b.spelled[:, -1]
+        place = np.minimum(np.searchsorted(known, last), max(len(known) - 1, 0))
+        p = np.where(known[place] == last, share[place], unseen) if len(known) else np.full(len(last), unseen)
+        for k in b.of:
+            p = own[k][b.ending[k]] + rest[k][b.ending[k]] * p
+        value, out = np.log(p), np.full(len(b.rows), np.nan)
         for part in b.parts:
             g = Grams(b.texts(part), order, b.alphabet)
             codes, which = np.unique(g.codes, return_inverse=True)
@@ -222,34 +292,38 @@ def _perplexities(order: int, shards: int):
     return run
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """The three discounts of modified Kneser-Ney, from how many n-grams have count 1, 2, 3, 4."""
-    n1, n2, n3, n4 = (counts.agg(*(F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4))).first())[:4]
     if not n1 or not n2 or not n3:
         return 0.5, 1.0, 1.5
     y = n1 / (n1 + 2 * n2)
     return min(max(1 - 2 * y * n2 / n1, 0.0), 1.0), min(max(2 - 3 * y * n3 / n2, 0.0), 2.0), min(max(3 - 4 * y * n4 / n3, 0.0), 3.0)
 
 
-def model_rows(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, dict[int, tuple[float, float, float]]]:
-    """counts(gram, c) to (kind, key, value) of counts and of the two lowest orders, and the discounts of all orders.
+def model_rows(counts: DataFrame, order: int) -> tuple[DataFrame, int, dict[int, tuple[float, float, float]]]:
+    """counts(gram, c) of the highest order to (k, gram, c) of all orders, how many rows these are, and the discounts of each order.
 
     Below the highest order a count is of the different characters before an n-gram.
-    The lowest order is interpolated with a uniform choice of characters.
     """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         tables[k] = tables[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
-    of = {k: discounts(tables[k]) for k in tables}
-    less = lambda k: F.when(F.col("c") == 1, of[k][0]).when(F.col("c") == 2, of[k][1]).otherwise(of[k][2])
-    n, total, freed = tables[1].agg(F.count("*"), F.sum("c"), F.sum(less(1))).first()
-    uniform = (freed or 0.0) / (total or 1) / (n + 1)
-    one = tables[1].select(F.lit(ONE).alias("kind"), F.col("gram").alias("key"), ((F.col("c") - less(1)) / (total or 1) + uniform).alias("value"))
-    unseen = counts.sparkSession.createDataFrame([(ONE, "", float(uniform if n else 1.0))], "kind int, key string, value double")
-    first = tables[2].withColumn("a", F.substring("gram", 1, 1)).groupBy("a").agg(F.sum("c").alias("total"), F.sum(less(2)).alias("freed"))
-    two = tables[2].withColumn("a", F.substring("gram", 1, 1)).join(first, "a").select(F.lit(TWO).alias("kind"), F.col("gram").alias("key"), ((F.col("c") - less(2)) / F.col("total")).alias("value"))
-    back = first.select(F.lit(FREED).alias("kind"), F.col("a").alias("key"), (F.col("freed") / F.col("total")).alias("value"))
-    return counts.select(F.lit(COUNT).alias("kind"), F.col("gram").alias("key"), F.col("c").cast("double").alias("value")), one.unionByName(unseen).unionByName(two).unionByName(back), of
+    rows = [tables[k].select(F.lit(k).alias("k"), "gram", F.col("c").cast("double").alias("c")) for k in tables]
+    for more in rows[1:]:
+        rows[0] = rows[0].unionByName(more)
+    model = checkpointed(rows[0])
+    found = model.groupBy("k").agg(F.count("*"), *(F.count(F.when(F.col("c") == n, 1)) for n in (1, 2, 3, 4))).collect()  # a row for each order
+    of = {k: (0.5, 1.0, 1.5) for k in tables} | {r[0]: discounts(*r[2:]) for r in found}
+    return model, sum(r[1] for r in found), of
+
+
+def lowest_order(model: DataFrame, discount: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Characters in ascending order, their probabilities, and that of any other: interpolated with a uniform choice. As many rows as there are characters, which Unicode bounds by 1,114,112."""
+    own = model.where("k = 1").select(F.ascii("gram").alias("char"), "c").orderBy("char").toPandas()
+    char, c = own["char"].to_numpy(np.int64), own["c"].to_numpy(np.float64)
+    d = np.array(discount)[np.minimum(c, 3).astype(np.int64) - 1] if len(c) else c
+    unseen = float(d.sum() / (c.sum() or 1) / (len(c) + 1)) if len(c) else 1.0
+    return char, (c - d) / (c.sum() or 1) + unseen, unseen
 
 
 def quantiles(values: DataFrame, q: float) -> DataFrame:
@@ -266,16 +340,16 @@ def perplexities(rows: DataFrame, ids: DataFrame, order: int = ORDER, block_byte
         raise ValueError("order must be at least 3")
     few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
     trusted = rows.where("text <> ''").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    counts = checkpointed(trusted.select("text").mapInArrow(_counted(order), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
-    shards = -(-counts.count() // shard_grams) or 1
-    grams, low, of = model_rows(counts, order)
-    at = F.pmod(F.crc32(F.substring("key", order - 2, 2).cast("binary")), F.lit(shards)).cast("int")
-    every = low.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    model = grams.withColumn("shard", at).unionByName(every).select("shard", "kind", "key", "value")
+    counts = trusted.select("text").mapInArrow(_counted(order), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    model, n, of = model_rows(counts, order)
+    shards = -(-n // shard_grams) or 1
+    number = F.coalesce(*(F.when(F.col("k") == k, context_hash_of("gram", k)) for k in range(2, order + 1)))
+    counted = model.where("k > 1").select((number % F.lit(shards)).cast("int").alias("shard"), F.lit(-1).alias("block"), "gram", "c", F.lit(None).cast("binary").alias("payload"))
     dealt = packed(rows.select("doc_id", "text", "lang"), block_bytes).groupBy("block")
-    asked = dealt.applyInPandas(_asked(order, shards), "shard int, block int, payload binary")
-    answers = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_answered(order, of), "block int, shard int, payload binary")
-    return dealt.cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order, shards), "doc_id long, lang string, perplexity double")
+    asked = dealt.applyInPandas(_asked(order, shards), "shard int, block int, gram string, c double, payload binary")
+    met = counted.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "block")
+    answers = met.mapInPandas(_answered(order, of), "block int, shard int, payload binary")
+    return dealt.cogroup(answers.groupBy("block")).applyInPandas(_perplexities(order, shards, lowest_order(model, of[1])), "doc_id long, lang string, perplexity double")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, block_bytes: int = BLOCK) -> DataFrame:
