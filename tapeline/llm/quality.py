@@ -67,6 +67,14 @@ class Grams:
         return np.stack([self.chars[self.place[at] + k] for k in range(self.order)], 1)
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different codes in the order in which they come, where each comes first, and which of them each place has; by a hash table, as most of them come often."""
+    which, own = pd.factorize(codes)
+    at = np.zeros(len(own), np.int64)
+    at[which[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return own, at, which
+
+
 def letters(chars: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.bincount(chars))
 
@@ -97,15 +105,16 @@ class Block:
         found, spelled = [np.zeros(0, np.uint64)], [np.zeros((0, order), np.uint32)]
         for part in self.parts:
             g = Grams(self.texts(part), order, self.alphabet)
-            codes, at = np.unique(g.codes, return_index=True)
+            codes, at, _ = distinct(g.codes)
             found.append(codes)
             spelled.append(g.spelled(at))
-        self.codes, at = np.unique(np.concatenate(found), return_index=True)
-        self.spelled = np.concatenate(spelled)[at]
+        codes, at, _ = distinct(np.concatenate(found))
+        up = np.argsort(codes)  # so that the same texts in another order make the same questions
+        self.codes, self.spelled = codes[up], np.concatenate(spelled)[at[up]]
         self.of, self.shard, self.ending = {}, {}, {}
         number = self.spelled[:, -1].astype(np.int64)
         for k in range(2, order + 1):
-            _, at, number = distinct(number, self.spelled[:, order - k])
+            _, at, number = distinct(paired(number, self.spelled[:, order - k]))
             self.of[k], self.ending[k] = self.spelled[at, order - k :], number
             self.shard[k] = context_hash(self.of[k]) % shards
 
@@ -120,7 +129,8 @@ def _counted(order: int):
 
         def flushed() -> pa.RecordBatch:
             g = Grams(held, order)
-            _, at, n = np.unique(g.codes, return_index=True, return_counts=True)
+            _, at, which = distinct(g.codes)
+            n = np.bincount(which)
             return pa.RecordBatch.from_arrays([pa.array(as_text(g.spelled(at)), pa.string()), pa.array(n, pa.int64())], names=["gram", "c"])
 
         for batch in small_batches(batches):
@@ -136,16 +146,16 @@ def _counted(order: int):
     return run
 
 
-def distinct(number: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of a small number and a character: as one number each, where each comes first, and which of them each place has."""
-    return np.unique(number * np.int64(int(more.max(initial=0)) + 1) + more, return_index=True, return_inverse=True)
+def paired(number: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """One number for each pair of a small number and a character."""
+    return number * np.int64(int(more.max(initial=0)) + 1) + more
 
 
 def numbered(*columns: np.ndarray) -> np.ndarray:
     """One number for each different row of some columns of characters."""
     out = columns[0].astype(np.int64)
     for c in columns[1:]:
-        out = distinct(out, c)[2]
+        out = distinct(paired(out, c))[2]
     return out
 
 
@@ -192,7 +202,7 @@ def shares(counted: np.ndarray, count: np.ndarray, wanted: np.ndarray, discount:
     """Of one order: what is left of each wanted n-gram's own count, and what its context leaves to the next lower order, as shares of the context's total."""
     n, both = len(counted), np.concatenate([counted, wanted])
     context = numbered(*both.T[:-1])
-    gram = distinct(context, both[:, -1])[2]
+    gram = distinct(paired(context, both[:, -1]))[2]
     size = int(context.max(initial=-1)) + 1
     d = np.array(discount)[np.minimum(count, 3).astype(np.int64) - 1] if n else count
     total, freed = np.bincount(context[:n], count, size), np.bincount(context[:n], d, size)
@@ -283,7 +293,7 @@ def _perplexities(order: int, shards: int, lowest: tuple[np.ndarray, np.ndarray,
         value, out = np.log(p), np.full(len(b.rows), np.nan)
         for part in b.parts:
             g = Grams(b.texts(part), order, b.alphabet)
-            codes, which = np.unique(g.codes, return_inverse=True)
+            codes, _, which = distinct(g.codes)
             logs = value[np.searchsorted(b.codes, codes)][which]
             out[b.full[part]] = np.exp(-np.add.reduceat(logs, np.cumsum(g.sizes) - g.sizes) / g.sizes)
         ids, langs = pd.array([r[0] for r in b.rows], "Int64"), [r[2] for r in b.rows]
