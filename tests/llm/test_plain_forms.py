@@ -2,19 +2,21 @@
 
 import collections
 import functools
+import math
 import random
 import re
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tapeline.llm import decontaminate, packing, toxicity
+from tapeline.llm import decontaminate, packing, quality, toxicity
 from tapeline.llm.queries import oracle_sql, queries, toxicity_model
 from tests.conftest import rows
-from tests.llm.test_operators import PATH, nearest, plain_chunks
+from tests.llm.test_operators import PATH, nearest, plain_chunks, plain_kneser_ney
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -196,3 +198,60 @@ def test_pipeline_against_plain_forms(spark, corpus):
             assert offset == ends[-1]
             ends.append(offset + n)
         assert ends[-1] <= 1024
+
+
+def test_contexts_of_a_hot_pair_are_dealt_evenly(spark):
+    """Almost every context ends in the same two characters; its n-grams fill all shards alike, as Spark and numpy number them."""
+    rng = random.Random(21)
+    own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz漢\U0001f600") + rng.choice("abcdefghijklmnopqrstuvwxyz") + "th" + rng.choice("aeiou") for _ in range(150)) for _ in range(20)]
+    order, shards = 5, 8
+    grams = sorted({t[i : i + order] for t in own for i in range(len(t) - order + 1) if t[i + 2 : i + 4] == "th"})
+    got = spark.createDataFrame([(g,) for g in grams], "gram string").select("gram", quality.context_hash_of("gram", order).alias("h")).collect()
+    hashes = quality.context_hash(quality.as_numbers([r["gram"] for r in got], order))
+    assert hashes.tolist() == [r["h"] for r in got]
+    sizes = np.bincount(hashes % shards, minlength=shards)
+    assert len(grams) > 1000 and sizes.max() < 1.5 * np.median(sizes)
+
+
+def test_questions_in_small_parts_get_the_same_answers(spark, monkeypatch):
+    """Shards of few counts, and questions answered a few at a time, give what one shard and one answer give."""
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abc thé") for _ in range(rng.randrange(1, 80)))) for i in range(60)], "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    trusted = docs.where("doc_id < 40").select("doc_id")
+    whole = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, trusted, block_bytes=10**6).collect()}
+    monkeypatch.setattr(quality, "ASKED", 50)
+    parts = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, trusted, block_bytes=400, shard_grams=60).collect()}
+    assert parts == pytest.approx(whole, rel=1e-6)
+
+
+def test_quality_choice_equals_a_plain_form(spark):
+    """Held-out fifth by a hash of the id, quantile of its perplexities by language, and the fallbacks for languages without any."""
+    rng = random.Random(23)
+    docs = [(i, "".join(rng.choice("ab " if i % 7 else "abcdef") for _ in range(rng.randrange(5, 40))), ["en", "de", None][i % 3]) for i in range(90)]
+    spread = lambda i: int.from_bytes(xxhash.xxh64_digest(i.to_bytes(8, "little"), seed=42), "big", signed=True)
+    held = {i for i in range(60) if spread(i) % quality.HELD_OUT == 0}
+    rare = next(i for i in range(60) if i not in held)  # the only trusted one of its language, and trained on
+    docs[rare] = (rare, "ab ab", "fr")
+    docs += [(90, "ba ba", "fr"), (91, "zzzz", "xx"), (92, "", "en"), (93, None, "en")]
+    trusted = set(range(60))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    p = plain_kneser_ney([docs[i][1] for i in sorted(trusted - held)], 3)
+    score = {}
+    for i, t, _ in docs:
+        if t:
+            s = quality.START * 2 + t + quality.END
+            score[i] = math.exp(-sum(math.log(p(s[j : j + 3])) for j in range(len(s) - 2)) / (len(t) + 1))
+
+    def quantile(ids):
+        steps = sorted(math.ceil(math.log(score[i]) * quality.STEPS) for i in ids)
+        return math.exp(steps[math.ceil(0.9 * len(steps)) - 1] / quality.STEPS) if steps else None
+
+    got = {r["doc_id"]: r for r in quality.classify(d, d.where("doc_id < 60").select("doc_id"), order=3, quantile=0.9).collect()}
+    assert len(got) == len(docs)
+    for i, _, lang in docs:
+        own = [j for j in trusted if docs[j][2] == lang]
+        want = quantile([j for j in own if j in held]) or quantile(own) or quantile(trusted & held)
+        assert got[i]["lang"] == lang and got[i]["threshold"] == pytest.approx(want, rel=2e-3)
+        assert got[i]["perplexity"] == (pytest.approx(score[i], rel=1e-5) if i in score else None)
+        if i not in score or abs(math.log(score[i] / want)) > 2e-3:
+            assert got[i]["kept"] == (i in score and score[i] <= want)
