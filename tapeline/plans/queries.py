@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -398,11 +400,26 @@ CLASSES_SQL = "v_classes AS (SELECT frame_id % 3 AS video, frame_id // 3 + 1 AS
 
 def frames_of(spark, d):
     """Pixels as the bytes of frames of 60 x 40; a pixel that is not there is black."""
-    two = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
-    cells = F.map_from_entries(F.collect_list(F.struct((F.col("y") * 60 + F.col("x")).cast("int").alias("at"), F.concat(two("r"), two("g"), two("b")).alias("rgb"))))
-    made = V.pixels(spark, d).groupBy("frame_id").agg(cells.alias("m"))
-    rgb = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60 * 40 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("000000"))), ""))
-    return made.select((F.col("frame_id") % 3).cast("string").alias("video_id"), (F.floor(F.col("frame_id") / 3) + 1).cast("double").alias("t"), F.lit(60).alias("width"), F.lit(40).alias("height"), rgb.alias("rgb"))
+    x, y, r, g, b = (F.col(c).cast("long") for c in ("x", "y", *pixels.RGB))
+    cell = (y * 60 + x) * 2**24 + sum(F.coalesce(v, F.lit(0)) * 256**k for k, v in enumerate((b, g, r)))
+    made = V.pixels(spark, d).groupBy("frame_id").agg(F.collect_list(cell).alias("cells"))
+    return made.select((F.col("frame_id") % 3).cast("string").alias("video_id"), (F.floor(F.col("frame_id") / 3) + 1).cast("double").alias("t"), "cells").mapInArrow(drawn, FRAMES)
+
+
+FRAMES = "video_id string, t double, width int, height int, rgb binary"
+
+
+def drawn(batches: Iterator[pa.RecordBatch], width: int = 60, height: int = 40, at_once: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Frames(video_id, t, cells) as bytes; a cell is its place times 2^24 and its colour. Every cell is written once, whatever its frame holds."""
+    for batch in batches:
+        for own in (batch.slice(i, at_once) for i in range(0, batch.num_rows, at_once)):
+            cells = own.column("cells")
+            value, frame = cells.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(own.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
+            images = np.zeros((own.num_rows, width * height, 3), np.uint8)
+            for k, shift in enumerate((16, 8, 0)):
+                images[frame, value >> 24, k] = value >> shift & 255
+            size = [pa.array([n] * own.num_rows, pa.int32()) for n in (width, height)]
+            yield pa.RecordBatch.from_arrays([own.column("video_id"), own.column("t"), *size, pa.array([i.tobytes() for i in images], pa.binary())], names=["video_id", "t", "width", "height", "rgb"])
 
 
 def classes_of(spark, d):

@@ -1,7 +1,10 @@
+import re
+
+import numpy as np
 import pytest
 
 from tapeline.plans import frame_queries, stream_queries  # noqa: F401  add their queries
-from tapeline.plans.queries import FOUND, ORACLE
+from tapeline.plans.queries import FOUND, ORACLE, frames_of
 from tests.conftest import SF, rows
 
 
@@ -20,3 +23,18 @@ def test_plans(spark):
     assert "BroadcastNestedLoopJoin" not in plan("frames_in_games") and "CartesianProduct" not in plan("retime")
     assert "BroadcastHashJoin" in plan("templates")
     assert not any(loop in plan(n) for loop in ("NestedLoop", "Cartesian") for n in ("crop", "crop_by_frame"))
+
+
+def test_frames_are_drawn_without_lookups(spark, tmp_path):
+    """Each pixel is written to its place; a line without a part leaves its frame as it is."""
+    lines = [(o, p, s, n) for o in (1, 499, 500, 1700) for n in range(1, 40) for p, s in [(o * n * 7 % 997, n * 13 % 101)]] + [(499, None, 3, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for o, p, s, n in lines:
+        image = want.setdefault(o // 500, np.zeros((40, 60, 3), np.uint8))
+        if p is not None:
+            image[s % 40, p % 60] = np.maximum(image[s % 40, p % 60], [(o * 7 + n * 31) % 256, (p * 13 + n * 17) % 256, (s * 29 + n * 11) % 256])
+    made = frames_of(spark, str(tmp_path))
+    got = {(r["video_id"], r["t"]): bytes(r["rgb"]) for r in made.collect()}
+    assert got == {(str(f % 3), float(f // 3 + 1)): i.tobytes() for f, i in want.items()} and len(got) == 3
+    assert "map" not in re.sub("MapInArrow", "", made._jdf.queryExecution().analyzed().toString())
