@@ -12,7 +12,7 @@ from tapeline.plans import views as V
 from tapeline.plans.queries import CELLS, SLOTS_SQL, frames_of, order_games, query
 from tapeline.plans.views import sql
 from tapeline.sources import history
-from tapeline.sources.shared import shared_folder
+from tapeline.sources.shared import checkpointed, shared_folder
 from tapeline.streaming import stateful, streams
 
 #: How often rows arrive.
@@ -116,4 +116,5 @@ def stream_last_logs(spark, d):
   GROUP BY frame_id, y) WHERE w AND ((coalesce(o, false) AND coalesce(b, false)) OR coalesce(r, false))) GROUP BY frame_id, i) WHERE y + n - 1 < 39 AND n BETWEEN 1 AND 9""", "v_pixels"))
 def stream_kill_lines(spark, d):
     palette = [("white", (255, 255, 255)), ("orange", (255, 215, 0)), ("blue", (0, 0, 255)), ("red", (255, 0, 0))]
-    return replayed(spark, arrivals(frames_of(spark, d), F.col("t")), lambda f: streams.stream_kill_lines(f, palette, (60, 40), 80, 5, 4))
+    frames = checkpointed(frames_of(spark, d))  # drawn once, not again for each part
+    return replayed(spark, arrivals(frames, F.col("t")), lambda f: streams.stream_kill_lines(f, palette, (60, 40), 80, 5, 4))
