@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -137,8 +138,19 @@ def redact_inline_images(json: Column, token: str = "...") -> Column:
     return F.regexp_replace(json, r'([:\[,]\s*)"data:image/(?:[^"\\]|\\.)*"(?!\s*:)', f'$1"{token}"')
 
 
+#: Shares of red, green and blue in the luminance, in thousandths.
+LUMINANCE = (299, 587, 114)
+
+
+def thousandths(x: float) -> Decimal:
+    """A decimal number times 1000, exactly as it is written."""
+    return Decimal(str(x)) * 1000
+
+
 def luminance_bw(r: Column, g: Column, b: Column, threshold: float) -> Column:
-    return F.when(0.299 * r + 0.587 * g + 0.114 * b > threshold, 255).otherwise(0)
+    """255 where the luminance is above the threshold, in whole thousandths, as sums of fractions may lie above a threshold that they equal."""
+    total = sum(c * w for c, w in zip((r, g, b), LUMINANCE, strict=True))
+    return F.when(total > F.lit(thousandths(threshold)), 255).otherwise(0)
 
 
 def expand_box(box: Column, margins: Column) -> Column:

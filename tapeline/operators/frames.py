@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.functions.scalars import LUMINANCE, thousandths
 from tapeline.operators.pixels import ACROSS, BOTTOM
 
 Rgb = tuple[int, int, int]
@@ -85,8 +87,9 @@ def mean_of(image: np.ndarray) -> dict[str, int]:
 
 
 def luminance_over(image: np.ndarray, threshold: float) -> np.ndarray:
-    r, g, b = (image[..., k].astype(np.float64) for k in range(3))
-    return 0.299 * r + 0.587 * g + 0.114 * b > threshold
+    """Which pixels' luminance is above the threshold, in whole thousandths: one that equals it is not."""
+    r, g, b = (image[..., k].astype(np.int32) * w for k, w in enumerate(LUMINANCE))
+    return r + g + b > math.floor(thousandths(threshold))
 
 
 def bright_box(image: np.ndarray, spec: Bright) -> dict[str, int]:

@@ -149,3 +149,18 @@ def test_many_regions_at_full_size(spark):
     X, Y = (np.arange(150_000) * k % m for k, m in ((7, 1800), (11, 1000)))
     want = sum(int(((X <= i * 13 % 1920) & (i * 13 % 1920 < X + 8) & (Y <= i * 17 % 1080) & (i * 17 % 1080 < Y + 8)).sum()) for i in range(2000))
     assert held.count() == want > 1000
+
+
+def test_luminance_at_the_threshold_is_black(spark):
+    """Colours whose luminance is 127.3 exactly, of which sums of fractions put some above it, and the next brighter ones."""
+    at = [(r, g, (127300 - 299 * r - 587 * g) // 114) for r in range(256) for g in range(256) if (127300 - 299 * r - 587 * g) % 114 == 0 and 0 <= 127300 - 299 * r - 587 * g < 114 * 255]
+    assert any(0.299 * r + 0.587 * g + 0.114 * b > 127.3 for r, g, b in at)
+    colors = at + [(r, g, b + 1) for r, g, b in at]
+    want = [0] * len(at) + [255] * len(at)
+    image = np.array([colors], np.uint8)
+    assert (frames.luminance_over(image, 127.3) * 255).ravel().tolist() == want
+    made = spark.createDataFrame([("v", 0.0, len(colors), 1, bytearray(image.tobytes()))], SCHEMA)
+    assert list(frames.black_and_white_frames(made, 127.3).first()["bw"]) == want
+    assert frames.frame_features(made, frames.Spec(threshold=127.3)).first()["n_white"] == len(at)
+    rows = pixels.black_and_white(frames.frame_pixels(made), 127.3).orderBy("x").collect()
+    assert [r["v"] for r in rows] == want
