@@ -45,12 +45,14 @@ def segment_games(classes: DataFrame, lead_in: float = 2) -> DataFrame:
 def game_attributes(games: DataFrame, readings: DataFrame, fields: list[str], width: float = 600.0) -> DataFrame:
     """Games with, for each field, the usable reading nearest to their end; a reading is usable if it is not null or empty.
 
-    readings(video_id, t, field, text). A game is open from its start, or from 0, to its end.
+    readings(video_id, t, field, text). Of readings at one time the largest text counts, or the
+    first one where readings have their order, seq. A game is open from its start, or from 0, to its end.
     """
+    near = F.struct("t", -F.col("seq") if "seq" in readings.columns else F.col("text"))
     open_ = games.select("video_id", "game_no", F.coalesce("start_s", F.lit(0)).alias("_s"), F.col("end_s").alias("_e"))
     usable = readings.where("coalesce(text, '') <> ''")
     held = interval_join(usable, open_, "video_id", "t", "_s", "_e", width)
-    best = held.groupBy("video_id", "game_no").agg(*(F.max_by(F.when(F.col("field") == f, F.col("text")), F.when(F.col("field") == f, F.struct("t", "text"))).alias(f) for f in fields))
+    best = held.groupBy("video_id", "game_no").agg(*(F.max_by(F.when(F.col("field") == f, F.col("text")), F.when(F.col("field") == f, near)).alias(f) for f in fields))
     return games.join(best, ["video_id", "game_no"], "left")
 
 

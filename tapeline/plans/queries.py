@@ -49,7 +49,7 @@ def segment_games(spark, d):
   ON g.video_id = r.video_id AND r.t >= coalesce(g.start_s, 0) AND r.t < g.end_s GROUP BY g.video_id, g.game_no""", "v_games"))
 def game_attributes(spark, d):
     text = C.team_name_clean(F.concat(F.lit("n"), F.col("event_id").cast("string")), F.lit(""))
-    readings = V.table(spark, d, "events").select(F.col("user_id").alias("video_id"), V.seconds().alias("t"), F.col("event_type").alias("field"), text.alias("text"))
+    readings = V.table(spark, d, "events").select(F.col("user_id").alias("video_id"), V.seconds().alias("t"), F.col("event_type").alias("field"), text.alias("text"), F.col("event_id").alias("seq"))
     return segments.game_attributes(games_of(spark, d), readings, ["click", "view"], width=86400.0).select("video_id", "game_no", "click", "view")
 
 

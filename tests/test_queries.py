@@ -1,5 +1,7 @@
+import datetime as dt
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -38,3 +40,15 @@ def test_frames_are_drawn_without_lookups(spark, tmp_path):
     got = {(r["video_id"], r["t"]): bytes(r["rgb"]) for r in made.collect()}
     assert got == {(str(f % 3), float(f // 3 + 1)): i.tobytes() for f, i in want.items()} and len(got) == 3
     assert "map" not in re.sub("MapInArrow", "", made._jdf.queryExecution().analyzed().toString())
+
+
+def test_attributes_at_one_time_are_those_of_the_first_reading(spark, tmp_path):
+    """Readings of one second: SQL takes the first of the table, here "n9" before "n10" and "n11"."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    events = [(1, at(5), 7, "error"), (2, at(40), 7, "purchase"), (9, at(30), 7, "click"), (10, at(30), 7, "click"), (11, at(30), 7, "view"), (95, at(30), 7, "click"), (96, at(30), 7, "view"), (8, at(20), 7, "view"), (99, at(20), 7, "view")]
+    made = spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string").orderBy("event_id").coalesce(1)
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = FOUND["game_attributes"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(ORACLE["game_attributes"]).df()) and got[["click", "view"]].values.tolist() == [["N9", "N11"]]
