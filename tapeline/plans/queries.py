@@ -153,11 +153,12 @@ def order_games(spark, d):
     """Orders as page nodes: two teams, players in the order of the lines."""
     line = V.table(spark, d, "lineitem")
     sort = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    player = F.struct(F.col("l_partkey").cast("string").alias("niceName"), F.when(F.col("l_linenumber") % 2 == 0, "A").otherwise("B").alias("team"), F.col("l_quantity").cast("int").alias("kills"), F.col("l_linenumber").alias("deaths"), F.col("l_suppkey").cast("int").alias("assists"), F.lit(0).alias("score"), F.col("l_extendedprice").alias("inflictedDamage"), F.col("l_tax").alias("bulletsFiredAccuracy"))
-    players = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*sort, player.alias("data")))), lambda x: F.struct(x["data"].alias("data"))).alias("players"))
+    player = lambda x: F.struct(F.struct(x["l_partkey"].cast("string").alias("niceName"), F.when(x["l_linenumber"] % 2 == 0, "A").otherwise("B").alias("team"), x["l_quantity"].cast("int").alias("kills"), x["l_linenumber"].alias("deaths"), x["l_suppkey"].cast("int").alias("assists"), F.lit(0).alias("score"), x["l_extendedprice"].alias("inflictedDamage"), x["l_tax"].alias("bulletsFiredAccuracy")).alias("data"))
+    # lines are dealt out as they are, and become players where they have arrived
+    lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(*sort, "l_tax")).alias("lines"))
     o = V.table(spark, d, "orders")
     team = lambda n, s: F.struct(F.lit(n).alias("name"), s.cast("int").alias("score"))
-    node = o.join(players, "o_orderkey", "left").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.struct(F.col("o_orderstatus").alias("identifier")).alias("mode"), F.struct(F.col("o_orderpriority").alias("name")).alias("map"), F.struct((F.col("o_orderkey") % 900).cast("int").alias("duration"), team("A", F.col("o_orderkey") % 10), team("B", F.col("o_custkey") % 7)).alias("data"), "players")
+    node = o.join(lines, "o_orderkey", "left").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.struct(F.col("o_orderstatus").alias("identifier")).alias("mode"), F.struct(F.col("o_orderpriority").alias("name")).alias("map"), F.struct((F.col("o_orderkey") % 900).cast("int").alias("duration"), team("A", F.col("o_orderkey") % 10), team("B", F.col("o_custkey") % 7)).alias("data"), F.transform(F.array_sort("lines"), player).alias("players"))
     return node.withColumn("data", F.struct(F.col("data.duration").alias("duration"), F.col("data.col2").alias("teamOne"), F.col("data.col3").alias("teamTwo"))).withColumnRenamed("o_orderkey", "pos")
 
 
@@ -183,7 +184,7 @@ def history_pages(spark, d):
     pages = games.groupBy("season", "page").agg(F.collect_list(node).alias("nodes"))
     full = pages.select(F.to_json(F.struct("season", "page", F.struct(F.struct("nodes").alias("gameHistories")).alias("data"))).alias("value"))
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    full.unionByName(pages.select(F.to_json(F.struct("season", "page", F.struct(F.lit(1).alias("other")).alias("data"))).alias("value"))).write.text(folder)
+    full.unionByName(pages.select(F.to_json(F.struct("season", "page", F.struct(F.lit(1).alias("other")).alias("data"))).alias("value"))).write.text(folder, compression="gzip")
     flat = history.n_players(history.game_teams(history.read_history(spark, folder)))
     return flat.join(pages.select("season", "page"), ["season", "page"], "left_semi").select(F.col("season").cast("int").alias("season"), F.col("page").cast("int").alias("page"), "mode", "map", "duration", "orange_score", "blue_score", "n_players")
 

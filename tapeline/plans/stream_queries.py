@@ -72,7 +72,7 @@ def stream_history(spark, d):
             part = part.unionByName(parts[i - 1].where("page % 3 = 0"))
         if i == PARTS - 1:
             part = part.unionByName(pages.where(F.col("page") == end).withColumn("page", F.col("page") + 1))
-        part.select(text).write.mode("append").text(f"{folder}/in")
+        part.select(text).write.mode("append").text(f"{folder}/in", compression="gzip")
         streams.stream_history(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", 1, n_pages=2**31, first_page=0).awaitTermination()
     sides = (c for s in ("orange", "blue") for c in (F.size(s).alias(f"n_{s}"), F.get(s, F.lit(0))["name"].alias(f"first_{s}")))
     flat = history.game_teams(history.history_nodes(spark.createDataFrame([], history.PAGES)))

@@ -1,12 +1,18 @@
 import datetime as dt
 import json
+import sys
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.operators import segments
 from tapeline.plans import stream_queries
+from tapeline.plans.queries import FOUND
+from tapeline.sources.shared import shared_folder
 from tapeline.streaming import stateful, streams
+from tests.conftest import SF
 
 
 def replay(spark, rows, schema, make, tmp_path, mode="append", parts=3):
@@ -201,3 +207,15 @@ def test_kill_lines(spark):
     df = spark.createDataFrame([("v", 1.0, 40, 60, image.tobytes())], "video_id string, t double, width int, height int, rgb binary")
     palette = [("white", (255, 255, 255)), ("orange", (255, 128, 0)), ("blue", (0, 0, 255)), ("red", (255, 0, 0))]
     assert [(r["y"], r["height"]) for r in streams.stream_kill_lines(df, palette, (20, 60)).collect()] == [(10, 10)]
+
+
+def test_pages_are_written_compressed_and_taken_without_a_join(spark, monkeypatch):
+    """What the history queries write for their readers is compressed; the pages of a batch are cut by number."""
+    joins = []
+    monkeypatch.setattr(DataFrame, "join", lambda self, *a, real=DataFrame.join, **k: joins.append(sys._getframe(1).f_code.co_name) or real(self, *a, **k))
+    before = set(Path(shared_folder(spark)).glob("*"))
+    for name in ("history_pages", "stream_history"):
+        assert FOUND[name](spark, SF).count() > 0
+    new = [p for folder in set(Path(shared_folder(spark)).glob("*")) - before for p in [*folder.glob("part-*"), *folder.glob("in/part-*")]]
+    assert len(new) > 3 and all(p.name.endswith(".txt.gz") for p in new)
+    assert "order_games" in joins and "take" not in joins
