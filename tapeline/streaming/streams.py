@@ -36,11 +36,14 @@ def stream_history(spark: SparkSession, path: str, out: str, checkpoint: str, se
         n, over = before.agg(F.count("*"), F.coalesce(F.bool_or("last"), F.lit(False))).first()
         left = 0 if over else n_pages - n
         end = kept.agg(F.min(F.when(F.col("last"), F.col("page")))).first()[0]
-        new = kept.select("season", "page", F.coalesce("last", F.lit(False)).alias("last")).where(F.lit(end is None) | (F.col("page") <= F.lit(end)))
-        if left < new.count():
-            new = new.orderBy("page").limit(max(0, left))  # n_pages rows at most
-        game_teams(history_nodes(kept.join(new, ["season", "page"], "left_semi"))).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        new.write.mode("overwrite").parquet(f"{out}/_pages/batch={number}")
+        new = kept if end is None else kept.where(F.col("page") <= end)
+        if left <= 0:
+            new = new.where(F.lit(False))
+        elif left < new.count():
+            # pages of one season, each once, so that a number parts them and nothing is joined; n_pages rows at most
+            new = new.where(F.col("page") <= new.select("page").orderBy("page").limit(left).agg(F.max("page")).first()[0])
+        game_teams(history_nodes(new)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new.select("season", "page", F.coalesce("last", F.lit(False)).alias("last")).write.mode("overwrite").parquet(f"{out}/_pages/batch={number}")
         kept.unpersist()
 
     return once.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
