@@ -64,7 +64,7 @@ def history_is_done(spark: SparkSession, out: str, n_pages: int) -> bool:
     return n >= n_pages or last
 
 
-def stream_segments(classes: DataFrame, delay: str = "1 minute", idle_ms: int = 60_000, lead_in: float = 2) -> DataFrame:
+def stream_segments(classes: DataFrame, delay: str = "1 minute", idle_ms: int = 60_000, lead_in: float = 2, buckets: int = 1024) -> DataFrame:
     """(video_id, mode, start_s, end_s): games as they close. classes(video_id, ts, t, cls, mode).
 
     Markers wait, in order of time, until the watermark passes them. A start marker
@@ -73,40 +73,60 @@ def stream_segments(classes: DataFrame, delay: str = "1 minute", idle_ms: int =
     Spark, which counts them in the query's progress (numRowsDroppedByWatermark). A
     video without markers for ``idle_ms`` of event time closes. Markers at t <= 0
     and other classes don't count; a null mode counts as 0.
+
+    State is by ``buckets`` of videos, as a call for each video costs far more than its few
+    markers; a checkpoint keeps to the number of buckets that it began with.
     """
     mode = F.when(F.col("cls") == "score", F.coalesce("mode", F.lit(0))).otherwise(1).cast("int")
-    marked = classes.where(F.col("cls").isin(*END, *START) & (F.col("t") > 0)).withWatermark("ts", delay).select("video_id", "ts", F.col("t").cast("double").alias("t"), "cls", mode.alias("mode"))
+    marked = classes.where(F.col("cls").isin(*END, *START) & (F.col("t") > 0)).withWatermark("ts", delay)
+    marked = marked.select(F.pmod(F.xxhash64("video_id"), F.lit(buckets)).alias("bucket"), F.col("video_id").cast("string").alias("video_id"), "ts", F.col("t").cast("double").alias("t"), "cls", mode.alias("mode"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, kind, *held = state.get if state.exists else (None, None, None, [], [], [], [])
-        waiting = list(zip(*held, strict=True))
+        *videos, of, times, ts, classes, modes = state.get if state.exists else [[] for _ in range(10)]
+        held = {v: own for v, *own in zip(*videos, strict=True)}  # start, end, its mode, when it closes
+        waiting = list(zip(of, times, ts, classes, modes, strict=True))
+        now, new = state.getCurrentWatermarkMs(), set()
         for pdf in [] if state.hasTimedOut else batches:
             at = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            waiting += zip(at.tolist(), pdf["t"].tolist(), pdf["cls"].tolist(), pdf["mode"].tolist(), strict=True)
+            waiting += zip(pdf["video_id"].tolist(), at.tolist(), pdf["t"].tolist(), pdf["cls"].tolist(), pdf["mode"].tolist(), strict=True)
+            new.update(pdf["video_id"])
+        for v in new:
+            held.setdefault(v, [None, None, None, 0])
+        idle = {v for v, own in held.items() if v not in new and own[3] < now}
         # at one time a start comes before an end, and "end" comes last: the reverse of the backward order
-        waiting.sort(key=lambda r: (r[0], r[1], r[2] in END, r[2] == "end"))
-        limit = float("inf") if state.hasTimedOut else state.getCurrentWatermarkMs()
-        out = []
-        for _, t, cls, mode in (r for r in waiting if r[0] < limit):
-            if cls in END:
-                end, kind = t, mode
-                continue
-            if end is not None:
-                out.append((key[0], kind, None if start is None else start + lead_in, end))
-            start, end = t, None
-        if state.hasTimedOut:
+        waiting.sort(key=lambda r: (r[1], r[2], r[3] in END, r[3] == "end"))
+        out, left = [], []
+
+        def close(v: str | None) -> None:
+            start, end, kind, _ = held[v]
             if end is not None:
-                out.append((key[0], kind, None if start is None else start + lead_in, end))
-            state.remove()
+                out.append((v, kind, None if start is None else start + lead_in, end))
+
+        for r in waiting:
+            v, at, t, cls, mode = r
+            if at >= now and v not in idle:
+                left.append(r)
+            elif cls in END:
+                held[v][1:3] = t, mode
+            else:
+                close(v)
+                held[v][:2] = t, None
+        for v in idle:
+            close(v)
+            del held[v]
+        latest = {r[0]: r[1] for r in left}  # in order of time
+        for v in new:
+            held[v][3] = max(now, latest.get(v, now)) + idle_ms
+        if held:
+            state.update((list(held), *([own[i] for own in held.values()] for i in range(4)), *([r[i] for r in left] for i in range(5))))
+            state.setTimeoutTimestamp(min(own[3] for own in held.values()))
         else:
-            waiting = [r for r in waiting if r[0] >= limit]
-            state.update((start, end, kind, *([r[i] for r in waiting] for i in range(4))))
-            state.setTimeoutTimestamp(max([state.getCurrentWatermarkMs(), *(r[0] for r in waiting)]) + idle_ms)
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["video_id", "mode", "start_s", "end_s"])
 
-    states = "start double, end double, kind int, times array<long>, ts array<double>, classes array<string>, modes array<int>"
-    return marked.groupBy("video_id").applyInPandasWithState(run, "video_id string, mode int, start_s double, end_s double", states, "append", GroupStateTimeout.EventTimeTimeout)
+    states = "videos array<string>, starts array<double>, ends array<double>, kinds array<int>, closes array<long>, waiting array<string>, times array<long>, ts array<double>, classes array<string>, modes array<int>"
+    return marked.groupBy("bucket").applyInPandasWithState(run, "video_id string, mode int, start_s double, end_s double", states, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_monotone_progress(values: DataFrame) -> DataFrame:

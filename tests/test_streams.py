@@ -219,3 +219,22 @@ def test_pages_are_written_compressed_and_taken_without_a_join(spark, monkeypatc
     new = [p for folder in set(Path(shared_folder(spark)).glob("*")) - before for p in [*folder.glob("part-*"), *folder.glob("in/part-*")]]
     assert len(new) > 3 and all(p.name.endswith(".txt.gz") for p in new)
     assert "order_games" in joins and "take" not in joins
+
+
+def test_many_videos_share_a_state_row(spark, tmp_path):
+    """Markers of 90 videos out of order, in 4 rows of state at most, give the games of the batch form."""
+    rng = np.random.default_rng(5)
+    own = marks(*((f"v{rng.integers(90)}", int(t), str(rng.choice(["loading", "intro", "score", "end", "playing"]))) for t in rng.permutation(np.arange(1, 900))))
+    (tmp_path / "in").mkdir()
+    made = streams.stream_segments(spark.readStream.schema(MARKS).parquet(str(tmp_path / "in")), "1 hour", 100_000_000, buckets=4)
+    q = made.writeStream.format("memory").queryName("shared").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for batch in (own[:300], own[300:600], own[600:], marks(("z", 999_999, "loading"))):
+            spark.createDataFrame(batch, MARKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q.processAllAvailable()
+        states = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    finally:
+        q.stop()
+    columns = ("video_id", "mode", "start_s", "end_s")
+    got, want = (sorted((tuple(r[c] for c in columns) for r in rows), key=str) for rows in (spark.table("shared").collect(), segments.segment_games(spark.createDataFrame(own, MARKS)).collect()))
+    assert got == want and len(got) > 90 and 0 < max(states) <= 4
