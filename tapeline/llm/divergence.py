@@ -1,11 +1,13 @@
 """How far the sources of a language differ: exact sparse term vectors, their sums by source, and all pairs of sums.
 
-Every document's terms become a sparse vector by CountVectorizer, whose vocabulary
-has the terms of each language that enough of its documents hold. A vocabulary goes
-through the driver and to every task, so terms are dealt into shards by their
-hash, as many as the estimated number of different terms asks for; a document
-has a vector in each shard. Vectors are summed by source without being made dense,
-and a pair of sums is evaluated from the terms that either has.
+Documents of a source meet in tasks, which write them as few rows without repeats: a
+row has a weight, and a term's weights add up to its occurrences. Such rows become
+sparse vectors by CountVectorizer, whose vocabulary has the terms of each language
+that enough of its documents hold. A vocabulary goes through the driver and to every
+task, so terms are dealt into shards by their hash, as many as the estimated number
+of different terms asks for; a row has a vector in each shard. Vectors are summed
+by source without being made dense, and a pair of sums is evaluated from the terms
+that either has.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ from tapeline.sources.shared import shared_folder, small
 #: Documents of a language that a term must stand in, and CountVectorizer's largest vocabulary.
 MIN_DOCS, MOST_TERMS = 3, 2**31 - 1
 #: Different terms, rare ones included, that a shard is meant to have; its vocabulary has fewer, and the driver holds it for a while.
-SHARD_TERMS = 650_000
+SHARD_TERMS = 500_000
+#: Parts of the terms by hash; a shard is some of them.
+BUCKETS = 64
+#: Terms of a row at most, and terms by source that a task counts before it writes them.
+ROW_TERMS, TASK_TERMS = 1_000, 1_000_000
 #: Probabilities are whole numbers of this part of one.
 UNIT = 1_000_000_000
 #: Letters, in lower case, and bytes of characters beyond ASCII stay; all else parts terms.
@@ -36,56 +42,102 @@ TABLE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x
 NO_TERM = "\x00 \x00"
 
 
-def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], pa.Array, np.ndarray, np.ndarray]]:
-    """(language, sources by row, different terms, rows and numbers of terms as they come) of bounded batches."""
-    for batch in small_batches(batches):
-        langs = pc.fill_null(batch.column("lang"), "")
-        for lang in pc.unique(langs).to_pylist():
-            own = batch.filter(pc.equal(langs, lang))
-            split = [(t or b"").translate(TABLE).split() for t in own.column("text").cast(pa.binary()).to_pylist()]
-            encoded = pa.array([t for words in split for t in words], pa.binary()).dictionary_encode()
-            rows = np.repeat(np.arange(len(split)), [len(words) for words in split])
-            yield lang, pc.fill_null(own.column("source"), "").to_pylist(), encoded.dictionary, rows, encoded.indices.to_numpy(zero_copy_only=False)
-
-
-def n_shards(docs: DataFrame, shard_terms: int) -> int:
-    """How many shards the different terms of all documents make, from their estimated number."""
+def numbered(table: pa.Table) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """A number for each row's language and source; the languages and the sources by number."""
+    lang, source = (table[c].combine_chunks().cast(pa.string()).dictionary_encode() for c in ("lang", "source"))
+    both, group = np.unique(lang.indices.to_numpy() * np.int64(len(source.dictionary)) + source.indices.to_numpy(), return_inverse=True)
+    size = max(1, len(source.dictionary))
+    return group, lang.dictionary.take(pa.array(both // size)), source.dictionary.take(pa.array(both % size))
+
+
+def counted(batch: pa.RecordBatch) -> pa.Table:
+    """(lang, source, term, n, d): how often each term occurs in a batch's documents of a source, and in how many of them."""
+    group, langs, sources = numbered(pa.Table.from_batches([batch]))
+    split = pc.ascii_split_whitespace(pa.array([(t or b"").translate(TABLE) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.string()))
+    encoded = split.flatten().dictionary_encode()
+    terms, number, rows = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(split).to_numpy()
+    empty = terms.index("").as_py()
+    rows, number = rows[number != empty], number[number != empty]
+    size = max(1, len(terms))
+    found, n = np.unique(group[rows] * size + number, return_counts=True)
+    held = np.sort(rows * size + number)
+    held = held[np.r_[True, held[1:] != held[:-1]][: len(held)]]
+    d = np.unique(group[held // size] * size + held % size, return_counts=True)[1]
+    own = pa.array(found // size)
+    return pa.table([langs.take(own), sources.take(own), terms.take(pa.array(found % size)), pa.array(n), pa.array(d)], names=["lang", "source", "term", "n", "d"])
+
+
+def weighted(counts: pa.Table, min_docs: int) -> pa.RecordBatch:
+    """(bucket, first, lang, source, weight, terms): rows that stand for the documents counted, by a hash of terms; a term is its language, a blank and itself.
+
+    A term is in a row once at most, and the weights of its rows add up to its occurrences. It
+    is in as many rows as documents hold it, or in ``min_docs`` or more if as many documents
+    do, so that rows tell as well as documents whether enough of these hold a term.
+    Rows with ``first`` have all terms, the others those again that several documents hold.
+    """
+    terms = counts["term"].combine_chunks().dictionary_encode()
+    bucket = np.array([xxhash.xxh64_intdigest(t) % BUCKETS for t in terms.dictionary.cast(pa.binary()).to_pylist()], np.int64)[terms.indices.to_numpy()]
+    n, d = counts["n"].to_numpy(), counts["d"].to_numpy()
+    alone = np.minimum(d, min_docs) - 1
+    rest, enough = n - alone, d >= min_docs
+    # (terms, number of the row, weight): rows of weight 1, then one with the rest, or one for each of its powers of two
+    found = [(np.flatnonzero(alone >= k), k, 1) for k in range(1, min_docs)]
+    found += [(np.flatnonzero(enough & (rest >> bit & 1 == 1)), 0, 1 << bit) for bit in range(int(rest.max()).bit_length())]
+    few = np.flatnonzero(~enough)
+    few = few[np.argsort(rest[few], kind="stable")]
+    own = np.concatenate([few, *(x[0] for x in found)])
+    number = np.concatenate([np.zeros(len(few), np.int64), *(np.full(len(x), k) for x, k, _ in found)])
+    weight = np.concatenate([rest[few], *(np.full(len(x), w) for x, _, w in found)])
+    group, langs, sources = numbered(counts)
+    place = (bucket * len(langs) + group)[own]
+    order = np.argsort(place.astype(np.min_scalar_type(int(place.max()))), kind="stable")
+    own, number, weight, place = own[order], number[order], weight[order], place[order]
+    new = np.r_[True, (np.diff(place) != 0) | (np.diff(number) != 0) | (np.diff(weight) != 0)]
+    place = np.arange(len(own)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.flatnonzero(place % ROW_TERMS == 0)
+    named = pc.binary_join_element_wise(counts["lang"], counts["term"], " ").combine_chunks()
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(own)], pa.int32()), named.take(pa.array(own)))
+    head = pa.array(group[own[first]])
+    held = [pa.array(bucket[own[first]], pa.int32()), pa.array(number[first] == 0), langs.take(head), sources.take(head), pa.array(weight[first], pa.int64()), lists]
+    return pa.RecordBatch.from_arrays(held, names=["bucket", "first", "lang", "source", "weight", "terms"])
+
+
+def condensed(docs: DataFrame, min_docs: int, task_terms: int = TASK_TERMS) -> DataFrame:
+    """(bucket, first, lang, source, weight, terms): see weighted(); documents (lang, source, text) of a source are brought together, and a large source has several tasks."""
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        every = pa.concat_tables(parts).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("d", "sum")])
+        return every.rename_columns(["lang", "source", "term", "n", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4000):
-            texts = batch.column("text").cast(pa.binary()).drop_null().to_pylist()
-            different = set(b" ".join(texts).translate(TABLE).split())
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in different], pa.int64())], names=["h"])
+        parts: list[pa.Table] = []
+        for batch in small_batches(batches, 500):
+            parts.append(counted(batch))
+            if sum(len(x) for x in parts) > task_terms:
+                parts = [merged(parts)]
+                if len(parts[0]) > task_terms // 2:
+                    yield weighted(parts[0], min_docs)
+                    parts = []
+        if sum(len(x) for x in parts):
+            yield weighted(merged(parts), min_docs)
 
-    n = docs.select("text").mapInArrow(run, "h long").agg(F.approx_count_distinct("h")).first()[0]
-    return max(1, -(-n // shard_terms))
+    filled = [F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]
+    dealt = docs.select(*filled, "text", F.monotonically_increasing_id().alias("row")).repartitionByRange("lang", "source", "row").drop("row")
+    return dealt.mapInArrow(run, "bucket int, first boolean, lang string, source string, weight long, terms array<string>")
 
 
-def document_terms(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, source, terms): what each document has of each shard, repeats included; a term is its language, a blank and itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, sources, terms, rows, number in by_language(batches):
-            if not len(rows):
-                continue
-            shard = np.array([xxhash.xxh64_intdigest(t) % shards for t in terms.to_pylist()], np.int64)[number]
-            order = np.argsort(rows * shards + shard, kind="stable")
-            rows, shard, number = rows[order], shard[order], number[order]
-            first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (shard[1:] != shard[:-1])])
-            named = pc.binary_join_element_wise(pa.scalar(lang), terms.cast(pa.string()), " ")
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)], pa.int32()), named.take(pa.array(number)))
-            held = [pa.array(shard[first], pa.int32()), pa.array([lang] * len(first), pa.string()), pa.array([sources[r] for r in rows[first]], pa.string()), lists]
-            yield pa.RecordBatch.from_arrays(held, names=["shard", "lang", "source", "terms"])
-
-    return docs.mapInArrow(run, "shard int, lang string, source string, terms array<string>")
+def n_shards(rows: DataFrame, shard_terms: int) -> int:
+    """How many shards the different terms of all rows make, from their estimated number."""
+    n = rows.where("first").select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
+    return min(BUCKETS, max(1, -(-n // shard_terms)))
 
 
 def vectors(terms: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, v struct<indices, values>) for each row of terms, and the vocabulary (idx, lang, term)."""
+    """(lang, source, weight, v struct<indices, values>) for each row of terms, and the vocabulary (idx, lang, term)."""
     spark = terms.sparkSession
     none = spark.range(min_docs).select(F.array(F.lit(NO_TERM)).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=MOST_TERMS).fit(terms.select("terms").unionByName(none))
-    found = model.transform(terms).select("lang", "source", F.unwrap_udt("v").alias("v"))
+    found = model.transform(terms).select("lang", "source", "weight", F.unwrap_udt("v").alias("v"))
     names = pa.array(model.vocabulary, pa.string())
     listed = pa.table({"idx": pa.array(np.arange(len(names)), pa.int32()), "name": names})
     name, term = F.col("name"), F.substring_index("name", " ", -1)
@@ -102,14 +154,17 @@ def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SHA
     spark: SparkSession = docs.sparkSession
     folder = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
     own = docs.select(*(docs[c].cast("string").alias(c) for c in ("lang", "source", "text")))
-    shards = n_shards(own, shard_terms)
-    schema = "lang string, source string, terms array<string>, shard int"
-    document_terms(own, shards).write.partitionBy("shard").parquet(f"{folder}/terms")
-    every = spark.read.schema(schema).parquet(f"{folder}/terms")
+    schema = "lang string, source string, weight long, terms array<string>"
+    condensed(own, min_docs).write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(f"bucket int, first boolean, {schema}").parquet(f"{folder}/rows")
+    shards = n_shards(rows, shard_terms)
+    rows.drop("first").withColumn("shard", F.col("bucket") % shards).drop("bucket").write.partitionBy("shard").parquet(f"{folder}/terms")
+    every = spark.read.schema(f"{schema}, shard int").parquet(f"{folder}/terms")
     for k in range(shards):
         found, vocabulary = vectors(every.where(F.col("shard") == k), min_docs)
-        entries = found.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-        sums = entries.groupBy("lang", "source", F.col("e.indices").alias("idx")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
+        # a row has a term once, so all values of its vector are 1; explode() would make Spark build each vector again to filter rows without any
+        entries = found.select("lang", "source", "weight", F.explode_outer("v.indices").alias("idx")).where("idx IS NOT NULL")
+        sums = entries.groupBy("lang", "source", "idx").agg(F.sum("weight").alias("n"))
         sums.withColumn("shard", F.lit(k)).write.mode("append").parquet(f"{folder}/sums")
         vocabulary.withColumn("shard", F.lit(k)).write.mode("append").parquet(f"{folder}/vocabulary")
     sums = spark.read.schema("lang string, source string, idx int, n long, shard int").parquet(f"{folder}/sums")
@@ -117,9 +172,11 @@ def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SHA
 
 
 def probability(n: Column, total: Column, size: Column) -> Column:
-    """1 + floor(UNIT * (n + 1) / (total + size)), in whole numbers of any length."""
+    """1 + floor(UNIT * (n + 1) / (total + size)), in whole numbers of any length; those of 64 bits are faster."""
     whole = lambda c, digits: c.cast(f"decimal({digits},0)")
-    return F.lit(1).cast("long") + F.call_function("div", whole(F.lit(UNIT), 10) * whole(n + 1, 20), whole(total + size, 20))
+    div = lambda x, y: F.call_function("div", x, y)
+    longer = div(whole(F.lit(UNIT), 10) * whole(n + 1, 20), whole(total + size, 20))
+    return F.lit(1).cast("long") + F.when(n < 2**63 // UNIT - 1, div(F.lit(UNIT).cast("long") * (n + 1).cast("long"), (total + size).cast("long"))).otherwise(longer)
 
 
 def distance(p: Column, q: Column) -> Column:

@@ -149,12 +149,48 @@ def test_audit_of_nothing_and_of_no_terms(spark):
     assert got == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
 
 
+def test_terms_given_to_the_vectorizer(spark, monkeypatch):
+    """Copies of documents give it no more than a few rows with the same terms."""
+    given = []
+    seen = divergence.vectors
+    monkeypatch.setattr(divergence, "vectors", lambda terms, n: (given.append(terms.agg(F.sum(F.size("terms"))).first()[0]), seen(terms, n))[1])
+    docs = [(i, "one two two three", "en", "ab"[i % 2], 1) for i in range(400)]
+    got = divergence.audit(table(spark, docs)).collect()
+    assert sorted(map(tuple, got)) == plain_audit(docs, 200, divergence.MIN_DOCS) and 0 < sum(given) < 300
+
+
+@pytest.mark.parametrize("min_docs", [1, 2, 3, 5])
+def test_rows_that_stand_for_documents(spark, min_docs):
+    """Weights add up to occurrences, and rows tell whether enough documents hold a term, though tasks write before they end; NULs part no names."""
+    rng = random.Random(min_docs)
+    docs = odd_docs() + [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice([1, 3, 50]))), *rng.choice([("a\0", "b"), ("a", "\0b")]), 1) for i in range(30)]
+    docs += [(i, " ".join(["rare"] * k), "en", "a", 1) for i, k in enumerate(rng.sample([0, 0, 7, 900], 4))]
+    rows = divergence.condensed(table(spark, docs).repartition(3), min_docs, task_terms=20).collect()
+    words = [(lang or "", source or "", re.findall(r"[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) for _, text, lang, source, _ in docs]
+    n, held = (collections.Counter((lang, source, f"{lang} {t}") for lang, source, ws in words for t in kind(ws)) for kind in (list, set))
+    got, times = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert len(set(r["terms"])) == len(r["terms"])
+        for t in r["terms"]:
+            got[r["lang"], r["source"], t] += r["weight"]
+            times[r["lang"], r["source"], t] += 1
+    assert got == n and all(times[x] == d if d < min_docs else times[x] >= min_docs for x, d in held.items())
+    assert {(r["lang"], t) for r in rows if r["first"] for t in r["terms"]} == {(lang, t) for lang, _, t in n}
+
+
 def test_probabilities_of_counts_beyond_64_bits(spark):
     n, total, size = 10**12, 3 * 10**13 + 7, 10**9
     df = spark.createDataFrame([(n, total, size)], "n long, total long, size long")
     assert df.select(divergence.probability(F.col("n"), F.col("total"), F.col("size"))).first()[0] == 1 + 10**9 * (n + 1) // (total + size)
 
 
+def test_probabilities_at_the_edge_of_64_bits(spark):
+    cases = [(n, 3 * 10**9 + 1, 10**6 + 3) for n in (0, 1, 9_223_372_033, 9_223_372_034, 9_223_372_035, 9_223_372_036, 9_223_372_037, 2**62)]
+    df = spark.createDataFrame(cases, "n long, total long, size long")
+    got = df.select("n", divergence.probability(F.col("n"), F.col("total"), F.col("size"))).collect()
+    assert [tuple(r) for r in got] == [(n, 1 + 10**9 * (n + 1) // (total + size)) for n, total, size in cases]
+
+
 def plain_scan(texts):
     """Every offset of every template tried, one after another."""
     split = [[w for w in re.split("[^a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for t in texts]
