@@ -30,7 +30,7 @@ from tapeline.sources.shared import shared_folder, small
 MIN_DOCS, MOST_TERMS = 3, 2**31 - 1
 #: Different terms, rare ones included, that a shard is meant to have; its vocabulary has fewer, and the driver holds it for a while.
 SHARD_TERMS = 500_000
-#: Parts of the terms by hash; a shard is some of them.
+#: Parts of the terms by hash; a shard is some of them, or where more shards are asked for, a share of one by another hash.
 BUCKETS = 64
 #: Terms of a row at most, and terms by source that a task counts before it writes them.
 ROW_TERMS, TASK_TERMS = 1_000, 1_000_000
@@ -129,7 +129,7 @@ def condensed(docs: DataFrame, min_docs: int, task_terms: int = TASK_TERMS) -> D
 def n_shards(rows: DataFrame, shard_terms: int) -> int:
     """How many shards the different terms of all rows make, from their estimated number."""
     n = rows.where("first").select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-    return min(BUCKETS, max(1, -(-n // shard_terms)))
+    return max(1, -(-n // shard_terms))
 
 
 def vectors(terms: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -158,10 +158,14 @@ def group_sums(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SHA
     condensed(own, min_docs).write.parquet(f"{folder}/rows")
     rows = spark.read.schema(f"bucket int, first boolean, {schema}").parquet(f"{folder}/rows")
     shards = n_shards(rows, shard_terms)
-    rows.drop("first").withColumn("shard", F.col("bucket") % shards).drop("bucket").write.partitionBy("shard").parquet(f"{folder}/terms")
+    tables, shares = min(shards, BUCKETS), -(-shards // BUCKETS)
+    rows.drop("first").withColumn("shard", F.col("bucket") % tables).drop("bucket").write.partitionBy("shard").parquet(f"{folder}/terms")
     every = spark.read.schema(f"{schema}, shard int").parquet(f"{folder}/terms")
-    for k in range(shards):
-        found, vocabulary = vectors(every.where(F.col("shard") == k), min_docs)
+    for k in range(tables * shares):
+        part = every.where(F.col("shard") == k % tables)
+        if shares > 1:
+            part = part.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shares)) == k // tables))  # noqa: B023
+        found, vocabulary = vectors(part, min_docs)
         # a row has a term once, so all values of its vector are 1; explode() would make Spark build each vector again to filter rows without any
         entries = found.select("lang", "source", "weight", F.explode_outer("v.indices").alias("idx")).where("idx IS NOT NULL")
         sums = entries.groupBy("lang", "source", "idx").agg(F.sum("weight").alias("n"))

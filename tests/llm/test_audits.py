@@ -149,6 +149,12 @@ def test_audit_of_nothing_and_of_no_terms(spark):
     assert got == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
 
 
+def test_more_shards_than_buckets(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "BUCKETS", 2)
+    docs = odd_docs()
+    assert sorted(map(tuple, divergence.audit(table(spark, docs), top=3, shard_terms=4).collect())) == plain_audit(docs, 3, divergence.MIN_DOCS)
+
+
 def test_terms_given_to_the_vectorizer(spark, monkeypatch):
     """Copies of documents give it no more than a few rows with the same terms."""
     given = []
