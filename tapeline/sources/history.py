@@ -20,9 +20,13 @@ def read_pages(spark: SparkSession, path: str, streaming: bool = False) -> DataF
     return (spark.readStream if streaming else spark.read).schema(PAGES).json(path)
 
 
-def history_nodes(pages: DataFrame) -> DataFrame:
-    """One row for each game of the pages that have a list of games, in page order."""
-    return pages.where("data.gameHistories.nodes is not null").select("season", "page", F.posexplode("data.gameHistories.nodes").alias("pos", "node")).select("season", "page", "pos", "node.*")
+def history_nodes(pages: DataFrame, empty: bool = False) -> DataFrame:
+    """One row for each game of the pages that have a list of games, in page order.
+
+    With ``empty``, a page whose list is empty has a row without a place, and rows say whether their page is the last.
+    """
+    keys, explode = (["season", "page", "last"], F.posexplode_outer) if empty else (["season", "page"], F.posexplode)
+    return pages.where("data.gameHistories.nodes is not null").select(*keys, explode("data.gameHistories.nodes").alias("pos", "node")).select(*keys, "pos", "node.*")
 
 
 def read_history(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -54,7 +58,7 @@ def game_teams(nodes: DataFrame, tz: str = "UTC") -> DataFrame:
     orange = F.transform(F.filter("players", lambda p: F.coalesce(team(p) == one["name"], F.lit(False))), stats)
     blue = F.transform(F.filter("players", lambda p: ~F.coalesce(team(p) == one["name"], F.lit(False)) & F.coalesce(team(p) == two["name"], F.lit(False))), stats)
     ts = F.to_timestamp("createdAt")
-    own = [c for c in nodes.columns if c in ("season", "page", "pos")]
+    own = [c for c in nodes.columns if c in ("season", "page", "last", "pos")]
     empty = F.array().cast("array<struct<name:string,kills:int,deaths:int,assists:int,score:int,inflictedDamage:double,bulletsFiredAccuracy:double>>")
     return nodes.select(*own, F.col("mode.identifier").alias("mode"), F.col("map.name").alias("map"), date_text(ts, tz).alias("date"), hour_text(ts, tz).alias("hour"), F.col("data.duration").alias("duration"), one["name"].alias("orange_name"), one["score"].alias("orange_score"), two["name"].alias("blue_name"), two["score"].alias("blue_score"), F.coalesce(orange, empty).alias("orange"), F.coalesce(blue, empty).alias("blue"))
 

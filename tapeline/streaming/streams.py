@@ -25,26 +25,31 @@ def stream_history(spark: SparkSession, path: str, out: str, checkpoint: str, se
     number, of which state has one for each page of the window. Pages of a batch count
     in order of their numbers. Once n have been taken, or one that calls itself the
     last, no more are. Games go to ``out``, a folder for each batch; beside them,
-    in a folder that readers skip, the pages taken. A batch that is repeated replaces what it wrote.
+    in folders that readers skip, the pages taken and all games of the newest batch. A
+    batch that is repeated replaces what it wrote. No page is held in memory beyond its own row.
     """
     pages = read_pages(spark, path, streaming=True).where("data.gameHistories.nodes is not null")
     once = page_window(pages, season, skip, n_pages, first_page).dropDuplicates(["season", "page"])
 
     def take(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        before = taken_pages(batch.sparkSession, out).where(F.col("batch") != number)
+        spark = batch.sparkSession
+        # pages are large: they stream through to flat games on disk, and what to take is told from a few columns of these
+        flat = game_teams(history_nodes(batch, empty=True))
+        flat.write.mode("overwrite").parquet(f"{out}/_new")
+        new = spark.read.schema(flat.schema).parquet(f"{out}/_new")
+        first = new.where(F.coalesce("pos", F.lit(0)) == 0).select("season", "page", F.coalesce("last", F.lit(False)).alias("last"))
+        before = taken_pages(spark, out).where(F.col("batch") != number)
         n, over = before.agg(F.count("*"), F.coalesce(F.bool_or("last"), F.lit(False))).first()
         left = 0 if over else n_pages - n
-        end = kept.agg(F.min(F.when(F.col("last"), F.col("page")))).first()[0]
-        new = kept if end is None else kept.where(F.col("page") <= end)
+        end = first.agg(F.min(F.when(F.col("last"), F.col("page")))).first()[0]
+        within = F.lit(True) if end is None else F.col("page") <= end
         if left <= 0:
-            new = new.where(F.lit(False))
-        elif left < new.count():
+            within = F.lit(False)
+        elif left < first.where(within).count():
             # pages of one season, each once, so that a number parts them and nothing is joined; n_pages rows at most
-            new = new.where(F.col("page") <= new.select("page").orderBy("page").limit(left).agg(F.max("page")).first()[0])
-        game_teams(history_nodes(new)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        new.select("season", "page", F.coalesce("last", F.lit(False)).alias("last")).write.mode("overwrite").parquet(f"{out}/_pages/batch={number}")
-        kept.unpersist()
+            within = F.col("page") <= first.where(within).select("page").orderBy("page").limit(left).agg(F.max("page")).first()[0]
+        new.where(within & F.col("pos").isNotNull()).drop("last").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        first.where(within).write.mode("overwrite").parquet(f"{out}/_pages/batch={number}")
 
     return once.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -221,6 +221,19 @@ def test_pages_are_written_compressed_and_taken_without_a_join(spark, monkeypatc
     assert "order_games" in joins and "take" not in joins
 
 
+def test_pages_of_a_batch_are_not_held(spark, tmp_path, monkeypatch):
+    """A batch's pages are written as flat games and not kept in memory; empty pages and an empty last page are known from these."""
+    held = []
+    for name in ("persist", "cache", "checkpoint", "localCheckpoint"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, real=getattr(DataFrame, name), **k: held.append(sys._getframe(1).f_code.co_name) or real(self, *a, **k))
+    got, done = taken(spark, tmp_path, [[page(1, "a", "b"), page(2), page(1, "a", "b")], [page(4, "d"), page(3, last=True), page(2)]])
+    assert held == [] and got == ["a", "b"] and done == [False, True]
+    pages = streams.taken_pages(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["page"], r["last"]) for r in pages) == [(1, False), (2, False), (3, True)]
+    games = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["page"], r["pos"], r["map"]) for r in games) == [(1, 0, "a"), (1, 1, "b")] and "last" not in games[0]
+
+
 def test_many_videos_share_a_state_row(spark, tmp_path):
     """Markers of 90 videos out of order, in 4 rows of state at most, give the games of the batch form."""
     rng = np.random.default_rng(5)
